@@ -17,6 +17,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookloom.llm.common import BLANKS, LAST_ID, LOWER, UPPER, attach, settle, text_or_empty
 
@@ -47,7 +48,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
     return counted.filter(F.col("n") >= min_docs).drop("n")
 
 
-@F.pandas_udf("text string, n_lines long, n_dropped long")
+_NEW = T.StructType().add("text", T.StringType()).add("n_lines", T.LongType()).add("n_dropped", T.LongType())
+
+
+@F.pandas_udf(_NEW)
 def _without(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
     out = []
     for whole, gone in zip(text, dropped):

@@ -13,6 +13,12 @@ from bookloom.llm.exact_dedup import exact_dedup
 from bookloom.llm.line_dedup import line_dedup
 from bookloom.llm.packing import pack
 from bookloom.llm.sharding import shard
+from bookloom.llm.substring_dedup import substring_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", F.col("n_words"), F.col("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +40,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sharding": op6_sharding,
@@ -43,6 +50,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        s as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from d where len(words) >= 13),
+        w as (select doc_id, i, words[i:i+12] as run from s),
+        m as (select doc_id, i, min(doc_id) over (partition by run) as first_doc from w),
+        c as (select distinct doc_id, unnest(range(i, i + 13)) as pos from m where first_doc < doc_id),
+        p as (select doc_id, unnest(range(1, len(words) + 1)) as pos, unnest(words) as word from d),
+        k as (select p.doc_id, string_agg(word, ' ' order by p.pos) as kept, count(*) as n
+              from p anti join c on p.doc_id = c.doc_id and p.pos = c.pos group by p.doc_id)
+        select d.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed,
+            sha256(coalesce(kept, '')) as kept_sha256
+        from d left join k on d.doc_id = k.doc_id""",
     "op2_line_dedup": f"""
         with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
         l as (select doc_id, unnest(range(len(lines))) as pos, unnest(lines) as line from d),
