@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import LOWER, UPPER, table
+from bookloom.llm.decontaminate import contamination
 from bookloom.llm.exact_dedup import exact_dedup
+from bookloom.llm.jaccard_join import jaccard_join
 from bookloom.llm.line_dedup import line_dedup
 from bookloom.llm.packing import pack
 from bookloom.llm.sharding import shard
@@ -31,6 +33,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -43,8 +53,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

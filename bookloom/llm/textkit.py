@@ -44,7 +44,7 @@ def _powers(n: int, which: int) -> np.ndarray:
 _CACHED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _both_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+def both_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     have = _CACHED.get(which)
     if have is None or len(have[0]) < n:
@@ -86,7 +86,7 @@ class Words:
     def hashes(self, which: int = 0) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        up, down = _both_powers(len(self.data) + 1, which)
+        up, down = both_powers(len(self.data) + 1, which)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[which][self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
