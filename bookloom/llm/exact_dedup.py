@@ -98,5 +98,7 @@ def exact_dedup(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Col
 
 def drop_exact_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, salts).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    gone = exact_dedup(docs, salts).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    same_text = F.sha2(normalised(text_or_empty(docs)), 256) == gone["_gone_text"]
+    return docs.join(gone, same_text & docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -14,6 +14,7 @@ from bookloom.llm.exact_dedup import exact_dedup
 from bookloom.llm.jaccard_join import jaccard_join
 from bookloom.llm.line_dedup import line_dedup
 from bookloom.llm.packing import pack
+from bookloom.llm.quality import score
 from bookloom.llm.sharding import shard
 from bookloom.llm.substring_dedup import substring_dedup
 from bookloom.llm.token_counts import token_counts
@@ -54,6 +55,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
