@@ -13,7 +13,7 @@ anchors found in one document only rule out most suffixes at a fifth of the cost
 
 Every step combines on the map side, by units of bounded size: a passage that stands
 in a third of all documents reaches its group as one entry for each unit. Suffixes are
-compared by 128 bits of their words' hash.
+compared by 80 bits of their words' hash.
 
 Words are runs of characters other than space and \t \n \v \f \r. Cases: a null text
 has no words; texts shorter than a window lose nothing; null doc_ids rank last; rows
@@ -39,8 +39,12 @@ from bookloom.llm.textkit import BLANK_BYTES, Words, grams, packed, pieces, whol
 #: Prefix lengths in words, and the bits of a counter's place at each length.
 _DEPTHS, _SLOT_BITS = (1, 2, 4, 8), 12
 #: Bytes of text that are combined before anything is sent.
-_UNIT = 24 << 20
-_POSITION_BITS = 40
+_UNIT = 12 << 20
+#: A place: 16 more bits of the suffix's hash, 16 that tell apart texts of one id, 32 of word position.
+_MORE, _TAG, _POSITION_BITS = np.uint64(48), np.uint64(32), 32
+_LOW16, _LOW32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
+#: Groups at least, so that small inputs are spread as well.
+_LEAST_GROUPS = 128
 _EVEN = ~np.uint64(1)
 
 
@@ -155,38 +159,34 @@ class _Plan:
                 group = np.full(len(at), -1, np.int64)
                 for level, depth in enumerate(_DEPTHS):
                     group = np.where(group < 0, self.routes[level][self.slots(hashes, n, depth)[at]], group)
-                tag = batch.column("rid").to_numpy()[lo:hi].view(np.uint64) >> np.uint64(_POSITION_BITS)
-                place = (tag[row] << np.uint64(_POSITION_BITS)) | (at - words.first[row]).astype(np.uint64)
-                parts.append(
-                    (grams(hashes, self.window)[at], grams(words.hashes(1), self.window, 1)[at],
-                     batch.column("doc").to_numpy()[lo:hi][row], place, group)
-                )
+                tag = batch.column("rid").to_numpy()[lo:hi].view(np.uint64) & _LOW16
+                more = grams(words.hashes(1), self.window, 1)[at] >> _MORE
+                place = (more << _MORE) | (tag[row] << _TAG) | (at - words.first[row]).astype(np.uint64)
+                parts.append((grams(hashes, self.window)[at], batch.column("doc").to_numpy()[lo:hi][row], place, group))
             if not parts:
                 continue
-            key, more, doc, place, group = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((place, doc, more, key))
-            key, more, doc, place, group = key[order], more[order], doc[order], place[order], group[order]
-            first, _, same_document, least = _node_leaves(key, more, doc, place)
+            key, doc, place, group = (np.concatenate(x) for x in zip(*parts))
+            del parts
+            order = np.lexsort((place, doc, place >> _MORE, key))
+            key, doc, place, group = key[order], doc[order], place[order], group[order]
+            same_document, least = _node_leaves(key, doc, place)
             later = ~same_document & least
             if later.any():
                 ids, lengths, values = _by_document(doc[later], place[later])
                 yield _rows(-1, ids, packed(values, lengths), None)
             keep = same_document & least
-            yield from _sent(key[keep], [more[keep], doc[keep].view(np.uint64), place[keep]], group[keep], self.groups)
+            yield from _sent(key[keep], [doc[keep].view(np.uint64), place[keep]], group[keep], self.groups)
 
 
-def _node_leaves(key, more, doc, place):
-    """For suffixes in order: node begins, node's first document, in that document?, first of its document and text there?"""
-    n = len(key)
+def _node_leaves(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in order: is it in its node's first document; is it the first of its text in the node?"""
+    n, more, text = len(key), place >> _MORE, place >> _TAG
     change = np.ones(n, bool)
     change[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-    first = np.flatnonzero(change)
-    node = np.cumsum(change) - 1
-    same = doc == doc[first][node]
-    tag = place >> np.uint64(_POSITION_BITS)
+    same = doc == doc[np.flatnonzero(change)][np.cumsum(change) - 1]
     least = np.ones(n, bool)
-    least[1:] = change[1:] | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
-    return first, node, same, least
+    least[1:] = change[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    return same, least
 
 
 def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -269,10 +269,10 @@ def _deep_nodes(table: pa.Table) -> pa.Table:
     gid = table.column("gid")[0].as_py()
     if gid < 0:
         return table.select(["gid", "doc", "keys"])
-    key, more, doc, place = _gathered(table, 3)
-    order = np.lexsort((place, doc.view(np.int64), more, key))
-    key, more, doc, place = key[order], more[order], doc.view(np.int64)[order], place[order]
-    _, _, same, least = _node_leaves(key, more, doc, place)
+    key, doc, place = _gathered(table, 2)
+    order = np.lexsort((place, doc.view(np.int64), place >> _MORE, key))
+    key, doc, place = key[order], doc.view(np.int64)[order], place[order]
+    same, least = _node_leaves(key, doc, place)
     later = ~same & least
     ids, lengths, values = _by_document(doc[later], place[later])
     return _out(gid, ids, packed(values, lengths))
@@ -297,9 +297,8 @@ def _routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
 def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21) -> DataFrame:
     """doc, starts: where windows begin that also start in a document with a smaller id.
 
-    ``starts`` is an array of binaries of 64-bit numbers: 40 bits of word position, under
-    24 bits that tell apart the texts of rows with the same id. A window that a text
-    repeats is given by its first place there. ``docs`` has the columns rid, doc and text.
+    ``starts`` is an array of binaries of places (see ``_POSITION_BITS``). A window that a
+    text repeats is given by its first place there. ``docs`` has the columns rid, doc, text.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = _Plan(window, anchor, int(size) // (64 << 20) + 1)
@@ -307,7 +306,8 @@ def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size
     found = settle(found.groupBy("gid").applyInArrow(_merge_anchors, _OUT))
     counts = found.filter("gid = -2").select("keys").collect()  # one row of fixed size, or none
     counts = np.frombuffer(counts[0][0], np.int64).reshape(len(_DEPTHS), -1) if counts else np.zeros((len(_DEPTHS), 1))
-    plan.routes, plan.groups = _routes(counts, group_size)
+    most = min(group_size, int(counts[0].sum()) // _LEAST_GROUPS + 1)
+    plan.routes, plan.groups = _routes(counts, most)
     anchors = found.filter("gid <> -2").groupBy("doc").agg(F.collect_list("keys").alias("anchors"))
     # All columns of docs, so that one exchange of the texts serves this join and a later one.
     rows = docs.join(anchors, "doc").select(*docs.columns, "anchors")
@@ -328,8 +328,8 @@ def _kept(text: pd.Series, rid: pd.Series, starts: pd.Series, window: pd.Series)
         n = len(words)
         if found is not None and len(found):
             places = np.frombuffer(b"".join(found), np.uint64)
-            tag = np.uint64((int(own) & (2**64 - 1)) >> _POSITION_BITS)
-            places = (places[places >> np.uint64(_POSITION_BITS) == tag] & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
+            tag = np.uint64(int(own) & 0xFFFF)
+            places = (places[(places >> _TAG & _LOW16) == tag] & _LOW32).astype(np.int64)
             if len(places):
                 view = np.frombuffer(raw, np.uint8)
                 keys = grams(Words(view, np.array([0, len(view)]), BLANK_BYTES).hashes(), int(w))
