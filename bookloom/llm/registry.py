@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bookloom.llm.common import LOWER, UPPER, table
 from bookloom.llm.decontaminate import contamination
 from bookloom.llm.exact_dedup import exact_dedup
+from bookloom.llm.html_extract import extract
 from bookloom.llm.jaccard_join import jaccard_join
 from bookloom.llm.line_dedup import line_dedup
 from bookloom.llm.packing import pack
@@ -55,6 +56,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
