@@ -1,4 +1,445 @@
-"""Queries by name and the SQL that gives the same rows."""
+"""Queries by name over the test tables, and the SQL that gives the same rows where SQL can."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from bookloom.functions import scalars
+from bookloom.operators import ladder, sequential, windows
+from bookloom.operators.book import final_books, top_of_book
+from bookloom.operators.detectors import chain
+from bookloom.schema import EVENT_LABELS, KINDS, SIDE_LABELS, label
+from bookloom.sources.testmarket import P1_SQL, P2_SQL, from_events, from_lineitem
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, base: str = P1_SQL):
+    """Register a query under its function's name; ``sql`` may use the streams' CTEs."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            text = sql.strip()
+            if "p1" in text:
+                text = f"with recursive {base}, {text[5:]}" if text.lower().startswith("with ") else f"with {base} {text}"
+            ORACLE_SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+_RESIDUALS = """
+rd as (select a.instrument_id, a.order_id, a.seq, a.side, a.price, a.qty as added,
+    a.qty - coalesce(sum(case when c.et = 2 and c.qty = 0 then a.qty else c.qty end), 0) as raw
+    from p1 a left join p1 c on c.instrument_id = a.instrument_id and c.order_id = a.order_id and c.et in (2, 4) and c.seq > a.seq
+    where a.et = 1 group by a.instrument_id, a.order_id, a.seq, a.side, a.price, a.qty),
+rs as (select instrument_id, order_id, side, price, added, cast(greatest(raw, 0) as bigint) as rest from rd),
+ld as (select instrument_id, side, price, cast(sum(rest) as bigint) as total_qty, count(*) as order_count
+    from rs where rest > 0 group by all)"""
+_LADDER = f"with {_RESIDUALS} select instrument_id, side, price, total_qty, order_count from ld"
+
+
+@query(_LADDER)
+def final_ladder(spark, sf_dir):
+    return ladder.final_ladder(from_events(spark, sf_dir))
+
+
+@query(_LADDER, P2_SQL)
+def final_ladder_li(spark, sf_dir):
+    return ladder.final_ladder(from_lineitem(spark, sf_dir))
+
+
+@query(_LADDER, P2_SQL)
+def final_book_fold_li(spark, sf_dir):
+    """The same ladder from the state machine instead of the closed form."""
+    return final_books(from_lineitem(spark, sf_dir)).drop("l2_hash")
+
+
+@query(f"with {_RESIDUALS} select instrument_id, order_id, side, price, added, rest from rs")
+def order_residuals(spark, sf_dir):
+    return ladder.order_residuals(from_events(spark, sf_dir))
+
+
+_DELTAS = """
+da as (select instrument_id, order_id, seq as add_seq, side, price, qty as added from p1 where et = 1),
+dx as (select e.instrument_id, e.order_id, e.seq, e.et, a.side, a.price, a.added,
+    sum(case when e.et = 2 and e.qty = 0 then a.added when e.et in (2, 4) then e.qty else 0 end)
+        over (partition by e.instrument_id, e.order_id order by e.seq) as taken
+    from p1 e join da a on a.instrument_id = e.instrument_id and a.order_id = e.order_id and e.seq >= a.add_seq where e.et in (1, 2, 4)),
+dy as (select *, greatest(added - taken, 0) as rest,
+    coalesce(lag(greatest(added - taken, 0)) over (partition by instrument_id, order_id order by seq), 0) as before from dx),
+dl as (select instrument_id, seq, side, price, cast(rest - before as bigint) as d_qty,
+    cast((rest > 0)::int - (before > 0)::int as int) as d_count from dy where rest <> before)"""
+
+
+@query(f"with {_DELTAS} select * from dl")
+def level_delta_stream(spark, sf_dir):
+    return ladder.level_deltas(from_events(spark, sf_dir))
+
+
+@query(f"""with {_RESIDUALS},
+    rk as (select *, row_number() over (partition by instrument_id, side order by case side when 0 then -price else price end) as lvl from ld)
+    select instrument_id, side, lvl::int as lvl, price, total_qty, order_count from rk where lvl <= 5""")
+def depth_top_n(spark, sf_dir):
+    top = ladder.ranked(ladder.final_ladder(from_events(spark, sf_dir))).filter("lvl <= 5")
+    return top.select("instrument_id", "side", "lvl", "price", "total_qty", "order_count")
+
+
+@query(f"""with {_RESIDUALS},
+    rk as (select *, row_number() over (partition by instrument_id, side order by case side when 0 then -price else price end) as lvl from ld),
+    t as (select instrument_id, coalesce(sum(case when side = 0 then total_qty end), 0)::bigint as bid_depth,
+        coalesce(sum(case when side = 1 then total_qty end), 0)::bigint as ask_depth,
+        count(*) filter (side = 0) as bid_levels, count(*) filter (side = 1) as ask_levels from rk where lvl <= 10 group by instrument_id)
+    select *, case when bid_depth + ask_depth = 0 then 0.0 else (bid_depth - ask_depth) / (bid_depth + ask_depth) end::double as imbalance from t""")
+def imbalance_top10(spark, sf_dir):
+    return ladder.depth_top(ladder.final_ladder(from_events(spark, sf_dir)), 10)
+
+
+@query(f"""with {_RESIDUALS},
+    t as (select instrument_id, max(price) filter (side = 0) as bid, arg_max(total_qty, price) filter (side = 0) as bid_size,
+        min(price) filter (side = 1) as ask, arg_min(total_qty, price) filter (side = 1) as ask_size from ld group by instrument_id)
+    select *, case when ask > bid then ask - bid end as spread, case when ask > bid then (bid + ask) // 2 end as mid,
+        case when ask > bid then ((bid::hugeint * ask_size + ask::hugeint * bid_size) // (bid_size + ask_size))::bigint end as microprice from t""")
+def microprice_final(spark, sf_dir):
+    return ladder.best_quotes(ladder.final_ladder(from_events(spark, sf_dir)))
+
+
+#: Tops at chosen sequences: the levels alive there, by sums of all deltas up to each.
+_TOPS = f"""{_DELTAS},
+    lv as (select s.instrument_id, s.seq, d.side, d.price, sum(d.d_qty) as q from sm s
+        join dl d on d.instrument_id = s.instrument_id and d.seq <= s.at group by all having sum(d.d_qty) > 0),
+    tp as (select s.instrument_id, s.seq, max(price) filter (side = 0) as bid, min(price) filter (side = 1) as ask,
+        arg_max(q, price) filter (side = 0)::bigint as bid_size, arg_min(q, price) filter (side = 1)::bigint as ask_size
+        from sm s left join lv on lv.instrument_id = s.instrument_id and lv.seq = s.seq group by all)"""
+_ISEQ = "iq as (select *, row_number() over (partition by instrument_id order by seq) as iseq from p1)"
+
+
+@query(f"""with {_ISEQ}, sm as (select instrument_id, seq, seq as at from iq where iseq % 100 = 0), {_TOPS}
+    select instrument_id, seq, bid, ask, coalesce(bid_size, 0) as bid_size, coalesce(ask_size, 0) as ask_size from tp""")
+def top_of_book_sampled(spark, sf_dir):
+    tops = top_of_book(from_events(spark, sf_dir), every=100, depth=0)
+    return tops.select("instrument_id", "seq", "bid", "ask", "bid_size", "ask_size")
+
+
+@query(f"""with {_ISEQ}, sm as (select instrument_id, seq, seq as at from iq where iseq % 10 = 0), {_TOPS},
+    s as (select instrument_id, seq, ask - bid as spread from tp where ask > bid),
+    w as (select *, sum(spread) over f as s, count(*) over f as n from s window f as (partition by instrument_id order by seq rows 31 preceding))
+    select instrument_id, seq, spread, s / n as mean_spread, (spread * n) / s as blowout from w""")
+def spread_rolling(spark, sf_dir):
+    tops = top_of_book(from_events(spark, sf_dir), every=10, depth=0)
+    return windows.rolling_spread(tops, 32)
+
+
+@query(f"""with sm as (select instrument_id, seq, seq - 1 as at from p1 where et = 4), {_TOPS}
+    select p1.instrument_id, p1.seq, p1.price, p1.qty, case when coalesce(ask <= bid, true) then 0 when p1.price >= ask then 1
+        when p1.price <= bid then -1 else 0 end::int as aggressor,
+        case when p1.price > 0 then p1.price else case when p1.side = 1 then ask else bid end end as print_price
+    from p1 join tp on p1.instrument_id = tp.instrument_id and p1.seq = tp.seq""")
+def lee_ready_trades(spark, sf_dir):
+    tops = top_of_book(from_events(spark, sf_dir), depth=0, trades_only=True)
+    price, bid, ask = F.col("price"), F.col("pre_bid"), F.col("pre_ask")
+    return tops.select(
+        "instrument_id", "seq", "price", "qty", scalars.aggressor(price, bid, ask).alias("aggressor"),
+        scalars.repaired_price(price, F.col("side"), bid, ask).alias("print_price"),
+    )
+
+
+@query("""with g as (select instrument_id, seq, lag(seq) over (partition by instrument_id order by seq) as before from p1)
+    select instrument_id, before + 1 as gap_start, seq - 1 as gap_end, seq - before - 1 as missing from g where seq > before + 1""")
+def gap_report(spark, sf_dir):
+    return windows.gap_report(from_events(spark, sf_dir))
+
+
+@query("""with g as (select instrument_id, seq, lag(seq) over (partition by instrument_id order by seq) as before from p1),
+    f as (select instrument_id, min(seq) filter (seq <> before + 1) as stop from g group by instrument_id)
+    select p1.instrument_id, p1.seq, et, price, qty from p1 join f using (instrument_id) where stop is null or p1.seq < stop""")
+def strict_prefix(spark, sf_dir):
+    return windows.before_first_gap(from_events(spark, sf_dir)).select("instrument_id", "seq", "et", "price", "qty")
+
+
+def _packets(spark, sf_dir):
+    """Numbered messages of each instrument in a shuffled order of arrival, some twice."""
+    own = windows.with_iseq(from_events(spark, sf_dir)).select("instrument_id", F.col("iseq").alias("seq"), F.col("seq").alias("g"))
+    once = own.select("instrument_id", "seq", (F.col("seq") * 10 + (F.col("g") * 7919) % 97).alias("arrival"))
+    twice = own.filter("seq % 13 = 0").select("instrument_id", "seq", (F.col("seq") * 10 + 500).alias("arrival"))
+    return once.unionByName(twice)
+
+
+@query(f"""with {_ISEQ}, pk as (select instrument_id, iseq as seq, iseq * 10 + (seq * 7919) % 97 as arrival from iq
+        union all select instrument_id, iseq, iseq * 10 + 500 from iq where iseq % 13 = 0),
+    f as (select instrument_id, seq, min(arrival) as arrival, count(*) - 1 as duplicates from pk group by all)
+    select instrument_id, seq, arrival, duplicates, max(arrival) over w as delivered_at, max(arrival) over w = arrival as in_order,
+        seq - min(seq) over (partition by instrument_id) + 1 = row_number() over w as contiguous
+    from f window w as (partition by instrument_id order by seq)""")
+def sequencer_delivery(spark, sf_dir):
+    return windows.delivery(_packets(spark, sf_dir))
+
+
+@query("""with w as (select instrument_id, seq, first(seq) over f as start_seq, count(*) over f as n_events,
+        count(*) filter (et = 2) over f as cancels, count(*) filter (et = 4) over f as trades
+        from p1 where et in (1, 2, 4) window f as (partition by instrument_id order by seq rows 47 preceding)),
+    r as (select *, cancels / greatest(trades, 1) as r from w)
+    select instrument_id, seq, start_seq, n_events, cancels, trades, least(r / 2.0 / 2.0, 1.0)::double as severity from r where r >= 2.0 and n_events >= 24""")
+def quote_stuff_flags(spark, sf_dir):
+    return windows.quote_stuff(from_events(spark, sf_dir), 48, 2.0)
+
+
+_SPOOF = f"""{_ISEQ}, sa as (select instrument_id, order_id, iseq, qty from iq where et = 1 and qty >= 100),
+    sc as (select instrument_id, order_id, min(iseq) as iseq from iq where et = 2 group by all),
+    sp as (select sa.instrument_id, sa.order_id, sa.iseq as start_seq, sc.iseq as end_seq, sa.qty, least(sa.qty / 100.0 / 5.0, 1.0)::double as severity
+        from sa join sc using (instrument_id, order_id) where sc.iseq > sa.iseq and sc.iseq - sa.iseq <= 64)"""
+
+
+@query(f"with {_SPOOF} select * from sp")
+def spoof_flags(spark, sf_dir):
+    return windows.spoof(from_events(spark, sf_dir), 100, 64)
+
+
+@query(f"""with {_ISEQ}, cr as (select * from iq where et in (1, 2, 4)),
+    w as (select instrument_id, iseq, count(*) over f as n_events, count(*) filter (et = 2) over f as cancels
+        from cr window f as (partition by instrument_id order by iseq range 256 preceding))
+    select * from w where n_events >= 128""")
+def cancel_rate_window(spark, sf_dir):
+    return windows.cancel_rate(from_events(spark, sf_dir), 256, 128)
+
+
+_SIGNED = "ts as (select instrument_id, seq, qty, case when seq % 5 = 0 then 0 when side = 1 then 1 else -1 end as sign from p1 where et = 4)"
+_VPIN = f"""{_SIGNED}, tn as (select *, row_number() over (partition by instrument_id order by seq) as n from ts),
+    vb as (select instrument_id, n, seq, b, s, b + s >= 1000 as closed, (b + s >= 1000)::bigint as k from (select instrument_id, n, seq,
+            case sign when 1 then qty when -1 then 0 else qty // 2 end as b, case sign when 1 then 0 when -1 then qty else qty - qty // 2 end as s from tn where n = 1)
+        union all select t.instrument_id, t.n, t.seq, x.b, x.s, x.b + x.s >= 1000, v.k + (x.b + x.s >= 1000)::bigint
+        from vb v join tn t on t.instrument_id = v.instrument_id and t.n = v.n + 1,
+        lateral (select case when v.closed then 0 else v.b end + case t.sign when 1 then t.qty when -1 then 0 else t.qty // 2 end as b,
+            case when v.closed then 0 else v.s end + case t.sign when 1 then 0 when -1 then t.qty else t.qty - t.qty // 2 end as s) x)"""
+
+
+@query(f"""with {_VPIN} select instrument_id, seq, k as bucket, b as buy, s as sell,
+        sum(abs(b - s)) over f / (count(*) over f * 1000) as vpin from vb where closed
+        window f as (partition by instrument_id order by k rows 49 preceding)""")
+def vpin_buckets(spark, sf_dir):
+    sign = F.when(F.col("seq") % 5 == 0, 0).when(F.col("side") == 1, 1).otherwise(-1)
+    trades = from_events(spark, sf_dir).filter("et = 4").select("seq", "instrument_id", "qty", sign.cast("int").alias("sign"))
+    return sequential.vpin(trades, 1000, 50)
+
+
+_RATES = "rt as (select instrument_id, ts_ns // 1000000000 as second, count(*) as events, count(*) filter (et = 4) as trades, count(*) filter (et = 1) as orders from p1 group by all)"
+
+
+@query(f"with {_RATES} select *, (orders / greatest(trades, 1))::double as otr from rt")
+def event_rate_seconds(spark, sf_dir):
+    return windows.event_rates(from_events(spark, sf_dir))
+
+
+@query("""with rt as (select instrument_id, ts_ns // 3600000000000 as second, count(*) filter (et = 4) as trades from p1 group by all),
+    n as (select *, row_number() over (partition by instrument_id order by second) as k from rt),
+    r as (select instrument_id, second, trades, k, trades::double as baseline from n where k = 1 union all
+        select n.instrument_id, n.second, n.trades, n.k, case when r.baseline = 0 then n.trades::double else r.baseline * 0.875 + n.trades * 0.125 end
+        from r join n on n.instrument_id = r.instrument_id and n.k = r.k + 1)
+    select instrument_id, second, trades, round(baseline, 6) as baseline,
+        round(case when baseline > 0 then trades / baseline else 0 end, 6)::double as velocity from r""")
+def velocity_ewma(spark, sf_dir):
+    events = from_events(spark, sf_dir).withColumn("ts_ns", F.floor(F.col("ts_ns") / 3600).cast("long"))
+    out = sequential.velocity(windows.event_rates(events).select("instrument_id", "second", "trades"))
+    return out.select("instrument_id", "second", "trades", F.round("baseline", 6).alias("baseline"), F.round("velocity", 6).alias("velocity"))
+
+
+@query("""with bk as (select instrument_id, ts_ns // 3600000000000 as bucket, count(*) as eps, count(*) filter (et = 1) as adds,
+        count(*) filter (et = 2) as cancels, count(*) filter (et = 4) as trades, max(price) - min(price) as width from p1 group by all),
+    x as (select *, width / 50.0 as blowout, (adds - cancels) / (adds + cancels + 1.0) as imb, trades / (eps + 0.0) as vpin, trades / 2.0 as vel, cancels / (eps + 0.0) as depl from bk),
+    s as (select *, ((case when width > 95 then 0 else greatest(blowout - 1, 0) + 3 * abs(imb) end) + 5 * vpin + 0.6 * abs(vel - 1) + 0.3 * 0.5 + 3 * depl)
+        * least(eps / 30.0, 1.0) as score from x)
+    select instrument_id, bucket, eps, round(score, 6)::double as score,
+        (case when round(score, 6) >= 3 then 3 when round(score, 6) >= 1.5 then 2 when round(score, 6) >= 0.6 then 1 else 0 end)::int as regime from s""")
+def regime_by_bucket(spark, sf_dir):
+    return _regimes(spark, sf_dir)
+
+
+def _regimes(spark, sf_dir):
+    n = lambda et: F.sum((F.col("et") == et).cast("long"))
+    b = from_events(spark, sf_dir).groupBy("instrument_id", F.floor(F.col("ts_ns") / 3_600_000_000_000).cast("long").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("eps"), n(1).alias("adds"), n(2).alias("cancels"), n(4).alias("trades"), (F.max("price") - F.min("price")).alias("width")
+    )
+    score = scalars.regime_score(
+        F.col("width") / 50.0, (F.col("adds") - F.col("cancels")) / (F.col("adds") + F.col("cancels") + 1.0), F.col("trades") / F.col("eps"),
+        F.col("trades") / 2.0, F.col("cancels") / F.col("eps"), F.lit(0.5), F.col("eps"), F.col("width") > 95,
+    )
+    b = b.withColumn("score", F.round(score, 6))
+    return b.select("instrument_id", "bucket", "eps", "score", scalars.regime_class(F.col("score")).alias("regime"))
+
+
+@query(f"""with {_ISEQ}, t as (select instrument_id, iseq as seq, (price * 7 + qty) % 4 as regime,
+        case when et = 2 then 1 else 0 end as n_flags, case when et = 2 then (qty % 10) / 10.0 else 0 end::double as sev from iq),
+    h as (select *, regime >= 2 as high, lag(regime >= 2) over w as was, lag(seq) over w as prev from t window w as (partition by instrument_id order by seq)),
+    i as (select *, sum((high and (not coalesce(was, false) or seq - prev > 3))::int) over (partition by instrument_id order by seq) as island from h)
+    select instrument_id, min(seq) as start_seq, max(seq) as end_seq, max(regime)::int as regime,
+        round(case when sum(n_flags) > 0 then sum(sev) / sum(n_flags) else 0 end, 9)::double as severity, sum(n_flags)::bigint as n_flags
+    from i where high group by instrument_id, island""")
+def stress_windows(spark, sf_dir):
+    rows = windows.with_iseq(from_events(spark, sf_dir))
+    cancel = F.col("et") == 2
+    tagged = rows.select(
+        "instrument_id", F.col("iseq").alias("seq"), ((F.col("price") * 7 + F.col("qty")) % 4).cast("int").alias("regime"),
+        F.when(cancel, 1).otherwise(0).alias("n_flags"), F.when(cancel, (F.col("qty") % 10) / 10.0).otherwise(0.0).alias("severity_sum"),
+    )
+    return windows.stress_windows(tagged, 2, 3).withColumn("severity", F.round("severity", 9))
+
+
+@query(f"""with {_SPOOF}, n as (select *, row_number() over (partition by instrument_id order by start_seq) as k from sp),
+    r as (select instrument_id, k, order_id, end_seq, 1 as ep from n where k = 1 union all
+        select n.instrument_id, n.k, case when j.m then r.order_id else n.order_id end, case when j.m then greatest(r.end_seq, n.end_seq) else n.end_seq end, r.ep + (not j.m)::int
+        from r join n on n.instrument_id = r.instrument_id and n.k = r.k + 1, lateral (select n.start_seq <= r.end_seq + 500 and n.order_id // 32 = r.order_id // 32 as m) j)
+    select n.instrument_id, ep::bigint as episode, min(n.start_seq) as start_seq, max(n.end_seq) as end_seq, count(*) as n_flags,
+        max(severity) as peak_severity, round(max(severity) * (1 + ln(count(*))), 9) as composite_severity
+    from r join n on n.instrument_id = r.instrument_id and n.k = r.k group by n.instrument_id, ep""")
+def spoof_episodes(spark, sf_dir):
+    """Spoofs by initiators of one block of 32 order ids, within 500 events of each other."""
+    s = windows.spoof(from_events(spark, sf_dir), 100, 64)
+    flags = s.select(
+        "instrument_id", "start_seq", "end_seq", F.lit(0).cast("long").alias("start_ts_ns"), F.lit(0).cast("long").alias("end_ts_ns"), F.lit("Spoof").alias("kind"),
+        F.floor(F.col("order_id") / 32).cast("long").alias("initiator"), "severity", F.col("end_seq").alias("emit_seq"), F.lit(1).alias("detector_ord"),
+    )
+    out = sequential.episodes(flags, 500)
+    return out.select("instrument_id", "episode", "start_seq", "end_seq", "n_flags", "peak_severity", F.round("composite_severity", 9).alias("composite_severity"))
+
+
+@query("""with t as (select instrument_id, seq, row_number() over (partition by instrument_id order by seq) as n from p1 where et = 4),
+    l as (select instrument_id, seq from t where n = 5 order by seq limit 1)
+    select p1.instrument_id, p1.seq, p1.et, p1.price, row_number() over (order by p1.seq) as eseq from p1 join l on p1.instrument_id = l.instrument_id and p1.seq >= l.seq""")
+def auto_lock_events(spark, sf_dir):
+    return windows.auto_lock(from_events(spark, sf_dir), 5).select("instrument_id", "seq", "et", "price", "eseq")
+
+
+@query("""select instrument_id, ts_ns // 600000000000 as bucket, max(seq) as seq, arg_max(et, seq) as et, arg_max(side, seq) as side,
+    arg_max(price, seq) as price, arg_max(qty, seq) as qty, count(*) as n_events from p1 group by all""")
+def tick_samples(spark, sf_dir):
+    return windows.tick_samples(from_events(spark, sf_dir), 600_000_000_000)
+
+
+@query("""with w as (select instrument_id, seq, list_sort(list(qty) over (partition by instrument_id order by seq rows 63 preceding)) as v from p1)
+    select instrument_id, seq, v[cast(floor((len(v) - 1) * 0.5 + 0.5) as int) + 1] as p50, v[cast(floor((len(v) - 1) * 0.99 + 0.5) as int) + 1] as p99,
+        v[cast(floor((len(v) - 1) * 0.999 + 0.5) as int) + 1] as p999, v[-1] as most from w""")
+def stage_percentiles(spark, sf_dir):
+    return windows.rolling_quantiles(from_events(spark, sf_dir), "qty", 64)
+
+
+@query("""with lx as (select instrument_id, (qty * 37 + price) as ns from p1),
+    lp as (select *, case when ns > 0 then least(length(bin(ns)) - 1, 23) else 0 end as e from lx),
+    lb as (select instrument_id, case when ns <= 0 then 0 else least(e * 8 + ((ns - (1::bigint << e)) * 8) // (1::bigint << e), 191) end::int as bin from lp)
+    select instrument_id, bin, count(*) as n from lb group by all""")
+def latency_histogram(spark, sf_dir):
+    rows = from_events(spark, sf_dir).select("instrument_id", scalars.latency_bin(F.col("qty") * 37 + F.col("price")).alias("bin"))
+    return rows.groupBy("instrument_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select instrument_id, seq, sum(case when side = 0 then qty else -qty end) over w::bigint as position,
+    sum(case when side = 0 then -qty else qty end * price) over w::bigint as cash from p1 where et = 4 window w as (partition by instrument_id order by seq)""")
+def positions_cash(spark, sf_dir):
+    return windows.positions_cash(from_events(spark, sf_dir).filter("et = 4"))
+
+
+_LIMITS = sequential.Limits(orders_per_sec=None, position=1500, loss=3_000_000, order_to_trade=8.0, order_to_trade_warmup=20, gaps=None)
+
+
+@query("""with a as (select instrument_id as desk, seq, case et when 1 then 'intent' when 4 then 'fill' when 5 then 'start_of_day' end as action, side, qty, price,
+        row_number() over (partition by instrument_id order by seq) as k from p1 where et in (1, 4) or (et = 5 and seq % 11 = 0)),
+    r as (select desk, seq, action, k, null::boolean as allowed, null::varchar as reason, 0::bigint as orders, 0::bigint as trades, 0::bigint as cash, 0::bigint as pos from
+            (select desk, 0::bigint as seq, '' as action, 0::bigint as k from a group by desk)
+        union all
+        select a.desk, a.seq, a.action, a.k, case when a.action = 'intent' then x.reason is null end, case when a.action = 'start_of_day' then null else x.reason end,
+            case when a.action = 'start_of_day' then 0 else r.orders + (a.action = 'intent' and x.reason is null)::bigint end,
+            case when a.action = 'start_of_day' then 0 else r.trades + (a.action = 'fill')::bigint end,
+            case a.action when 'start_of_day' then 0 when 'fill' then r.cash - (case when a.side = 0 then a.qty else -a.qty end) * a.price else r.cash end,
+            case a.action when 'start_of_day' then 0 when 'fill' then r.pos + (case when a.side = 0 then a.qty else -a.qty end) else r.pos end
+        from r join a on a.desk = r.desk and a.k = r.k + 1, lateral (select case when a.action <> 'intent' or r.reason is not null then r.reason
+            when abs(r.pos + case when a.side = 0 then a.qty else -a.qty end) > 1500 then 'PositionCap' when r.cash < -3000000 then 'DailyLossFloor'
+            when r.orders >= 20 and r.orders / greatest(r.trades, 1) > 8.0 then 'OrderToTradeRatio' end as reason) x)
+    select desk, seq, action, allowed, reason, orders, trades, cash, abs(pos)::bigint as exposure from r where k > 0""")
+def risk_decisions(spark, sf_dir):
+    action = F.when(F.col("et") == 1, "intent").when(F.col("et") == 4, "fill").otherwise("start_of_day")
+    rows = from_events(spark, sf_dir).filter("et in (1, 4) or (et = 5 and seq % 11 = 0)")
+    rows = rows.select("seq", F.col("instrument_id").alias("desk"), "ts_ns", action.alias("action"), "instrument_id", "side", "qty", "price")
+    return sequential.risk_decisions(rows, _LIMITS)
+
+
+@query("""with l as (select instrument_id, case et when 1 then 'add' when 2 then 'cancel' when 3 then 'modify' when 4 then 'trade' when 5 then 'snapshot' end as event,
+        case side when 0 then 'bid' when 1 then 'ask' end as side_name, qty from p1)
+    select instrument_id, event, side_name, count(*) as n, sum(qty)::bigint as qty from l group by all""")
+def event_mix(spark, sf_dir):
+    rows = from_events(spark, sf_dir).select("instrument_id", label(F.col("et"), EVENT_LABELS).alias("event"), label(F.col("side"), SIDE_LABELS).alias("side_name"), "qty")
+    return rows.groupBy("instrument_id", "event", "side_name").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").cast("long").alias("qty"))
+
+
+@query("""with s as (select cast(s_suppkey % 16 as int) as instrument_id, min(s_name) as symbol from supplier group by all)
+    select p1.instrument_id, trim(symbol) as symbol, count(*) as n_events, sum(qty)::bigint as qty from p1 left join s on s.instrument_id = p1.instrument_id group by all""", P2_SQL)
+def events_by_symbol(spark, sf_dir):
+    """The symbol directory has a row for each of 16 instruments, so it is broadcast."""
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy((F.col("s_suppkey") % 16).cast("int").alias("instrument_id")).agg(F.min("s_name").alias("symbol"))
+    counts = from_lineitem(spark, sf_dir).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("qty").cast("long").alias("qty"))
+    return counts.join(F.broadcast(names), "instrument_id", "left").select("instrument_id", F.trim("symbol").alias("symbol"), "n_events", "qty")
+
+
+@query("""with t as (select *, row_number() over (partition by instrument_id order by seq desc) as k from p1 where et = 4)
+    select instrument_id, seq, price, qty, k::int as back from t where k <= 128""")
+def latest_trades(spark, sf_dir):
+    back = F.row_number().over(Window.partitionBy("instrument_id").orderBy(F.desc("seq")))
+    return from_events(spark, sf_dir).filter("et = 4").select("instrument_id", "seq", "price", "qty", back.alias("back")).filter("back <= 128")
+
+
+@query("""with h as (select instrument_id, ts_ns // 60000000000 as minute, avg(price)::double as p, count(*) as n from p1 where et = 4 group by all),
+    m as (select *, lag(p) over (partition by instrument_id order by minute) as before from h)
+    select instrument_id, minute, n, round(coalesce(abs(p - before) / before * 10000, 0), 6) as drift_bps from m""")
+def trade_drift(spark, sf_dir):
+    bars = from_events(spark, sf_dir).filter("et = 4").groupBy("instrument_id", F.floor(F.col("ts_ns") / 60_000_000_000).cast("long").alias("minute"))
+    bars = bars.agg(F.avg("price").alias("p"), F.count(F.lit(1)).alias("n"))
+    before = F.lag("p").over(Window.partitionBy("instrument_id").orderBy("minute"))
+    return bars.select("instrument_id", "minute", "n", F.round(F.coalesce(F.abs(F.col("p") - before) / before * 10000, F.lit(0.0)), 6).alias("drift_bps"))
+
+
+#: Detector parameters scaled to the test streams, so that each kind can occur.
+SCALED = {
+    "QuoteStuff": {"size": 48, "ratio": 2.0},
+    "Spoof": {"large": 100, "within": 64},
+    "PhantomLiquidity": {"span": 64, "time_ns": 0, "least_qty": 10},
+    "CancellationStorm": {"span": 128, "least": 32, "warmup": 128, "floor": 0.01, "sigmas": 1.5, "row": 3, "cooldown": 64},
+    "MomentumIgnition": {"span": 256, "least_bps": 1, "trades": 2, "run_length": 3, "cooldown": 32},
+    "FlashCrash": {"gap_bps": 1, "within": 8, "band": 20, "drop": 0.05, "trades": 1, "cooldown": 32},
+    "LatencyReaction": {},
+    "LatencyArbitrage": {"span": 64, "band": 60, "large": 20, "burst": 2, "cooldown": 16},
+}
+
+
+def _flags(kind: str):
+    def flags(spark, sf_dir):
+        return chain(from_events(spark, sf_dir), SCALED, (kind,))
+
+    return flags
+
+
+for _name, _kind in zip(("phantom_flags", "cancel_storm_flags", "ignition_flags", "flash_crash_flags", "latency_reaction_flags"), KINDS[2:]):
+    QUERIES[_name] = _flags(_kind)
+
+
+@query()
+def chain_flags(spark, sf_dir):
+    return chain(from_events(spark, sf_dir), SCALED)
+
+
+@query()
+def chain_counts(spark, sf_dir):
+    return chain(from_lineitem(spark, sf_dir)).groupBy("instrument_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def chain_episodes(spark, sf_dir):
+    return sequential.episodes(chain(from_events(spark, sf_dir), SCALED), 100)
+
+
+@query()
+def book_hashes(spark, sf_dir):
+    return final_books(from_lineitem(spark, sf_dir)).groupBy("instrument_id").agg(F.first("l2_hash").alias("l2_hash"), F.count(F.lit(1)).alias("n_levels"))
