@@ -19,7 +19,6 @@ along; other columns are not looked at; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -29,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookloom.llm.chunk_tokens import ChunkTokenizer
 from bookloom.llm.common import text_or_empty
+from bookloom.llm.textkit import pieces
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
@@ -38,37 +39,6 @@ SCHEMA = (
 _FIELDS = [f.split()[0] for f in SCHEMA.split(",")]
 
 
-class ChunkTokenizer:
-    """Ids of texts as little-endian bytes, by way of a bounded memory of blank-free chunks.
-
-    The tokenizer drops white space and none of its pieces or special tokens spans any,
-    so a text's ids are those of its chunks in order.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.most = most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*chunked).difference(self.known)) if chunked else []
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                # The chunks seen first tend to be the common ones.
-                self.known = dict(list(self.known.items())[: self.most // 2])
-                missing = list(set().union(*chunked).difference(self.known))
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            self.known.update(
-                (c, b"".join(i.to_bytes(4, "little") for i in e.ids)) for c, e in zip(missing, found)
-            )
-        look = self.known.__getitem__
-        return [b"".join(map(look, chunks)) for chunks in chunked]
-
-
 class Packer:
     """Packs a stream of documents; rows come out of ``add`` and ``end``."""
 
@@ -192,14 +162,15 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types)], names=_FIELDS)
 
 
-def pack_stream(batches: Iterable[pa.RecordBatch], packer: Packer, encode, end_id: int) -> Iterator[pa.RecordBatch]:
+def pack_stream(batches: Iterable[pa.RecordBatch], packer: Packer, tokenizer: ChunkTokenizer, end_id: int) -> Iterator[pa.RecordBatch]:
     end = end_id.to_bytes(4, "little")
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = part.column(1).to_pylist()
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                packer.add(doc_id, ids + end)
+        for lo, hi, data, offsets in pieces(batch, "text", 1 << 20):
+            ids, begin = tokenizer.encode_slice(data, offsets)
+            raw = ids.astype("<u4").tobytes()
+            begin = (4 * begin).tolist()
+            for k, doc_id in enumerate(batch.column(0)[lo:hi].to_pylist()):
+                packer.add(doc_id, raw[begin[k] : begin[k + 1]] + end)
             if len(packer.rows) >= 20_000:
                 yield _record(packer.take())
     packer.end()
@@ -219,7 +190,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         packer = Packer(longest, shortest, group_tokens, task << 40)
-        yield from pack_stream(batches, packer, _tokenizer(tokenizer_path).encode, end_id)
+        yield from pack_stream(batches, packer, _tokenizer(tokenizer_path), end_id)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 
-from bookloom.llm.packing import ChunkTokenizer, Packer, pack
+from bookloom.llm.chunk_tokens import ChunkTokenizer
+from bookloom.llm.packing import Packer, pack
 from bookloom.llm.sharding import greedy_cuts, shard, smallest_capacity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -66,11 +67,14 @@ def test_chunked_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    texts = ["It's a  test\n\nof\tthings", "", " ", "Éá x́ <|endoftext|>it'll<|startoftext|> 123 漢字!?", "a\x1cb c d", "ΣΑΣ Σ İ"]
-    got = ChunkTokenizer(PATH, most=4).encode(texts)
-    assert [[int.from_bytes(g[i : i + 4], "little") for i in range(0, len(g), 4)] for g in got] == [
-        e.ids for e in whole.encode_batch(texts, add_special_tokens=False)
-    ]
+    texts = ["It's a  test\n\nof\tthings", "", " ", "Éá x́ <|endoftext|>it'll<|startoftext|> 123 漢字!?", "a\x1cb c d", "ΣΑΣ Σ İ", "don't O'Neil'S x<|b A.B-c;12é Àß÷×ª ÿŸ [ok]_^`{}~", "ONHA!! Eau%%% (re) | 3rd#### e\u0301tat J\u030c"]
+    rng = random.Random(0)
+    texts += ["".join(rng.choice("aB é\n'.<|>1ß×漢\u0301Q,") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for small in (ChunkTokenizer(PATH, slot_bits=3, most_ids=50), ChunkTokenizer(PATH)):
+        for _ in range(2):
+            got = [g for k in range(0, len(texts), 7) for g in small.encode(texts[k : k + 7])]
+            assert [[int.from_bytes(g[i : i + 4], "little") for i in range(0, len(g), 4)] for g in got] == want
 
 
 def verify(rows, docs, encode):
