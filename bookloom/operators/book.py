@@ -137,6 +137,31 @@ class Book:
         """Comparable state; equal books give equal states."""
         return self.levels(0), self.levels(1), sorted((i, *o) for i, o in self.orders.items())
 
+    def to_bytes(self) -> bytes:
+        """The whole state; equal books give equal bytes whatever their history."""
+        bids, asks, orders = self.state()
+        head = struct.pack("<qBIIQ", -1 if self.cap is None else self.cap, self.modify == "clean", len(bids), len(asks), len(orders))
+        levels = b"".join(struct.pack("<QQQ", *x) for x in (*bids, *asks))
+        return head + levels + b"".join(struct.pack("<qBQQ", *x) for x in orders)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Book:
+        head, level, order = (struct.Struct(f) for f in ("<qBIIQ", "<QQQ", "<qBQQ"))
+        cap, clean, n_bids, n_asks, n_orders = head.unpack_from(raw)
+        at = head.size
+        if len(raw) != at + level.size * (n_bids + n_asks) + order.size * n_orders or (cap >= 0 and max(n_bids, n_asks) > cap):
+            raise ValueError("these bytes are no book")
+        book = cls(None if cap < 0 else cap, "clean" if clean else "reference")
+        for k in range(n_bids + n_asks):
+            price, qty, n = level.unpack_from(raw, at + k * level.size)
+            book.sides[int(k >= n_bids)][price] = [qty, n]
+        at += level.size * (n_bids + n_asks)
+        for k in range(n_orders):
+            order_id, side, price, qty = order.unpack_from(raw, at + k * order.size)
+            book.orders[order_id] = [side, price, qty]
+        book._best = [max(book.sides[0], default=None), min(book.sides[1], default=None)]
+        return book
+
     def __getstate__(self):
         return self.cap, self.modify, self.sides, self.orders, self._best
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookloom.functions import scalars
-from bookloom.operators import ladder, sequential, windows
+from bookloom.operators import ladder, sequential, telemetry, windows
 from bookloom.operators.book import final_books, top_of_book
 from bookloom.operators.detectors import chain
 from bookloom.schema import EVENT_LABELS, KINDS, SIDE_LABELS, label
+from bookloom.sources.itch import encode, project_fixed
 from bookloom.sources.testmarket import P1_SQL, P2_SQL, from_events, from_lineitem
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,3 +444,53 @@ def chain_episodes(spark, sf_dir):
 @query()
 def book_hashes(spark, sf_dir):
     return final_books(from_lineitem(spark, sf_dir)).groupBy("instrument_id").agg(F.first("l2_hash").alias("l2_hash"), F.count(F.lit(1)).alias("n_levels"))
+
+
+@query("""select instrument_id, seq, count(qty) over w as n, round(avg(qty) over w, 6) as mean, round(coalesce(var_samp(qty) over w, 0), 4) as variance,
+    min(qty) over w as least, max(qty) over w as most from p1 window w as (partition by instrument_id order by seq rows unbounded preceding)""")
+def running_stats(spark, sf_dir):
+    out = telemetry.running_stats(from_events(spark, sf_dir), "qty")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("variance", F.round("variance", 4))
+
+
+@query(f"""with {_ISEQ}, sm as (select instrument_id, max(seq) as seq, max(seq) as at from p1 group by instrument_id, ts_ns // 3600000000000), {_TOPS},
+    h as (select tp.instrument_id, p1.ts_ns // 3600000000000 as second, (bid + ask) // 2 as mid from tp join p1 on p1.instrument_id = tp.instrument_id and p1.seq = tp.seq
+        where bid is not null and ask is not null),
+    b as (select *, lag(mid) over (partition by instrument_id order by second) as before from h)
+    select instrument_id, second, mid, round(case when before is null then 0 else abs(mid - before) / mid * 10000 end, 6)::double as drift_bps from b""".replace("b as (select *, lag(mid)", "hb as (select *, lag(mid)").replace("as drift_bps from b", "as drift_bps from hb"))
+def mid_drift(spark, sf_dir):
+    """Hours stand for seconds: the test stream is sparse."""
+    tops = top_of_book(from_events(spark, sf_dir), depth=0).withColumn("ts_ns", F.floor(F.col("ts_ns") / 3600).cast("long"))
+    last = Window.partitionBy("instrument_id", F.floor(F.col("ts_ns") / 1_000_000_000)).orderBy(F.desc("seq"))
+    return telemetry.mid_drift(tops.withColumn("k", F.row_number().over(last)).filter("k = 1")).withColumn("drift_bps", F.round("drift_bps", 6))
+
+
+@query("select instrument_id, et, side, price, qty, order_id, ts_ns % 281474976710656 as ts_ns from p1 where et = 1 or (et = 4 and price > 0)")
+def itch_round_trip(spark, sf_dir):
+    """Events written as capture messages and read back by column expressions."""
+    columns = ["et", "instrument_id", "ts_ns", "order_id", "side", "price", "qty"]
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [encode(e[0], e[1], e[2] % (1 << 48), *e[3:]) for e in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["message"])
+
+    rows = from_events(spark, sf_dir).filter("et = 1 or (et = 4 and price > 0)").select(*columns)
+    return project_fixed(rows.mapInArrow(write, "message binary"))
+
+
+@query()
+def tick_frames(spark, sf_dir):
+    return telemetry.ticks(from_events(spark, sf_dir), 3_600_000_000_000, 1000, 50, 32)
+
+
+@query()
+def ladder_frames(spark, sf_dir):
+    return telemetry.ladder_frames(from_events(spark, sf_dir), 3_600_000_000_000)
+
+
+@query()
+def state_hashes(spark, sf_dir):
+    return telemetry.state_hashes(from_events(spark, sf_dir), 100)

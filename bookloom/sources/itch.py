@@ -157,6 +157,11 @@ def read_directory(spark: SparkSession, path: str, framing: str = "unframed") ->
     return found.groupBy("instrument_id").agg(F.max_by("symbol", F.struct("path", "at")).alias("symbol"))
 
 
+def instrument_of(directory: DataFrame, symbol: str) -> DataFrame:
+    """The directory's rows of a symbol, whatever its case."""
+    return directory.filter(F.upper("symbol") == symbol.strip().upper())
+
+
 def project_fixed(frames: DataFrame) -> DataFrame:
     """Adds and trades decoded by column expressions from a table of single messages (``message`` binary)."""
     number = lambda at, n: F.conv(F.hex(F.substring("message", at + 1, n)), 16, 10).cast("long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookloom.operators.book import Book
 from bookloom.schema import EVENT_COLUMNS
 from bookloom.sources.itch import _DDL, _TYPES, _files, _tables
 
@@ -187,12 +187,12 @@ class BadSnapshot(ValueError):
     """Cut off, of another kind or version, or with a wrong length."""
 
 
-def snapshot(seq: int, book) -> bytes:
-    data = pickle.dumps(book)
+def snapshot(seq: int, book: Book) -> bytes:
+    data = book.to_bytes()
     return _SNAP_HEAD.pack(MAGIC, VERSION, seq, book.l2_hash(), len(data)) + data
 
 
-def restore(raw: bytes):
+def restore(raw: bytes) -> tuple[int, Book]:
     """(sequence, book); the book's hash must be the stored one."""
     if len(raw) < _SNAP_HEAD.size:
         raise BadSnapshot("cut off")
@@ -201,7 +201,20 @@ def restore(raw: bytes):
         raise BadSnapshot("not a snapshot of this version")
     if size > len(raw) - _SNAP_HEAD.size:
         raise BadSnapshot("the book is cut off")
-    book = pickle.loads(raw[_SNAP_HEAD.size : _SNAP_HEAD.size + size])
+    book = Book.from_bytes(raw[_SNAP_HEAD.size : _SNAP_HEAD.size + size])
     if book.l2_hash() != state:
         raise BadSnapshot("the book's hash differs")
     return seq, book
+
+
+def write_snapshot(path: str, seq: int, book: Book) -> None:
+    """Under another name first, so that a reader never meets half of it."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(target.name + ".part")
+    part.write_bytes(snapshot(seq, book))
+    part.replace(target)
+
+
+def read_snapshot(path: str) -> tuple[int, Book]:
+    return restore(Path(path).read_bytes())

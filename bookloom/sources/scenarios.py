@@ -186,10 +186,81 @@ def storm(kind: str, seed: int, events: int) -> Iterator[tuple]:
         restart += 1
 
 
+class Orchestrator:
+    """Runs one scenario at a time until its time is over: start, stop, poll.
+
+    ``poll`` gives the events due by then, at most ``most`` scripts of them at once; a
+    script that has ended starts again with the next seed.
+    """
+
+    def __init__(self, most: int = 32):
+        self.most, self.active = most, None
+
+    def start(self, kind: str, seed: int, duration_ns: int, now_ns: int) -> dict:
+        self.active = {"kind": kind, "seed": seed, "started_at_ns": now_ns, "expires_at_ns": now_ns + max(duration_ns, 1), "due_ns": now_ns, "restarts": 0}
+        return self.snapshot()
+
+    def stop(self) -> None:
+        self.active = None
+
+    def snapshot(self) -> dict:
+        return {"mode": "active", **self.active} if self.active else {"mode": "idle"}
+
+    def poll(self, now_ns: int, base_seq: int) -> list[tuple]:
+        out: list[tuple] = []
+        for _ in range(self.most):
+            a = self.active
+            if a is None:
+                break
+            if now_ns >= a["expires_at_ns"]:
+                self.stop()
+                break
+            if a["due_ns"] > now_ns:
+                break
+            script = SCENARIOS[a["kind"]](a["seed"] + a["restarts"])
+            for e in script:
+                order_id = e[6] and e[6] + (a["restarts"] << 32)
+                out.append((base_seq + len(out), *e[1:6], order_id, a["due_ns"] + e[7]))
+            a["due_ns"] += script[-1][7] + 1
+            a["restarts"] += 1
+        return out
+
+
+def crashy(n: int, seed: int, every: int = 5000, mid: int = 10_000) -> list[tuple]:
+    """An ordinary market with a sweep of fifty cancels and eight trades every ``every`` events."""
+    out: list[tuple] = []
+    live: dict[int, tuple] = {}
+    seq = 0
+    for e in market(n, seed, mid=mid):
+        batch = [e]
+        if e[2] == ADD:
+            live[e[6]] = e
+        elif e[2] == CANCEL:
+            live.pop(e[6], None)
+        if e[0] % every == 0:
+            victims = [live.pop(k) for k in list(live)[:58]]
+            batch += [(0, v[1], CANCEL if k < 50 else TRADE, v[3], v[4], 0 if k < 50 else v[5], v[6], e[7]) for k, v in enumerate(victims)]
+        for x in batch:
+            seq += 1
+            out.append((seq, *x[1:]))
+    return out[:n]
+
+
 def to_frame(spark: SparkSession, events: list[tuple]) -> DataFrame:
     return spark.createDataFrame(events, EVENT)
 
 
+def phased(spark: SparkSession, n: int, instruments: int = 16, seed: int = 42, phase: int = 10_000) -> DataFrame:
+    """``synthetic`` in four phases in turn: calm, one-sided quotes, heavy trading, a fall of the mid."""
+    rows = synthetic(spark, n, instruments, seed)
+    turn = F.pmod(F.floor((F.col("seq") - 1) / phase), F.lit(4))
+    rows = rows.withColumn("side", F.when(turn == 1, 0).otherwise(F.col("side")).cast("int"))
+    rows = rows.withColumn("price", F.when(F.col("side") == 0, 10_000 - F.abs(F.col("price") - 10_000)).otherwise(10_000 + F.abs(F.col("price") - 10_000)))
+    rows = rows.withColumn("qty", F.when((turn == 2) & (F.col("et") == TRADE), F.col("qty") * 3).otherwise(F.col("qty")))
+    drop = F.when(turn == 3, F.floor(F.pmod(F.col("seq"), F.lit(phase)) * 100 / phase)).otherwise(0)
+    return rows.withColumn("price", (F.col("price") - drop).cast("long")).select(*EVENT.fieldNames())
+
+
 def synthetic(spark: SparkSession, n: int, instruments: int = 16, seed: int = 42, parts: int | None = None) -> DataFrame:
     """A large ordinary stream made on the executors: hashes of the row number decide everything.
 
