@@ -85,7 +85,7 @@ class Segments:
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str, slot_bits: int = 21, most_ids: int = 12_000_000):
+    def __init__(self, path: str, slot_bits: int = 21, most_ids: int = 6_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,8 +98,8 @@ class ChunkTokenizer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(1 << self.slot_bits, np.uint64)
-        self.at = np.zeros(1 << self.slot_bits, np.int64)
-        self.size = np.zeros(1 << self.slot_bits, np.int64)
+        self.at = np.zeros(1 << self.slot_bits, np.int32)
+        self.size = np.zeros(1 << self.slot_bits, np.int32)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
@@ -114,7 +114,7 @@ class ChunkTokenizer:
         if self.used > self.most_ids:
             self._forget()
             missing = np.arange(len(hashes))
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         if len(missing):
             own, index, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             first = missing[index]

@@ -29,7 +29,8 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bookloom-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # A file for each partition: a few for each core are enough, however many the shuffle made.
+    return df.coalesce(4 * context.defaultParallelism).checkpoint(eager=True)
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000, how: str = "left") -> DataFrame:

@@ -8,11 +8,18 @@ same on every executor and every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: nothing to trim
+    _LIBC = None
+
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_VALUES = _RANDOM.integers(1, 2**64, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 _FACTORS = _RANDOM.integers(1, 2**64, size=(2, 64), dtype=np.uint64) | np.uint64(1)
@@ -53,7 +60,7 @@ def both_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         back = np.full(size, np.uint64(inverse), np.uint64)
         back[0] = 1
         have = _powers(size, which), np.multiply.accumulate(back)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _CACHED[which] = have
     return have
 
@@ -121,7 +128,13 @@ def columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def pieces(batch: pa.RecordBatch, name: str, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def trim() -> None:
+    """Give freed memory back to the system; workers live for many tasks and share a machine's memory."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, name: str, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``size`` bytes of text: (from row, to row, bytes, offsets)."""
     if not batch.num_rows:
         return
@@ -132,6 +145,7 @@ def pieces(batch: pa.RecordBatch, name: str, size: int = 2 << 20) -> Iterator[tu
         to = min(to, n)
         yield at, to, data, offsets[at : to + 1]
         at = to
+    trim()
 
 
 def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
