@@ -85,7 +85,7 @@ def depth_top(ladder: DataFrame, n: int = 10) -> DataFrame:
 
 def best_quotes(ladder: DataFrame) -> DataFrame:
     """instrument_id, bid, bid_size, ask, ask_size, spread, mid, microprice."""
-    at = lambda s: F.struct("price", "total_qty") if s is None else F.when(F.col("side") == s, F.struct("price", "total_qty"))
+    at = lambda side: F.when(F.col("side") == side, F.struct("price", "total_qty"))
     tops = ladder.groupBy("instrument_id").agg(F.max(at(0)).alias("b"), F.min(at(1)).alias("a"))
     tops = tops.select(
         "instrument_id", F.col("b.price").alias("bid"), F.col("b.total_qty").alias("bid_size"),

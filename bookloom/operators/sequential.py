@@ -91,7 +91,7 @@ _PAIR = {"FlashCrash", "MomentumIgnition"}
 class Clusterer(Fold):
     """Tags each flag with its episode and the episode's bounds so far.
 
-    Input, in start order: seq (start), instrument, end, start_ts, end_ts, kind, initiator, severity.
+    Input, by place in start order: place, instrument, start, end, start_ts, end_ts, kind, initiator, severity.
     A flag joins the current episode if it starts close enough and is of the same kind and
     initiator, or if the two kinds are a crash and an ignition.
     """
@@ -101,7 +101,7 @@ class Clusterer(Fold):
         self.n, self.now = 0, None  # kind, initiator, end, end_ts
 
     def step(self, event: tuple) -> Iterable[tuple]:
-        start, instrument, end, start_ts, end_ts, kind, initiator, severity = event
+        _, instrument, start, end, start_ts, end_ts, kind, initiator, severity = event
         if self.now is not None and self._joins(start, start_ts, kind, initiator):
             first, who, last, last_ts = self.now
             self.now = (first, who, max(last, end), max(last_ts, end_ts))
@@ -122,17 +122,10 @@ class Clusterer(Fold):
 
 def episodes(flags: DataFrame, gap: int = 64, gap_ns: int = 0) -> DataFrame:
     """Episodes of flags (schema.FLAG): bounds, kind and initiator of the first flag, count, severities."""
-    rows = flags.select(
-        F.col("start_seq").alias("seq"), "instrument_id", "end_seq", "start_ts_ns", "end_ts_ns", "kind", "initiator", "severity", "emit_seq", "detector_ord"
-    )
-    columns = ["seq", "instrument_id", "end_seq", "start_ts_ns", "end_ts_ns", "kind", "initiator", "severity"]
     # Ties of the start keep the order of emission.
-    dense = F.row_number().over(Window.partitionBy("instrument_id").orderBy("seq", "emit_seq", "detector_ord"))
-    ordered = rows.withColumn("place", dense.cast("long"))
-    tagged = run(
-        ordered.select(*columns, "place").withColumnRenamed("seq", "start").withColumnRenamed("place", "seq"),
-        lambda: _Placed(Clusterer(gap, gap_ns)), EPISODE, columns=["seq", "instrument_id", "start", *columns[2:]],
-    )
+    place = F.row_number().over(Window.partitionBy("instrument_id").orderBy("start_seq", "emit_seq", "detector_ord"))
+    columns = ["seq", "instrument_id", "start_seq", "end_seq", "start_ts_ns", "end_ts_ns", "kind", "initiator", "severity"]
+    tagged = run(flags.withColumn("seq", place.cast("long")), lambda: Clusterer(gap, gap_ns), EPISODE, columns=columns)
     out = tagged.groupBy("instrument_id", "episode").agg(
         F.first("kind").alias("kind"), F.first("initiator").alias("initiator"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"),
         F.min("start_ts_ns").alias("start_ts_ns"), F.max("end_ts_ns").alias("end_ts_ns"), F.count(F.lit(1)).alias("n_flags"),
@@ -141,17 +134,6 @@ def episodes(flags: DataFrame, gap: int = 64, gap_ns: int = 0) -> DataFrame:
     return out.withColumn("composite_severity", F.col("peak_severity") * (1 + F.log(F.col("n_flags"))))
 
 
-class _Placed(Fold):
-    """A clusterer whose events carry their place first."""
-
-    def __init__(self, inner: Clusterer):
-        self.inner = inner
-
-    def step(self, event: tuple) -> Iterable[tuple]:
-        _, instrument, start, *rest = event
-        return self.inner.step((start, instrument, *rest))
-
-
 # ---- Risk gate --------------------------------------------------------------------------------
 
 

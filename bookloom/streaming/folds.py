@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from bookloom.operators.book import TOP, TopOfBook
 from bookloom.operators.detectors import Chain
 from bookloom.operators.fold import Fold
+from bookloom.operators.sequential import DECISION, RISK_COLUMNS, VPIN, Limits, RiskGate, VpinBuckets
 from bookloom.schema import EVENT_COLUMNS, FLAG, KINDS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,6 +83,15 @@ def stream_chain(events: DataFrame, parameters: dict[str, dict] | None = None, k
     return stream_fold(events, lambda: Chain(parameters, kinds), FLAG)
 
 
+def stream_risk(actions: DataFrame, limits: Limits | None = None) -> DataFrame:
+    return stream_fold(actions, lambda: RiskGate(limits), DECISION, "desk", RISK_COLUMNS)
+
+
+def stream_vpin(trades: DataFrame, size: int = 10_000) -> DataFrame:
+    """Closed volume buckets; ``trades``: seq, instrument_id, qty, sign."""
+    return stream_fold(trades, lambda: VpinBuckets(size), VPIN, columns=["seq", "instrument_id", "qty", "sign"])
+
+
 class Sequencer(_Stateful):
     """Passes a channel's rows on in gapless sequence; later ones wait, up to ``capacity``, in the state."""
 

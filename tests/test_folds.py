@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from bookloom.operators.book import Book, TopOfBook, final_books
 from bookloom.operators.detectors import Chain, PhantomLiquidity, chain
@@ -60,6 +62,53 @@ def test_best_prices_are_kept(seed):
         assert b.best_bid == max(b.sides[0], default=None) and b.best_ask == min(b.sides[1], default=None)
 
 
+class PlainBook:
+    """Levels recomputed from all orders alive; for streams with unique ids and no modifies."""
+
+    def __init__(self):
+        self.orders = {}
+
+    def apply(self, et, side, price, qty, order_id):
+        if et == ADD:
+            self.orders[order_id] = [side, price, qty]
+        elif order_id in self.orders:
+            order = self.orders[order_id]
+            order[2] -= order[2] if et == CANCEL and qty == 0 else min(qty, order[2])
+            if not order[2]:
+                del self.orders[order_id]
+
+    def levels(self, side):
+        out = {}
+        for s, p, q in self.orders.values():
+            if s == side:
+                total, n = out.get(p, (0, 0))
+                out[p] = total + q, n + 1
+        return [(p, *x) for p, x in sorted(out.items(), reverse=side == 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([ADD, ADD, CANCEL, TRADE]), st.integers(0, 1), st.integers(95, 105), st.integers(0, 9), st.integers(1, 12)), max_size=80))
+def test_book_equals_recomputation(events):
+    book, plain, used = Book(), PlainBook(), set()
+    for et, side, price, qty, order_id in events:
+        if et == ADD:
+            if order_id in used or not qty:
+                continue
+            used.add(order_id)
+        book.apply(et, side, price, qty, order_id)
+        plain.apply(et, side, price, qty, order_id)
+        assert [book.levels(s) for s in (0, 1)] == [plain.levels(s) for s in (0, 1)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(9990, 10_010), st.integers(0, 500)), max_size=200))
+def test_no_flags_on_adds_alone(adds):
+    tape = scenarios.Tape()
+    for side, price, qty in adds:
+        tape.add(side, price, qty)
+    assert replay(tape.events, Chain()) == []
+
+
 def test_fold_equals_closed_form_at_any_partitioning(spark):
     events = [e for i in range(5) for e in scenarios.market(800, i, instrument=i)]
     random.Random(1).shuffle(events)
@@ -145,7 +194,7 @@ def ends(gap, gap_ns, *flags):
 
 
 def test_episodes_join_by_kind_and_initiator():
-    f = lambda s, e, kind="Spoof", who=7, ts=0: (s, 1, e, ts, ts, kind, who, 0.5)
+    f = lambda s, e, kind="Spoof", who=7, ts=0: (0, 1, s, e, ts, ts, kind, who, 0.5)
     assert ends(10, 0, f(1, 5), f(15, 20), f(31, 40)) == [1, 1, 2]
     assert ends(10, 0, f(1, 5), f(6, 9, who=8), f(10, 12)) == [1, 2, 3]
     assert ends(10, 0, f(1, 5, who=None), f(6, 9, who=None)) == [1, 2]

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from bookloom.operators.book import top_of_book
 from bookloom.operators.detectors import chain
+from bookloom.operators.sequential import Limits, risk_decisions, vpin
 from bookloom.schema import EVENT
 from bookloom.sources import scenarios
 from bookloom.streaming import folds, sinks
@@ -39,6 +41,26 @@ def test_streams_resume_and_equal_batch(spark, stream):
     assert run(folds.stream_chain, "flags") == sorted(map(repr, map(tuple, chain(df).collect())))
 
 
+def test_risk_and_vpin_streams_equal_batch(spark, stream):
+    add, run = stream
+    events = [e for i in range(2) for e in scenarios.market(200, i, instrument=i)]
+    add([e for e in events if e[0] <= 90], 1)
+    add([e for e in events if e[0] > 90], 2)
+
+    def actions(df):
+        kind = F.when(F.col("et") == 4, "fill").otherwise("intent")
+        return df.withColumn("desk", F.col("instrument_id")).withColumn("action", kind)
+
+    def trades(df):
+        return df.filter("et = 4").withColumn("sign", (F.col("side") * 2 - 1).cast("int"))
+
+    df, limits = scenarios.to_frame(spark, events), Limits(orders_per_sec=None, position=900)
+    want = sorted(map(repr, map(tuple, risk_decisions(actions(df), limits).collect())))
+    assert run(lambda s: folds.stream_risk(actions(s), limits), "risk") == want
+    want = sorted(map(repr, map(tuple, vpin(trades(df), 300).drop("vpin").collect())))
+    assert run(lambda s: folds.stream_vpin(trades(s), 300), "vpin") == want and want
+
+
 def test_sequencer_orders_and_drops_duplicates(spark, stream):
     add, run = stream
     events = scenarios.market(60, 9)
