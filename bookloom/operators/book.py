@@ -302,28 +302,37 @@ class MiniBook:
 
     def add(self, side: int, price: int, qty: int) -> None:
         levels = self.sides[side]
-        levels[price] = levels.get(price, 0) + qty
+        held = levels.get(price)
+        if held is not None:
+            levels[price] = held + qty
+            return
+        levels[price] = qty
+        if side == 0:
+            if self.bid is None or price > self.bid:
+                self.bid = price
+        elif self.ask is None or price < self.ask:
+            self.ask = price
         if len(levels) > self.cap:
-            del levels[(min if side == 0 else max)(levels)]
-        self._settle(side)
+            self._drop(side, (min if side == 0 else max)(levels))
 
     def sub(self, side: int, price: int, qty: int) -> None:
         levels = self.sides[side]
         held = levels.get(price)
         if held is None:
             return
-        left = 0 if qty == 0 else held - min(qty, held)
-        if left:
-            levels[price] = left
+        if qty and qty < held:
+            levels[price] = held - qty
         else:
-            del levels[price]
-            self._settle(side)
+            self._drop(side, price)
 
-    def _settle(self, side: int) -> None:
+    def _drop(self, side: int, price: int) -> None:
+        levels = self.sides[side]
+        del levels[price]
         if side == 0:
-            self.bid = max(self.sides[0], default=None)
-        else:
-            self.ask = min(self.sides[1], default=None)
+            if price == self.bid:
+                self.bid = max(levels, default=None)
+        elif price == self.ask:
+            self.ask = min(levels, default=None)
 
     def mid(self) -> int | None:
         """Crossed books have none; locked ones do."""
@@ -332,5 +341,8 @@ class MiniBook:
         return (self.bid + self.ask) // 2
 
     def band(self, bid: int, ask: int, ticks: int) -> int:
+        bids, asks = self.sides
+        if ticks < len(bids) and ticks < len(asks):
+            return sum(bids.get(p, 0) for p in range(max(bid - ticks, 0), bid + 1)) + sum(asks.get(p, 0) for p in range(ask, ask + ticks + 1))
         low, high = max(bid - ticks, 0), ask + ticks
-        return sum(q for p, q in self.sides[0].items() if low <= p <= bid) + sum(q for p, q in self.sides[1].items() if ask <= p <= high)
+        return sum(q for p, q in bids.items() if low <= p <= bid) + sum(q for p, q in asks.items() if ask <= p <= high)
