@@ -39,7 +39,7 @@ from bookloom.llm.textkit import BLANK_BYTES, Words, grams, packed, pieces, whol
 #: Prefix lengths in words, and the bits of a counter's place at each length.
 _DEPTHS, _SLOT_BITS = (1, 2, 4, 8), 12
 #: Bytes of text that are combined before anything is sent.
-_UNIT = 12 << 20
+UNIT = 12 << 20
 #: A place: 16 more bits of the suffix's hash, 16 that tell apart texts of one id, 32 of word position.
 _MORE, _TAG, _POSITION_BITS = np.uint64(48), np.uint64(32), 32
 _LOW16, _LOW32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
@@ -88,8 +88,8 @@ def _by_document(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 class _Plan:
     """Window sizes, groups and routes; small and of fixed size, so it travels with the tasks."""
 
-    def __init__(self, window: int, anchor: int, anchor_groups: int):
-        self.window, self.anchor, self.anchor_groups = window, min(anchor, window), anchor_groups
+    def __init__(self, window: int, anchor: int, anchor_groups: int, unit: int):
+        self.window, self.anchor, self.anchor_groups, self.unit = window, min(anchor, window), anchor_groups, unit
         self.routes: np.ndarray | None = None  # group of each slot at each depth, -1: go deeper
         self.groups = 1
 
@@ -109,7 +109,7 @@ class _Plan:
     def find_anchors(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by group (gid >= 0), anchors known to repeat by row (gid = -1), prefix counts (gid = -2)."""
         counts = np.zeros((len(_DEPTHS), 1 << _SLOT_BITS), np.int64)
-        for unit in _units(batches, _UNIT):
+        for unit in _units(batches, self.unit):
             keys, rows = [], []
             for batch, lo, hi, data, offsets in unit:
                 words, hashes, n, inside = self.windows(data, offsets)
@@ -144,7 +144,7 @@ class _Plan:
 
     def send_suffixes(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffixes by group (gid >= 0), and starts of repeats that the unit itself shows (gid < 0)."""
-        for unit in _units(batches, _UNIT):
+        for unit in _units(batches, self.unit):
             parts = []
             for batch, lo, hi, data, offsets in unit:
                 words, hashes, n, inside = self.windows(data, offsets)
@@ -294,14 +294,14 @@ def _routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
     return routes, group + 1
 
 
-def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21) -> DataFrame:
+def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21, unit: int = UNIT) -> DataFrame:
     """doc, starts: where windows begin that also start in a document with a smaller id.
 
     ``starts`` is an array of binaries of places (see ``_POSITION_BITS``). A window that a
     text repeats is given by its first place there. ``docs`` has the columns rid, doc, text.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    plan = _Plan(window, anchor, int(size) // (64 << 20) + 1)
+    plan = _Plan(window, anchor, int(size) // (64 << 20) + 1, unit)
     found = docs.select("doc", "text").mapInArrow(plan.find_anchors, _SCHEMA)
     found = settle(found.groupBy("gid").applyInArrow(_merge_anchors, _OUT))
     counts = found.filter("gid = -2").select("keys").collect()  # one row of fixed size, or none
@@ -343,14 +343,14 @@ def _kept(text: pd.Series, rid: pd.Series, starts: pd.Series, window: pd.Series)
     return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21, unit: int = UNIT) -> DataFrame:
     """doc_id, text (kept words, one space between them), n_words, n_removed for each row."""
     text = text_or_empty(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(
         "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text"
     )
-    starts = repeat_starts(rows, window, anchor, group_size)
+    starts = repeat_starts(rows, window, anchor, group_size, unit)
     out = rows.join(starts, "doc", "left")
     out = out.select("doc_id", _kept("text", "rid", "starts", F.lit(window)).alias("new"))
     return out.select("doc_id", "new.text", "new.n_words", "new.n_removed")

@@ -26,11 +26,10 @@ def corpus(seed, n=120):
 
 @pytest.mark.parametrize(("unit", "groups"), [(12 << 20, 128), (2000, 5)])
 def test_repeats_match_a_dictionary_of_windows(spark, monkeypatch, unit, groups):
-    monkeypatch.setattr(sd, "_UNIT", unit)
     monkeypatch.setattr(sd, "_LEAST_GROUPS", groups)
     docs = corpus(unit)
     df = spark.createDataFrame(list(docs.items()), SCHEMA).repartition(4).withColumn("rid", F.lit("x")).withColumn("doc", F.lit(1))
-    out = {r.doc_id: r for r in sd.substring_dedup(df).collect()}
+    out = {r.doc_id: r for r in sd.substring_dedup(df, unit=unit).collect()}
     want = sd.removed_by_force(docs)
     assert {i: r.text.split(" ") if r.text else [] for i, r in out.items()} == want
     assert all(r.n_words - r.n_removed == len(want[i]) for i, r in out.items())
