@@ -24,6 +24,14 @@ def corpus(n=500):
     return rows, labels
 
 
+def test_sites_by_shuffle_or_broadcast(spark, monkeypatch):
+    rows, labels = corpus(120)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = sorted(map(tuple, q.score(docs, known).collect()))
+    monkeypatch.setattr(q, "BROADCAST_SITES", 0)
+    assert [x[0] for x in sorted(map(tuple, q.score(docs, known).collect()))] == [x[0] for x in want]
+
+
 def test_held_out_accuracy_and_filter(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
