@@ -16,14 +16,28 @@ def with_iseq(events: DataFrame) -> DataFrame:
     return events.withColumn("iseq", F.row_number().over(Window.partitionBy(_KEY).orderBy("seq")).cast("long"))
 
 
+def trailing(rows: DataFrame, sums: dict[str, Column], width: int, order: str = "seq") -> DataFrame:
+    """``rows`` with sums over the last ``width`` rows of the instrument, and their number ``n_rows``.
+
+    Each is a running sum less the one ``width`` rows back, so a row costs the same for any
+    width; a sliding frame would add up its rows anew for each of them. The values must be
+    whole numbers.
+    """
+    w = Window.partitionBy(_KEY).orderBy(order)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n_rows", F.least(F.row_number().over(w), F.lit(width)).cast("long"))
+    rows = rows.withColumns({f"_{name}": F.sum(value).over(running) for name, value in sums.items()})
+    rows = rows.withColumns({name: F.col(f"_{name}") - F.coalesce(F.lag(f"_{name}", width).over(w), F.lit(0)) for name in sums})
+    return rows.drop(*[f"_{name}" for name in sums])
+
+
 def quote_stuff(events: DataFrame, size: int = 48, ratio: float = 8.0) -> DataFrame:
     """instrument_id, seq, start_seq, n_events, cancels, trades, severity of each flagged event."""
-    frame = Window.partitionBy(_KEY).orderBy("seq").rowsBetween(1 - size, 0)
-    count = lambda et: F.sum((F.col("et") == et).cast("long")).over(frame)
-    rows = events.filter("et in (1, 2, 4)").select(
-        _KEY, "seq", F.first("seq").over(frame).alias("start_seq"), F.count(F.lit(1)).over(frame).alias("n_events"),
-        count(2).alias("cancels"), count(4).alias("trades"),
-    )
+    w = Window.partitionBy(_KEY).orderBy("seq")
+    start = F.coalesce(F.lag("seq", size - 1).over(w), F.first("seq").over(w))
+    rows = events.filter("et in (1, 2, 4)").select(_KEY, "seq", "et", start.alias("start_seq"))
+    of = lambda et: (F.col("et") == et).cast("long")
+    rows = trailing(rows, {"cancels": of(2), "trades": of(4)}, size).withColumnRenamed("n_rows", "n_events").drop("et")
     r = F.col("cancels") / F.greatest("trades", F.lit(1))
     rows = rows.withColumn("r", r).filter((F.col("r") >= ratio) & (F.col("n_events") >= size // 2))
     return rows.withColumn("severity", F.least(F.col("r") / ratio / 2.0, F.lit(1.0))).drop("r")
@@ -47,19 +61,18 @@ def spoof(events: DataFrame, large: int = 1000, within: int = 64) -> DataFrame:
 
 def cancel_rate(events: DataFrame, span: int = 2048, least: int = 128) -> DataFrame:
     """instrument_id, iseq, n_events, cancels: the window a storm detector looks at, where it is full enough."""
-    own = with_iseq(events).filter("et in (1, 2, 4)")
-    frame = Window.partitionBy(_KEY).orderBy("iseq").rangeBetween(-span, 0)
-    out = own.select(
-        _KEY, "iseq", F.count(F.lit(1)).over(frame).alias("n_events"), F.sum((F.col("et") == 2).cast("long")).over(frame).alias("cancels")
-    )
-    return out.filter(F.col("n_events") >= least)
+    counted = F.col("et").isin(1, 2, 4)
+    own = with_iseq(events).select(_KEY, "iseq", "et")
+    # Places are gapless, so a span of places is a number of rows.
+    sums = {"n_events": counted.cast("long"), "cancels": (F.col("et") == 2).cast("long")}
+    out = trailing(own, sums, span + 1, "iseq").filter(counted & (F.col("n_events") >= least))
+    return out.select(_KEY, "iseq", "n_events", "cancels")
 
 
 def rolling_spread(tops: DataFrame, width: int = 256) -> DataFrame:
     """instrument_id, seq, spread, mean_spread, blowout over two-sided samples; ``tops`` has seq, bid, ask."""
-    frame = Window.partitionBy(_KEY).orderBy("seq").rowsBetween(1 - width, 0)
     rows = tops.withColumn("spread", scalars.spread(F.col("bid"), F.col("ask"))).filter("spread is not null")
-    rows = rows.select(_KEY, "seq", "spread", F.sum("spread").over(frame).alias("s"), F.count(F.lit(1)).over(frame).alias("n"))
+    rows = trailing(rows.select(_KEY, "seq", "spread"), {"s": F.col("spread")}, width).withColumnRenamed("n_rows", "n")
     mean = F.col("s") / F.col("n")
     blowout = F.when(F.col("s") == 0, 1.0).otherwise(F.col("spread") * F.col("n") / F.col("s"))
     return rows.select(_KEY, "seq", "spread", mean.alias("mean_spread"), blowout.alias("blowout"))
