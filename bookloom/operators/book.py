@@ -17,14 +17,14 @@ MAX_LEVELS = 256
 class Book:
     """Levels by price and orders by id of one instrument.
 
-    ``modify="reference"`` cancels and re-adds with the same event, so a smaller quantity
+    ``modify="additive"`` cancels and re-adds with the same event, so a smaller quantity
     leaves the difference at the old level; ``"clean"`` removes the whole order first.
     ``cap=None`` never drops a level.
     """
 
     __slots__ = ("_best", "cap", "modify", "orders", "sides")
 
-    def __init__(self, cap: int | None = MAX_LEVELS, modify: str = "reference"):
+    def __init__(self, cap: int | None = MAX_LEVELS, modify: str = "additive"):
         self.cap, self.modify = cap, modify
         self.sides: tuple[dict, dict] = ({}, {})  # price -> [quantity, orders]
         self.orders: dict[int, list] = {}  # id -> [side, price, quantity]
@@ -151,7 +151,7 @@ class Book:
         at = head.size
         if len(raw) != at + level.size * (n_bids + n_asks) + order.size * n_orders or (cap >= 0 and max(n_bids, n_asks) > cap):
             raise ValueError("these bytes are no book")
-        book = cls(None if cap < 0 else cap, "clean" if clean else "reference")
+        book = cls(None if cap < 0 else cap, "clean" if clean else "additive")
         for k in range(n_bids + n_asks):
             price, qty, n = level.unpack_from(raw, at + k * level.size)
             book.sides[int(k >= n_bids)][price] = [qty, n]
