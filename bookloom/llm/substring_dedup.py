@@ -27,14 +27,12 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bookloom.llm.common import LAST_ID, settle, text_or_empty
-from bookloom.llm.textkit import BLANK_BYTES, Words, grams, packed, pieces, whole
+from bookloom.llm.textkit import BLANK_BYTES, Words, grams, packed, pieces, trim, whole
 
 #: Prefix lengths in words, and the bits of a counter's place at each length.
 _DEPTHS, _SLOT_BITS = (1, 2, 4, 8), 12
@@ -316,31 +314,38 @@ def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size
     return starts.groupBy("doc").agg(F.collect_list("keys").alias("starts"))
 
 
-_NEW = T.StructType().add("text", T.StringType()).add("n_words", T.LongType()).add("n_removed", T.LongType())
-
-
-@F.pandas_udf(_NEW)
-def _kept(text: pd.Series, rid: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
-    out = []
-    for whole_text, own, found, w in zip(text, rid, starts, window):
-        raw = whole_text.encode("utf-8", "surrogatepass")
-        words = raw.split()
-        n = len(words)
-        if found is not None and len(found):
-            places = np.frombuffer(b"".join(found), np.uint64)
-            tag = np.uint64(int(own) & 0xFFFF)
-            places = (places[(places >> _TAG & _LOW16) == tag] & _LOW32).astype(np.int64)
-            if len(places):
-                view = np.frombuffer(raw, np.uint8)
-                keys = grams(Words(view, np.array([0, len(view)]), BLANK_BYTES).hashes(), int(w))
-                begin = np.flatnonzero(np.isin(keys, keys[places]))
-                depth = np.zeros(n + 1, np.int64)
-                depth[begin] += 1
-                depth[begin + int(w)] -= 1
-                stays = np.cumsum(depth[:-1]) == 0
-                words = [x for x, s in zip(words, stays.tolist()) if s]
-        out.append((b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)))
-    return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
+def _without_repeats(text: str, rid: int, starts: list[bytes] | None, window: int) -> tuple[str, int, int]:
+    """The words that stay, how many there were, and how many went."""
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    n = len(words)
+    if starts:
+        places = np.frombuffer(b"".join(starts), np.uint64)
+        tag = np.uint64(rid & 0xFFFF)
+        places = (places[(places >> _TAG & _LOW16) == tag] & _LOW32).astype(np.int64)
+        if len(places):
+            keys = grams(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BLANK_BYTES).hashes(), window)
+            begin = np.flatnonzero(np.isin(keys, keys[places]))
+            depth = np.zeros(n + 1, np.int64)
+            depth[begin] += 1
+            depth[begin + window] -= 1
+            stays = np.cumsum(depth[:-1]) == 0
+            words = [x for x, s in zip(words, stays.tolist()) if s]
+    return b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)
+
+
+def _kept(window: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "rid", "starts")))
+                text, n, gone = zip(*(_without_repeats(*r, window) for r in rows))
+                columns = [part.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed"])
+            trim()
+
+    return run
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21, unit: int = UNIT) -> DataFrame:
@@ -352,8 +357,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, group_si
     )
     starts = repeat_starts(rows, window, anchor, group_size, unit)
     out = rows.join(starts, "doc", "left")
-    out = out.select("doc_id", _kept("text", "rid", "starts", F.lit(window)).alias("new"))
-    return out.select("doc_id", "new.text", "new.n_words", "new.n_removed")
+    out = out.select("doc_id", "rid", "text", "starts")
+    return out.mapInArrow(_kept(window), "doc_id long, text string, n_words long, n_removed long")
 
 
 def removed_by_force(docs: dict[int, str], window: int = 13) -> dict[int, list[str]]:
