@@ -124,6 +124,7 @@ _ISEQ = "iq as (select *, row_number() over (partition by instrument_id order by
 @query(f"""with {_ISEQ}, sm as (select instrument_id, seq, seq as at from iq where iseq % 100 = 0), {_TOPS}
     select instrument_id, seq, bid, ask, coalesce(bid_size, 0) as bid_size, coalesce(ask_size, 0) as ask_size from tp""")
 def top_of_book_sampled(spark, sf_dir):
+    """Of every hundredth event."""
     tops = top_of_book(from_events(spark, sf_dir), every=100, depth=0)
     return tops.select("instrument_id", "seq", "bid", "ask", "bid_size", "ask_size")
 
@@ -133,10 +134,24 @@ def top_of_book_sampled(spark, sf_dir):
     w as (select *, sum(spread) over f as s, count(*) over f as n from s window f as (partition by instrument_id order by seq rows 31 preceding))
     select instrument_id, seq, spread, s / n as mean_spread, (spread * n) / s as blowout from w""")
 def spread_rolling(spark, sf_dir):
+    """Over samples of every tenth event; ``spread_every_event`` has them all."""
     tops = top_of_book(from_events(spark, sf_dir), every=10, depth=0)
     return windows.rolling_spread(tops, 32)
 
 
+@query()
+def top_of_book_every_event(spark, sf_dir):
+    """Of every event; the SQL of ``top_of_book_sampled`` joins all earlier deltas to each row."""
+    tops = top_of_book(from_events(spark, sf_dir), depth=0)
+    return tops.select("instrument_id", "seq", "bid", "ask", "bid_size", "ask_size")
+
+
+@query()
+def spread_every_event(spark, sf_dir):
+    """As the engine records it: after every event, over the last 256 two-sided ones."""
+    return windows.rolling_spread(top_of_book(from_events(spark, sf_dir), depth=0), 256)
+
+
 @query(f"""with sm as (select instrument_id, seq, seq - 1 as at from p1 where et = 4), {_TOPS}
     select p1.instrument_id, p1.seq, p1.price, p1.qty, case when coalesce(ask <= bid, true) then 0 when p1.price >= ask then 1
         when p1.price <= bid then -1 else 0 end::int as aggressor,

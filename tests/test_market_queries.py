@@ -30,3 +30,39 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).schema.names
+
+
+def _tops_by_hand(spark):
+    """(instrument, seq, bid, ask, bid size, ask size) after every event, from the list of live orders."""
+    from bookloom.sources.testmarket import from_events
+
+    alive, out = {}, []
+    for e in sorted(from_events(spark, SF).collect(), key=lambda e: e.seq):
+        orders = alive.setdefault(e.instrument_id, {})
+        if e.et == 1:
+            orders[e.order_id] = [e.side, e.price, e.qty]
+        elif e.et in (2, 4) and e.order_id in orders:
+            order = orders[e.order_id]
+            order[2] -= order[2] if e.et == 2 and e.qty == 0 else e.qty
+            if order[2] <= 0:
+                del orders[e.order_id]
+        best = [pick((p for s, p, _ in orders.values() if s == side), default=None) for side, pick in ((0, max), (1, min))]
+        sizes = [sum(q for s, p, q in orders.values() if (s, p) == (side, best[side])) for side in (0, 1)]
+        out.append((e.instrument_id, e.seq, *best, *sizes))
+    return out
+
+
+def test_tops_and_spreads_of_every_event(spark):
+    tops = _tops_by_hand(spark)
+    got = QUERIES["top_of_book_every_event"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == tops
+    history, want = {}, []
+    for instrument, seq, bid, ask, *_ in tops:
+        if bid is not None and ask is not None and ask > bid:
+            last = (history.setdefault(instrument, []) + [ask - bid])[-256:]
+            history[instrument] = last
+            mean = sum(last) / len(last)
+            want.append((instrument, seq, ask - bid, mean, (ask - bid) / mean))
+    got = sorted(map(tuple, QUERIES["spread_every_event"](spark, SF).collect()), key=lambda r: r[1])
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(a[3:] == pytest.approx(b[3:]) for a, b in zip(got, want))
