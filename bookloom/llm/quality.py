@@ -4,8 +4,8 @@ Evidence of one document: a logistic classifier for each of two heads. ``low``
 (quality label 0) sees the text's shape: bins of its upper case, other signs, repeated
 words, word length and length. ``toxic`` sees its words and their prefixes of 3 to 8
 bytes. Both are fitted on at most ``max_labels`` labelled documents, those with the
-smallest hashes of their ids; of near copies with the same labels (same MinHash) one
-counts. Counting features by class is a grouped aggregation; the ``features`` most
+smallest hashes of their ids; of copies with the same labels (same words but for case and
+blanks) one counts. Counting features by class is a grouped aggregation; the ``features`` most
 telling ones of each head are kept, and the fit uses only these.
 
 Evidence of the site: the documents' mean probabilities by host and by path within the
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import settle, text_or_empty
+from bookloom.llm.common import BLANKS, settle, text_or_empty
 from bookloom.llm.textkit import PUNCT_BYTES, Words, both_powers, mix, pieces
 
 HEADS = ("low", "toxic")
@@ -183,8 +183,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     texts = settle(texts.join(F.broadcast(chosen), "doc_id"))
-    sketch = F.array_min(F.transform(F.split(F.lower("text"), " "), lambda w: F.xxhash64(w))).alias("sketch")
-    first = texts.select("doc_id", "quality", "toxic", sketch).groupBy("sketch", "quality", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    words = F.array_remove(F.split(F.lower("text"), f"[{BLANKS}]+"), "")
+    copies = texts.select("doc_id", "quality", "toxic", F.md5(F.array_join(words, " ")).alias("copy"))
+    first = copies.groupBy("copy", "quality", "toxic").agg(F.min("doc_id").alias("doc_id"))
     return texts.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")
 
 

@@ -77,3 +77,11 @@ def test_features_do_not_depend_on_the_slice():
     for i, r in enumerate(raw):
         _, own = q.document_features(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         assert sorted(own.tolist()) == sorted(features[rows == i].tolist())
+
+
+def test_only_copies_are_left_out_of_the_fit(spark):
+    rows = [(i, f"common words everywhere and number{i} of these {i * 7}", "en", "a/b") for i in range(40)]
+    rows += [(50, "The  same\twords", "en", "a/b"), (51, "the same words ", "en", "a/b"), (52, "the same words", "en", "a/b")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(r[0], 1, int(r[0] == 52)) for r in rows], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in q._sample(docs, known, 1000).collect()) == [*range(40), 50, 52]
