@@ -9,7 +9,8 @@ A hot key costs one row for each task that holds it: counting combines on the ma
 side, and the verdict of the few hottest keys is broadcast (their number is bounded).
 
 Cases: a null or empty text is one empty line and stays as it is; null doc_ids rank
-last; rows that repeat a doc_id count as one document; an empty table gives an empty one.
+last; rows that repeat a doc_id count as one document, but each loses the lines of its own
+text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ def line_key(line: Column) -> Column:
 def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
+        F.xxhash64(text_or_empty(docs)).alias("own"),
         F.posexplode(F.split(text_or_empty(docs), "\n", -1)).alias("at", "line"),
     )
-    rows = rows.select("doc", "at", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-    return rows.select("doc", "at", F.unhex(F.md5("key")).alias("line"))
+    rows = rows.select("doc", "own", "at", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+    return rows.select("doc", "own", "at", F.unhex(F.md5("key")).alias("line"))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -75,8 +77,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     docs = docs.select(*kept)
     facts = settle(repeated_lines(docs, min_chars, min_docs))
     hits = attach(_keyed_lines(docs, min_chars), facts, "line", "uses", how="inner").filter("doc > first_doc")
-    dropped = hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("at").alias("_dropped"))
-    same = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == dropped["_doc"]
+    # Equal rows have equal positions, so a set is never longer than a text.
+    dropped = hits.groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set("at").alias("_dropped"))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == dropped["_doc"]) & (F.xxhash64(text_or_empty(docs)) == dropped["_own"])
     out = docs.join(dropped, same, "left")
     out = out.withColumn("_new", _without(text_or_empty(docs), F.col("_dropped")))
     changed = F.when(F.col("_new.n_dropped") > 0, F.col("_new.text")).otherwise(F.col("text"))

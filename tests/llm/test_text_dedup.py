@@ -104,3 +104,12 @@ def test_lines_match_a_dictionary(spark, least):
     }
     assert out[200].text is None
     assert line_dedup(df.limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [(1, "a shared line\nfirst of one"), (None, "a shared line\nclean line one"), (None, "clean line two\na shared line"), (None, "only this one"), (None, None)]
+    rows += [(5, "a shared line\nclean line five"), (5, "clean line six\na shared line\nmore of six"), (5, "a shared line\nclean line five")]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, "a shared line\nfirst of one", 2, 0), (None, "clean line one", 2, 1), (None, "clean line two", 2, 1), (None, "only this one", 1, 0), (None, None, 1, 0)]
+    want += [(5, "clean line five", 2, 1), (5, "clean line six\nmore of six", 3, 1), (5, "clean line five", 2, 1)]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
