@@ -1,10 +1,11 @@
-r"""Substring deduplication with prefix-partitioned suffix trees.
+r"""Substring deduplication by hashes of word windows, dealt by prefixes of suffixes.
 
 The suffixes of all texts, taken at words, are split by variable-length prefixes into
 groups that fit in memory: a one-word prefix where that holds few suffixes, longer ones
 for common words. Each group's task arranges its suffixes by their first ``window``
-words; runs of equal ones are the subtree's internal nodes at that depth, that is, the
-repeats of ``window`` words or more. A word goes if such a repeat covers it and also
+words, by hash; runs of equal ones are what a suffix tree has as internal nodes at that
+depth. No tree is built and no longer repeat is sought: a repeat of ``window`` words or
+more is the union of its windows, so the words that go are the same. A word goes if such a repeat covers it and also
 starts in a document with a smaller id.
 
 Only suffixes that can lie below a deep node are sent to groups. An anchor is the
