@@ -4,9 +4,10 @@ The tokenizer (``word_bpe``) drops white space, lowers case and cuts texts into
 before it merges pieces, so a text's ids are those of its segments in order. A segment
 is a run of plain letters (ASCII and Latin-1, which need no composing) or a run of other
 ASCII signs; a blank-free chunk that holds anything else (an apostrophe, other
-characters, a special token's opening) is one segment as it stands. Segments are looked
-up by 64-bit hashes in a direct-mapped table; those not in it are encoded by the library,
-once for each batch. The table is a bounded memory and never changes a result.
+characters, a special token's opening) is one segment as it stands. Segments of up to 16
+bytes are looked up in a direct-mapped table that holds these bytes themselves, longer ones
+in a dictionary; those in neither are encoded by the library, once for each batch. Both
+are bounded memories and never change a result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import os
 
 import numpy as np
 
-from bookloom.llm.textkit import both_powers, mix
+from bookloom.llm.textkit import lanes, low_bytes, mix
 
 _BLANK, _LETTER, _SIGN, _ODD = 0, 1, 2, 3
 _KINDS = np.full(256, _ODD, np.uint8)
@@ -25,7 +26,8 @@ _KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETT
 _KINDS[ord("'")] = _ODD
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_VALUES = np.random.default_rng(4049).integers(1, 2**64, size=256, dtype=np.uint64) | np.uint64(1)
+#: Bytes of a segment that the table holds.
+_HELD = 16
 
 
 class Segments:
@@ -77,11 +79,13 @@ class Segments:
         self.data = data
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        up, down = both_powers(len(self.data) + 1, 0)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + self.odd.astype(np.uint64))
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each segment's first 16 bytes as two numbers, and its length and kind; 0 for longer ones."""
+        at, length = lanes(self.data), self.ends - self.starts
+        low = low_bytes(at[self.starts], length)
+        high = low_bytes(at[np.minimum(self.starts + 8, len(self.data))], np.maximum(length - 8, 0))
+        kind = np.where(length <= _HELD, length + 32 * self.odd, 0).astype(np.uint8)
+        return low, high, kind
 
 
 class ChunkTokenizer:
@@ -97,9 +101,10 @@ class ChunkTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(1 << self.slot_bits, np.uint64)
-        self.at = np.zeros(1 << self.slot_bits, np.int32)
-        self.size = np.zeros(1 << self.slot_bits, np.int32)
+        slots = 1 << self.slot_bits
+        self.low, self.high, self.kind = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.uint8)
+        self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.long: dict[tuple[bytes, bool], tuple[int, int]] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
@@ -108,28 +113,23 @@ class ChunkTokenizer:
         segments = Segments(raw, offsets)
         if not len(segments.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes = segments.hashes()
-        slot = (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != hashes)
         if self.used > self.most_ids:
             self._forget()
-            missing = np.arange(len(hashes))
+        low, high, kind = segments.keys()
+        slot = (mix(low ^ mix(high + kind)) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        known = (kind > 0) & (self.low[slot] == low) & (self.high[slot] == high) & (self.kind[slot] == kind)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        missing = np.flatnonzero(~known)
         if len(missing):
-            own, index, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            first = missing[index]
-            ids, sizes = self._encode(segments, first)
-            begins = self.used + np.cumsum(sizes) - sizes
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            at[missing], size[missing] = begins[back], sizes[back]
+            places = self._learn(segments, missing)
+            at[missing], size[missing] = places[:, 0], places[:, 1]
             # The first to come keeps its slot: common segments come early.
+            _, first = np.unique(slot[missing], return_index=True)
+            first = missing[first]
+            first = first[(kind[first] > 0) & (self.kind[slot[first]] == 0)]
             place = slot[first]
-            free = self.size[place] == 0
-            place, begins, sizes, own = place[free], begins[free], sizes[free], own[free]
-            self.keys[place], self.at[place], self.size[place] = own, begins, sizes
+            self.low[place], self.high[place], self.kind[place] = low[first], high[first], kind[first]
+            self.at[place], self.size[place] = at[first], size[first]
         ends = np.cumsum(size)
         full = size > 0
         begin, length = at[full], size[full]
@@ -142,6 +142,24 @@ class ChunkTokenizer:
         ids = self.pool[np.cumsum(step)]
         return ids, np.concatenate([[0], ends])[segments.first]
 
+    def _learn(self, segments: Segments, which: np.ndarray) -> np.ndarray:
+        """Where the ids of some segments are in the pool, and how many."""
+        blob = segments.data.tobytes()
+        spans = (x[which].tolist() for x in (segments.starts, segments.ends, segments.odd))
+        texts = [(blob[a:b], odd) for a, b, odd in zip(*spans)]
+        new = {t: i for t, i in zip(texts[::-1], which[::-1].tolist()) if t not in self.long}
+        places = {}
+        if new:
+            ids, sizes = self._encode(segments, np.array(list(new.values())))
+            begins = self.used + np.cumsum(sizes) - sizes
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            places = dict(zip(new, zip(begins.tolist(), sizes.tolist())))
+            self.long.update((t, p) for t, p in places.items() if len(t[0]) > _HELD)
+        return np.array([places.get(t) or self.long[t] for t in texts], np.int64)
+
     def _encode(self, segments: Segments, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers for some segments."""
         data = segments.data.tobytes()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import BLANKS, settle, text_or_empty
-from bookloom.llm.textkit import PUNCT_BYTES, Words, both_powers, mix, pieces
+from bookloom.llm.textkit import PUNCT_BYTES, Words, lanes, low_bytes, mix, pieces
 
 HEADS = ("low", "toxic")
 #: The lowest bit of a feature tells its family; each head sees one.
@@ -87,14 +87,12 @@ def document_features(data: np.ndarray, offsets: np.ndarray, gate: np.ndarray |
     again = np.zeros(len(hashes), bool)
     if len(hashes):
         take(hashes, row, WORDS)
-        up, down = both_powers(len(low) + 1, 1)
-        total = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(77)) * up[: len(low)], out=total[1:])
         length = words.ends - words.starts
+        lane = lanes(low)[words.starts]
         for k in PREFIXES:
             long = np.flatnonzero(length > k)
-            starts = words.starts[long]
-            take(mix((total[starts + k] - total[starts]) * down[starts] + np.uint64(k)), row[long], WORDS)
+            prefix = low_bytes(lane[long], np.full(len(long), k))
+            take(mix(prefix ^ mix(np.full(1, k, np.uint64))), row[long], WORDS)
         for lag in range(1, 9):
             again[lag:] |= (hashes[lag:] == hashes[:-lag]) & (row[lag:] == row[:-lag])
     size = np.maximum(np.diff(cut), 1)

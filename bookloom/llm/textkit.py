@@ -1,9 +1,12 @@
 """Word hashing over whole Arrow columns: numpy passes over bytes, no loop over words.
 
-A word is a run of bytes outside a separator set; it never crosses a row. Its hash is
-a polynomial over random values of its bytes modulo 2**64, mixed. Sequences of words
-are hashed by multiply-and-add over mixed word hashes. Fixed seeds make all values the
-same on every executor and every run.
+A word is a run of bytes outside a separator set; it never crosses a row. Its hash takes
+its bytes eight at a time: each lane of eight is mixed, then mixed again with its place,
+and the lanes' sum is mixed with the length. Words of up to eight bytes therefore have
+different hashes if they are of one length, and longer ones have no algebraic structure
+to collide by. Sequences of words are hashed by multiply-and-add over mixed word hashes.
+Fixed seeds make all values the same on every executor and every run. Hashes choose what
+is compared; operators that act on equality compare words or digests besides.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ except (OSError, AttributeError):  # another C library: nothing to trim
     _LIBC = None
 
 _RANDOM = np.random.default_rng(20240229)
-_BYTE_VALUES = _RANDOM.integers(1, 2**64, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 _FACTORS = _RANDOM.integers(1, 2**64, size=(2, 64), dtype=np.uint64) | np.uint64(1)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_KEYS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Of the last lane, the bytes that belong to the run, by their number.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 BLANK_BYTES = np.zeros(256, bool)
 BLANK_BYTES[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,28 +45,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, which: int) -> np.ndarray:
-    out = np.full(n, _BASES[which], np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number; beyond the end they are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
 
 
-_CACHED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def low_bytes(lane: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first ``count`` bytes of each lane, the others zero."""
+    return lane & _LANE[np.minimum(count, 8)]
 
 
-def both_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    have = _CACHED.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(int(_BASES[which]), -1, 1 << 64)
-        back = np.full(size, np.uint64(inverse), np.uint64)
-        back[0] = 1
-        have = _powers(size, which), np.multiply.accumulate(back)
-        if size <= 1 << 21:
-            _CACHED[which] = have
-    return have
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each run of bytes ``starts`` to ``ends``."""
+    at, key = lanes(data), _KEYS[which]
+    length = ends - starts
+    total = mix(mix(low_bytes(at[starts], length) + key))
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8
+        before = np.cumsum(more) - more
+        place = np.arange(1, int(more.sum()) + 1) - np.repeat(before, more)
+        own = np.repeat(long, more)
+        lane = low_bytes(at[starts[own] + 8 * place], length[own] - 8 * place)
+        total[long] += np.add.reduceat(mix(mix(lane + key) ^ (place.astype(np.uint64) * _KEYS[1 - which])), before)
+    return mix(total + length.astype(np.uint64) * key)
 
 
 class Words:
@@ -93,10 +101,20 @@ class Words:
     def hashes(self, which: int = 0) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        up, down = both_powers(len(self.data) + 1, which)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[which][self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return hash_runs(self.data, self.starts, self.ends, which)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each followed by one space, and where each begins (one more at the end)."""
+        length = self.ends - self.starts
+        begin = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length + 1, out=begin[1:])
+        out = np.full(int(begin[-1]), 0x20, np.uint8)
+        shift = np.repeat(self.starts - begin[:-1], length + 1)
+        at = np.arange(len(out)) + shift
+        inside = np.ones(len(out), bool)
+        inside[begin[1:] - 1] = False
+        out[inside] = self.data[at[inside]]
+        return out, begin
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

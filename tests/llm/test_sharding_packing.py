@@ -10,6 +10,8 @@ from bookloom.llm.chunk_tokens import ChunkTokenizer
 from bookloom.llm.packing import Packer, pack
 from bookloom.llm.sharding import greedy_cuts, shard, smallest_capacity
 
+from tests.llm.test_text_dedup import thue_morse
+
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -68,6 +70,7 @@ def test_chunked_ids_are_the_tokenizers():
 
     whole = Tokenizer.from_file(PATH)
     texts = ["It's a  test\n\nof\tthings", "", " ", "Éá x́ <|endoftext|>it'll<|startoftext|> 123 漢字!?", "a\x1cb c d", "ΣΑΣ Σ İ", "don't O'Neil'S x<|b A.B-c;12é Àß÷×ª ÿŸ [ok]_^`{}~", "ONHA!! Eau%%% (re) | 3rd#### e\u0301tat J\u030c"]
+    texts += [thue_morse("ab"), thue_morse("ba"), "a" * 16, "a" * 17, "a" * 8 + " " + "a" * 24, "x'" * 8, "x'" * 9]
     rng = random.Random(0)
     texts += ["".join(rng.choice("aB é\n'.<|>1ß×漢\u0301Q,") for _ in range(rng.randint(0, 40))) for _ in range(500)]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
