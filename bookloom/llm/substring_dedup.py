@@ -1,20 +1,24 @@
-r"""Substring deduplication by hashes of word windows, dealt by prefixes of suffixes.
+r"""Substring deduplication by prefix-partitioned suffix trees over words.
 
 The suffixes of all texts, taken at words, are split by variable-length prefixes into
-groups that fit in memory: a one-word prefix where that holds few suffixes, longer ones
-for common words. Each group's task arranges its suffixes by their first ``window``
-words, by hash; runs of equal ones are what a suffix tree has as internal nodes at that
-depth. No tree is built and no longer repeat is sought: a repeat of ``window`` words or
-more is the union of its windows, so the words that go are the same. A word goes if such a repeat covers it and also
-starts in a document with a smaller id.
-
-Only suffixes that can lie below a deep node are sent to groups. An anchor is the
-smallest hash among the short grams of a window, so equal windows have equal anchors;
-anchors found in one document only rule out most suffixes at a fifth of the cost.
-
-Every step combines on the map side, by units of bounded size: a passage that stands
-in a third of all documents reaches its group as one entry for each unit. Suffixes are
-compared by 80 bits of their words' hash.
+groups that fit in memory. Each group sorts its suffixes by their words, derives the
+lengths of common prefixes of neighbours, and finds the tree's deep internal nodes: runs
+of suffixes that share ``window`` words or more. A leaf of such a node that lies in a
+later document than the node's first is the start of a repeat; in one document these
+starts overlap, and their union is the maximal repeats that go. All comparisons in a group
+are of words, not of hashes.
+
+The tree is sparse, so that its size stays below the texts': a window of words is entered
+through its anchor, the smallest hash among its ``anchor``-word grams. Equal windows have
+equal anchors at the same place, so every node's leaves meet. Consecutive windows of one
+anchor travel as one segment of text, of which the windows are the suffixes. Anchors found
+in one row only rule out their windows before any text is sent. The anchor's words are the
+prefix that chooses the group; where one such prefix is too common (more than 1/``_SHARE`` of
+all segments), its windows are dealt by the longer prefix of all their ``window`` words.
+The number of groups follows from the number of segments, without a ceiling.
+
+Every step combines on the map side, by units of bounded size: a passage that stands in
+a third of all documents reaches its group as one entry for each unit.
 
 Words are runs of characters other than space and \t \n \v \f \r. Cases: a null text
 has no words; texts shorter than a window lose nothing; null doc_ids rank last; rows
@@ -29,22 +33,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.common import LAST_ID, settle, text_or_empty
-from bookloom.llm.textkit import BLANK_BYTES, Words, grams, packed, pieces, trim, whole
+from bookloom.llm.textkit import BLANK_BYTES, Words, grams, mix, packed, pieces, trim, whole
 
-#: Prefix lengths in words, and the bits of a counter's place at each length.
-_DEPTHS, _SLOT_BITS = (1, 2, 4, 8), 12
 #: Bytes of text that are combined before anything is sent.
 UNIT = 12 << 20
-#: A place: 16 more bits of the suffix's hash, 16 that tell apart texts of one id, 32 of word position.
-_MORE, _TAG, _POSITION_BITS = np.uint64(48), np.uint64(32), 32
-_LOW16, _LOW32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
+#: Bytes of text of the windows in one group.
+GROUP_BYTES = 8 << 20
 #: Groups at least, so that small inputs are spread as well.
 _LEAST_GROUPS = 128
-_EVEN = ~np.uint64(1)
+#: An anchor of more segments than this, and than 1/_SHARE of all, is a common one; so there are fewer than _SHARE.
+_COMMON, _SHARE = 1 << 14, 1 << 20
+#: Bytes of a segment with its places, roughly.
+_SEGMENT_BYTES = 150
+#: The lowest bits of a sent anchor: the binary logarithm of the rows of the unit that have it.
+_ROWS_BITS = np.uint64(15)
+_ANCHOR = ~_ROWS_BITS
+#: A place: 32 bits of word position, 16 of the windows there that repeat, 16 that tell rows apart besides their hash.
+_POSITION, _WINDOWS, _MOST_WINDOWS, _LOW16 = np.uint64(32), np.uint64(16), 16, np.uint64(0xFFFF)
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -69,57 +79,109 @@ def _units(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]
         yield unit
 
 
-def _smallest(short: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = short[:n].copy()
+def _smallest(short: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of each ``width`` consecutive values, and where it stands (the first of equal ones)."""
+    best, at = short[:n].copy(), np.arange(n)
     for j in range(1, width):
-        np.minimum(out, short[j : j + n], out=out)
-    return out
+        less = np.flatnonzero(short[j : j + n] < best)
+        best[less] = short[j : j + n][less]
+        at[less] = less + j
+    return best, at
+
+
+def _by_row(rids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row hashes, run lengths and values grouped by row."""
+    order = np.argsort(rids, kind="stable")
+    rids, values = rids[order], values[order]
+    begin = _runs(rids)
+    return rids[begin], np.diff(np.append(begin, len(rids))), values
 
 
-def _by_document(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, run lengths and values grouped by id."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    begin = _runs(ids)
-    return ids[begin], np.diff(np.append(begin, len(ids))), values
+def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
 
 
-class _Plan:
-    """Window sizes, groups and routes; small and of fixed size, so it travels with the tasks."""
+def _dealt(keys: np.ndarray, groups: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def _check(docs: np.ndarray) -> np.ndarray:
+    return mix(docs.view(np.uint64)) & _LOW16
+
+
+_NAMES = ["gid", "rid", "keys", "more", "n"]
+_SCHEMA = "gid int, rid long, keys binary, more binary, n long"
+#: Groups below zero: -1 how often an anchor is found, and from -2 on rows' own values that only pass through.
+_COUNTS = -1
+
+
+def _record(gid: np.ndarray, rid: np.ndarray, keys: pa.Array, more: pa.Array | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(gid, pa.int32()), pa.array(rid, pa.int64()), keys, pa.nulls(len(gid), pa.binary()) if more is None else more,
+            pa.array(np.zeros(len(gid), np.int64) if n is None else n),
+        ],
+        names=_NAMES,
+    )
+
+
+def _told(rids: np.ndarray, values: np.ndarray, groups: int) -> pa.RecordBatch:
+    """What a unit knows of its own rows; it passes through as many groups as there are others."""
+    own, lengths, values = _by_row(rids, values)
+    gid = -2 - (own.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+    return _record(gid, own, packed(values, lengths))
+
+
+def _sent(keys: np.ndarray, others: list[np.ndarray], group: np.ndarray, groups: int) -> pa.RecordBatch:
+    """A row for each group with its keys, and the other columns one after the other."""
+    order = np.argsort(group, kind="stable")
+    full, begin = np.unique(group[order], return_index=True)
+    sizes = np.diff(np.append(begin, len(group)))
+    keys, others = keys[order], [x[order] for x in others]
+    more = [np.concatenate([x[b : b + s] for x in others]) for b, s in zip(begin, sizes)]
+    more = packed(np.concatenate(more) if more else np.zeros(0, np.uint64), sizes * len(others))
+    return _record(full, np.zeros(len(full), np.int64), packed(keys, sizes) if keys.dtype != object else _lines(keys, sizes), more)
+
+
+def _lines(texts: np.ndarray, counts: np.ndarray) -> pa.Array:
+    ends = np.cumsum(counts)
+    return pa.array([b"\n".join(texts[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())
+
+
+class Partitioner:
+    """Cuts texts into windows and deals them out; small and of bounded size, so it travels with the tasks."""
 
     def __init__(self, window: int, anchor: int, anchor_groups: int, unit: int):
-        self.window, self.anchor, self.anchor_groups, self.unit = window, min(anchor, window), anchor_groups, unit
-        self.routes: np.ndarray | None = None  # group of each slot at each depth, -1: go deeper
+        self.window, self.anchor = window, max(min(anchor, window), window - _MOST_WINDOWS + 1)
+        self.anchor_groups, self.unit = anchor_groups, unit
+        self.common = np.zeros(0, np.uint64)
         self.groups = 1
 
     def windows(self, data: np.ndarray, offsets: np.ndarray):
+        """Words, their hashes, and of each window within a row its first word, anchor and the anchor's place."""
         words = Words(data, offsets, BLANK_BYTES)
         hashes = words.hashes()
         n = max(len(hashes) - self.window + 1, 0)
-        inside = whole(words.counts, self.window)
-        return words, hashes, n, inside
-
-    def anchors(self, hashes: np.ndarray, n: int) -> np.ndarray:
-        return _smallest(grams(hashes, self.anchor), n, self.window - self.anchor + 1)
-
-    def slots(self, hashes: np.ndarray, n: int, depth: int) -> np.ndarray:
-        return (grams(hashes, min(depth, self.window))[:n] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        first = np.flatnonzero(whole(words.counts, self.window))
+        least, at = _smallest(grams(hashes, self.anchor), n, self.window - self.anchor + 1)
+        return words, hashes, first, least[first] & _ANCHOR, at[first]
 
     def find_anchors(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors by group (gid >= 0), anchors known to repeat by row (gid = -1), prefix counts (gid = -2)."""
-        counts = np.zeros((len(_DEPTHS), 1 << _SLOT_BITS), np.int64)
+        """Anchors by group with a row that has them, and for rows those that other rows of the unit have too."""
         for unit in _units(batches, self.unit):
             keys, rows = [], []
             for batch, lo, hi, data, offsets in unit:
-                words, hashes, n, inside = self.windows(data, offsets)
-                for level, depth in enumerate(_DEPTHS):
-                    counts[level] += np.bincount(self.slots(hashes, n, depth)[inside], minlength=1 << _SLOT_BITS)
-                least, row = self.anchors(hashes, n)[inside], words.rows()[:n][inside]
+                words, _, first, least, _ = self.windows(data, offsets)
+                row = words.rows()[first]
                 if len(least):
-                    first = np.ones(len(least), bool)
-                    first[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-                    keys.append(least[first] & _EVEN)
-                    rows.append(batch.column("doc").to_numpy()[lo:hi][row[first]])
+                    new = np.ones(len(least), bool)
+                    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+                    keys.append(least[new])
+                    rows.append(batch.column("rid").to_numpy()[lo:hi][row[new]])
             if not keys:
                 continue
             keys, rows = np.concatenate(keys), np.concatenate(rows)
@@ -132,207 +194,252 @@ class _Plan:
             times = np.diff(np.append(begin, len(keys)))
             many = np.repeat(times > 1, times)
             if many.any():
-                ids, lengths, values = _by_document(rows[many], keys[many])
-                yield _rows(-1, ids, packed(values, lengths), None)
-            # The lowest bit tells whether several of the unit's documents have the anchor.
-            group = ((keys[begin] >> np.uint64(32)) * np.uint64(self.anchor_groups) >> np.uint64(32)).astype(np.int64)
-            yield from _sent(
-                keys[begin] | (times > 1).astype(np.uint64), [rows[begin].view(np.uint64)], group, self.anchor_groups
-            )
-        yield _rows(-2, np.zeros(1, np.int64), packed(counts.ravel(), np.array([counts.size])), None)
-
-    def send_suffixes(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes by group (gid >= 0), and starts of repeats that the unit itself shows (gid < 0)."""
+                yield _told(rows[many], keys[many], self.anchor_groups)
+            power = np.minimum(np.floor(np.log2(times)), 15).astype(np.uint64)
+            yield _sent(keys[begin] | power, [rows[begin].view(np.uint64)], _dealt(keys[begin], self.anchor_groups), self.anchor_groups)
+
+    def segments(self, batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray):
+        """Texts of the wanted windows of some rows, with row, first word, windows and group of each."""
+        wanted = b"".join(x for xs in batch.column("anchors")[lo:hi].to_pylist() for x in xs or ())
+        wanted = np.unique(np.frombuffer(wanted, np.uint64))
+        words, hashes, first, least, at = self.windows(data, offsets)
+        use = np.flatnonzero(_within(least, wanted))
+        if not len(use):
+            return None
+        first, least, at = first[use], least[use], at[use]
+        common = _within(least, self.common)
+        new = common.copy()
+        new[:1] = True
+        new[1:] |= (first[1:] != first[:-1] + 1) | (at[1:] != at[:-1]) | common[:-1]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(first)))
+        key = np.where(common[begin], grams(hashes, self.window)[first[begin]], least[begin])
+        begin = first[begin]
+        joined, place = words.joined()
+        joined = joined.tobytes()
+        texts = [joined[a:b] for a, b in zip(place[begin].tolist(), (place[begin + size + self.window - 1] - 1).tolist())]
+        row = words.rows()[begin]
+        return texts, row, begin - words.first[row], size, _dealt(key, self.groups)
+
+    def send_segments(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by group, and places of repeats that the unit itself shows."""
         for unit in _units(batches, self.unit):
-            parts = []
+            texts, parts = [], []
             for batch, lo, hi, data, offsets in unit:
-                words, hashes, n, inside = self.windows(data, offsets)
-                wanted = b"".join(x for xs in batch.column("anchors")[lo:hi].to_pylist() for x in xs or ())
-                wanted = np.unique(np.frombuffer(wanted, np.uint64))
-                if not n or not len(wanted):
-                    continue
-                at = np.flatnonzero(inside & _within(self.anchors(hashes, n) & _EVEN, wanted))
-                if not len(at):
+                found = self.segments(batch, lo, hi, data, offsets)
+                if found is None:
                     continue
-                row = words.rows()[at]
-                group = np.full(len(at), -1, np.int64)
-                for level, depth in enumerate(_DEPTHS):
-                    group = np.where(group < 0, self.routes[level][self.slots(hashes, n, depth)[at]], group)
-                tag = batch.column("rid").to_numpy()[lo:hi].view(np.uint64) & _LOW16
-                more = grams(words.hashes(1), self.window, 1)[at] >> _MORE
-                place = (more << _MORE) | (tag[row] << _TAG) | (at - words.first[row]).astype(np.uint64)
-                parts.append((grams(hashes, self.window)[at], batch.column("doc").to_numpy()[lo:hi][row], place, group))
-            if not parts:
+                texts += found[0]
+                row, position, size, group = found[1:]
+                doc, rid = (batch.column(c).to_numpy()[lo:hi][row] for c in ("doc", "rid"))
+                every = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
+                place = (position.astype(np.uint64) << _POSITION) | (every << _WINDOWS) | _check(doc)
+                parts.append((doc, rid, place, group))
+            if not texts:
                 continue
-            key, doc, place, group = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            order = np.lexsort((place, doc, place >> _MORE, key))
-            key, doc, place, group = key[order], doc[order], place[order], group[order]
-            same_document, least = _node_leaves(key, doc, place)
-            later = ~same_document & least
+            doc, rid, place, group = (np.concatenate(x) for x in zip(*parts))
+            coded = pa.array(texts, pa.binary()).dictionary_encode()
+            code, texts = coded.indices.to_numpy(), np.array(coded.dictionary.to_pylist(), object)
+            order = np.lexsort((place, rid, doc, code))
+            code, doc, rid, place, group = (x[order] for x in (code, doc, rid, place, group))
+            same, least = _first_documents(code, doc, rid)
+            later = ~same & least
             if later.any():
-                ids, lengths, values = _by_document(doc[later], place[later])
-                yield _rows(-1, ids, packed(values, lengths), None)
-            keep = same_document & least
-            yield from _sent(key[keep], [doc[keep].view(np.uint64), place[keep]], group[keep], self.groups)
+                yield _told(rid[later], place[later], self.groups)
+            keep = same & least
+            columns = [x.view(np.uint64) for x in (doc[keep], rid[keep], place[keep])]
+            yield _sent(texts[code[keep]], columns, group[keep], self.groups)
+            trim()
 
 
-def _node_leaves(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in order: is it in its node's first document; is it the first of its text in the node?"""
-    n, more, text = len(key), place >> _MORE, place >> _TAG
-    change = np.ones(n, bool)
-    change[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+def _first_documents(node: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in order: does it stand in its node's first document; is it the first of its row in the node?"""
+    change = np.ones(len(node), bool)
+    change[1:] = node[1:] != node[:-1]
     same = doc == doc[np.flatnonzero(change)][np.cumsum(change) - 1]
-    least = np.ones(n, bool)
-    least[1:] = change[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    least = np.ones(len(node), bool)
+    least[1:] = change[1:] | (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])
     return same, least
 
 
-def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(wanted, values)
-    at[at == len(wanted)] = 0
-    return wanted[at] == values
-
-
-_NAMES = ["gid", "doc", "keys", "more"]
-_SCHEMA = "gid int, doc long, keys binary, more binary"
-
-
-def _rows(gid: int, ids: np.ndarray, keys: pa.Array, more: pa.Array | None) -> pa.RecordBatch:
-    n = len(ids)
-    gids = np.full(n, gid, np.int32) if gid != -1 else -1 - (ids.view(np.uint64) % np.uint64(61)).astype(np.int32) * 2
-    if gid == -1:
-        gids = gids - 2  # -3, -5, ...: rows that pass through, dealt over several groups
-    return pa.RecordBatch.from_arrays(
-        [pa.array(gids, pa.int32()), pa.array(ids, pa.int64()), keys, more or pa.nulls(n, pa.binary())], names=_NAMES
-    )
-
-
-def _sent(keys: np.ndarray, others: list[np.ndarray], group: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """A row for each group with its keys, and the other columns one after the other."""
-    order = np.argsort(group, kind="stable")
-    sizes = np.bincount(group, minlength=groups)
-    full = np.flatnonzero(sizes)
-    sizes = sizes[full]
-    keys, others = keys[order], [x[order] for x in others]
-    ends = np.cumsum(sizes)
-    more = [np.concatenate([x[e - s : e] for x in others]) for s, e in zip(sizes, ends)]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(full, pa.int32()),
-            pa.array(np.zeros(len(full), np.int64)),
-            packed(keys, sizes),
-            packed(np.concatenate(more) if more else np.zeros(0, np.uint64), sizes * len(others)),
-        ],
-        names=_NAMES,
-    )
-
-
 def _gathered(table: pa.Table, width: int) -> list[np.ndarray]:
-    """The columns that ``_sent`` wrote, over all rows of a group."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    """The other columns that ``_sent`` wrote, over all rows of a group."""
     more = [np.frombuffer(x, np.uint64).reshape(width, -1) for x in table.column("more").to_pylist()]
-    return [np.concatenate(keys), *np.concatenate(more, axis=1)]
+    return list(np.concatenate(more, axis=1))
 
 
-_OUT = "gid int, doc long, keys binary"
+_OUT = "gid int, rid long, keys binary, n long"
 
 
-def _out(gid: int, ids: np.ndarray, keys: pa.Array) -> pa.Table:
-    gids = pa.array(np.full(len(ids), gid, np.int32))
-    return pa.table({"gid": gids, "doc": pa.array(ids, pa.int64()), "keys": keys})
+def _out(gid: int, rids: np.ndarray, values: np.ndarray) -> pa.Table:
+    own, lengths, values = _by_row(rids, values)
+    gids, n = pa.array(np.full(len(own), gid, np.int32)), pa.array(np.zeros(len(own), np.int64))
+    return pa.table({"gid": gids, "rid": pa.array(own, pa.int64()), "keys": packed(values, lengths), "n": n})
 
 
 def _merge_anchors(table: pa.Table) -> pa.Table:
+    """Rows' anchors that stand in other rows too; as group _COUNTS, rows behind common anchors and (key 0) behind all."""
     gid = table.column("gid")[0].as_py()
-    if gid == -2:
-        counts = sum(np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist())
-        return _out(-2, np.zeros(1, np.int64), packed(counts, np.array([len(counts)])))
     if gid < 0:
-        return table.select(["gid", "doc", "keys"])
-    keys, docs = _gathered(table, 1)
+        return table.select(["gid", "rid", "keys", "n"])
+    keys, (rids,) = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), _gathered(table, 1)
     order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order].view(np.int64)
-    several = keys & ~_EVEN > 0
-    keys &= _EVEN
+    keys, rids = keys[order], rids[order].view(np.int64)
+    rows = np.uint64(1) << (keys & _ROWS_BITS)
+    keys &= _ANCHOR
     begin = _runs(keys)
     times = np.diff(np.append(begin, len(keys)))
-    repeated = (times > 1) | np.logical_or.reduceat(several, begin)
-    repeated = np.repeat(repeated, times) & ~several  # the others have been told by their units
-    ids, lengths, values = _by_document(docs[repeated], keys[repeated])
-    return _out(gid, ids, packed(values, lengths))
-
+    several = rows > 1
+    repeated = np.repeat((times > 1) | np.logical_or.reduceat(several, begin), times)
+    total = np.add.reduceat(rows.astype(np.int64), begin)
+    often = np.flatnonzero(total > _COMMON)
+    counts = pa.table({
+        "gid": pa.array(np.full(len(often) + 1, _COUNTS, np.int32)),
+        "rid": pa.array(np.append(keys[begin][often].view(np.int64), 0)),
+        "keys": pa.nulls(len(often) + 1, pa.binary()),
+        "n": pa.array(np.append(total[often], rows[repeated].sum().astype(np.int64))),
+    })
+    told = repeated & ~several  # the others have been told by their units
+    return pa.concat_tables([counts, _out(gid, rids[told], keys[told])])
+
+
+class SuffixTree:
+    """Suffixes of some segments (texts of words with one blank between), sorted by their first words: ``window`` at least."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        order = pc.array_sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        sizes = split.value_lengths().to_numpy().astype(np.int64)
+        self.window = window
+        self.ends = np.cumsum(sizes)
+        self.segment = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(self.segment)
+        self.left = self.ends[self.segment] - np.arange(n)
+        # names[k]: the rank of each suffix's first k words among all; a suffix that ends before comes first.
+        self.names = {1: rank[words.indices.to_numpy()]}
+        k = 1
+        while k < window:
+            name = self.names[k]
+            after = np.zeros(n, np.int64)
+            after[: n - k] = name[k:]
+            after[self.left <= k] = 0
+            _, back = np.unique(name * (int(name.max(initial=0)) + 1) + after, return_inverse=True)
+            k *= 2
+            self.names[k] = back + 1
+        starts = np.flatnonzero(self.left >= window)
+        self.suffixes = starts[np.argsort(self.names[k][starts], kind="stable")]
+
+    def common(self) -> np.ndarray:
+        """Words that each suffix shares with the one before it in order."""
+        a, b = self.suffixes[:-1], self.suffixes[1:]
+        most = np.minimum(self.left[a], self.left[b])
+        out = np.zeros(len(a), np.int64)
+        for k in sorted(self.names, reverse=True):
+            fits = np.flatnonzero(out + k <= most)
+            at = out[fits]
+            out[fits[self.names[k][a[fits] + at] == self.names[k][b[fits] + at]]] += k
+        return np.concatenate([[0], out])[: len(self.suffixes)]
+
+    def deep_nodes(self) -> np.ndarray:
+        """Where, among the sorted suffixes, each set that shares ``window`` words begins."""
+        return np.flatnonzero(self.common() < self.window)
+
+
+def _repeats(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Places of one group's leaves that stand in later documents than their deep node's first."""
+        gid = table.column("gid")[0].as_py()
+        if gid < 0:
+            return table.select(["gid", "rid", "keys", "n"])
+        texts = b"\n".join(table.column("keys").to_pylist()).split(b"\n")
+        doc, rid, place = _gathered(table, 3)
+        tree = SuffixTree(texts, window)
+        segment = tree.segment[tree.suffixes]
+        begin = tree.deep_nodes()
+        own = doc.view(np.int64)[segment]
+        first = np.minimum.reduceat(own, begin)
+        later = own > np.repeat(first, np.diff(np.append(begin, len(own))))
+        at = tree.suffixes[later] - np.concatenate([[0], tree.ends[:-1]])[segment[later]]
+        found = np.zeros(len(texts), np.uint64)
+        np.bitwise_or.at(found, segment[later], np.uint64(1) << at.astype(np.uint64))
+        hit = np.flatnonzero(found)
+        place = (place[hit] >> _POSITION << _POSITION) | (found[hit] << _WINDOWS) | (place[hit] & _LOW16)
+        trim()
+        return _out(gid, rid[hit].view(np.int64), place)
 
-def _deep_nodes(table: pa.Table) -> pa.Table:
-    """The leaves of one group's deep nodes that stand in later documents than the node's first."""
-    gid = table.column("gid")[0].as_py()
-    if gid < 0:
-        return table.select(["gid", "doc", "keys"])
-    key, doc, place = _gathered(table, 2)
-    order = np.lexsort((place, doc.view(np.int64), place >> _MORE, key))
-    key, doc, place = key[order], doc.view(np.int64)[order], place[order]
-    same, least = _node_leaves(key, doc, place)
-    later = ~same & least
-    ids, lengths, values = _by_document(doc[later], place[later])
-    return _out(gid, ids, packed(values, lengths))
-
-
-def _routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """A group for each slot that holds at most ``most`` suffixes; common ones go one depth on."""
-    routes = np.full(counts.shape, -1, np.int64)
-    group, held = 0, 0
-    for level in range(len(counts)):
-        last = level == len(counts) - 1
-        for slot, n in enumerate(counts[level].tolist()):
-            if n > most and not last:
-                continue
-            if held and held + n > most:
-                group, held = group + 1, 0
-            routes[level, slot] = group
-            held += n
-    return routes, group + 1
+    return run
 
 
-def repeat_starts(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21, unit: int = UNIT) -> DataFrame:
-    """doc, starts: where windows begin that also start in a document with a smaller id.
+def repeat_starts(
+    docs: DataFrame, window: int = 13, anchor: int = 5, group_bytes: int = GROUP_BYTES, unit: int = UNIT
+) -> DataFrame:
+    """rid, starts: where windows begin that also start in a document with a smaller id.
 
-    ``starts`` is an array of binaries of places (see ``_POSITION_BITS``). A window that a
-    text repeats is given by its first place there. ``docs`` has the columns rid, doc, text.
+    ``starts`` is an array of binaries of places (see ``_POSITION``). A segment that a text
+    repeats is given by its first place there. ``docs`` has the columns rid, doc, text.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    plan = _Plan(window, anchor, int(size) // (64 << 20) + 1, unit)
-    found = docs.select("doc", "text").mapInArrow(plan.find_anchors, _SCHEMA)
+    plan = Partitioner(window, anchor, int(size) // (64 << 20) + 16, unit)
+    found = docs.select("rid", "text").mapInArrow(plan.find_anchors, _SCHEMA)
     found = settle(found.groupBy("gid").applyInArrow(_merge_anchors, _OUT))
-    counts = found.filter("gid = -2").select("keys").collect()  # one row of fixed size, or none
-    counts = np.frombuffer(counts[0][0], np.int64).reshape(len(_DEPTHS), -1) if counts else np.zeros((len(_DEPTHS), 1))
-    most = min(group_size, int(counts[0].sum()) // _LEAST_GROUPS + 1)
-    plan.routes, plan.groups = _routes(counts, most)
-    anchors = found.filter("gid <> -2").groupBy("doc").agg(F.collect_list("keys").alias("anchors"))
+    counts = found.filter(F.col("gid") == _COUNTS)
+    total = int(counts.filter("rid = 0").agg(F.sum("n")).first()[0] or 0)
+    # Fewer than _SHARE numbers, whatever the input's size.
+    common = counts.filter("rid <> 0").filter(F.col("n") > max(_COMMON, total // _SHARE)).select("rid").collect()
+    plan.common = np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64))
+    plan.groups = max(_LEAST_GROUPS, total * _SEGMENT_BYTES // group_bytes + 1)
+    anchors = found.filter(F.col("gid") != _COUNTS).groupBy("rid").agg(F.collect_list("keys").alias("anchors"))
     # All columns of docs, so that one exchange of the texts serves this join and a later one.
-    rows = docs.join(anchors, "doc").select(*docs.columns, "anchors")
-    sent = rows.mapInArrow(plan.send_suffixes, _SCHEMA)
-    starts = sent.groupBy("gid").applyInArrow(_deep_nodes, _OUT)
-    return starts.groupBy("doc").agg(F.collect_list("keys").alias("starts"))
-
-
-def _without_repeats(text: str, rid: int, starts: list[bytes] | None, window: int) -> tuple[str, int, int]:
-    """The words that stay, how many there were, and how many went."""
+    rows = docs.join(anchors, "rid").select(*docs.columns, "anchors")
+    sent = rows.mapInArrow(plan.send_segments, _SCHEMA)
+    starts = sent.groupBy("gid").applyInArrow(_repeats(window), _OUT)
+    return starts.groupBy("rid").agg(F.collect_list("keys").alias("starts"))
+
+
+def _equal_windows(raw: bytes, words: list[bytes], begin: np.ndarray, window: int) -> np.ndarray:
+    """All windows of a text with the same words as one of those that begin at ``begin``."""
+    keys = grams(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BLANK_BYTES).hashes(), window)
+    begin = begin[np.argsort(keys[begin], kind="stable")]
+    found = np.flatnonzero(np.isin(keys, keys[begin]))
+    like = begin[np.searchsorted(keys[begin], keys[found])]
+    known: dict[bytes, int] = {}
+    names = np.array([known.setdefault(w, len(known)) for w in words])
+    same = np.ones(len(found), bool)
+    for j in range(window):
+        same &= names[found + j] == names[like + j]
+    return np.union1d(found[same], begin)
+
+
+def _without_repeats(text: str, rid: int, doc: int, starts: list[bytes] | None, window: int) -> tuple[str, int, int, list[dict]]:
+    """The words that stay, how many there were, how many went, and the runs of those that went."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
+    spans: list[dict] = []
     if starts:
         places = np.frombuffer(b"".join(starts), np.uint64)
-        tag = np.uint64(rid & 0xFFFF)
-        places = (places[(places >> _TAG & _LOW16) == tag] & _LOW32).astype(np.int64)
-        if len(places):
-            keys = grams(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BLANK_BYTES).hashes(), window)
-            begin = np.flatnonzero(np.isin(keys, keys[places]))
+        places = places[(places & _LOW16) == _check(np.array([doc], np.int64))[0]]
+        at = (places >> _POSITION).astype(np.int64)
+        bits = places >> _WINDOWS & _LOW16
+        begin = [at[(bits >> np.uint64(k)) & np.uint64(1) > 0] + k for k in range(_MOST_WINDOWS)]
+        begin = np.unique(np.concatenate(begin))
+        begin = begin[begin + window <= n]
+        if len(begin):
+            begin = _equal_windows(raw, words, begin, window)
             depth = np.zeros(n + 1, np.int64)
             depth[begin] += 1
-            depth[begin + window] -= 1
+            np.subtract.at(depth, begin + window, 1)
             stays = np.cumsum(depth[:-1]) == 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).astype(np.int8)))
+            spans = [{"start": a, "words": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             words = [x for x, s in zip(words, stays.tolist()) if s]
-    return b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)
+    return b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words), spans
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
 
 
 def _kept(window: int):
@@ -340,26 +447,32 @@ def _kept(window: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = zip(*(part.column(c).to_pylist() for c in ("text", "rid", "starts")))
-                text, n, gone = zip(*(_without_repeats(*r, window) for r in rows))
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "rid", "doc", "starts")))
+                text, n, gone, spans = zip(*(_without_repeats(*r, window) for r in rows))
                 columns = [part.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], names=["doc_id", "text", "n_words", "n_removed", "repeats"])
             trim()
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 5, group_size: int = 1 << 21, unit: int = UNIT) -> DataFrame:
-    """doc_id, text (kept words, one space between them), n_words, n_removed for each row."""
+def substring_dedup(
+    docs: DataFrame, window: int = 13, anchor: int = 5, group_bytes: int = GROUP_BYTES, unit: int = UNIT
+) -> DataFrame:
+    """For each row: doc_id, text (kept words, one space between them), n_words, n_removed, repeats.
+
+    ``repeats`` are the maximal runs of words that went: their first word and their number.
+    """
     text = text_or_empty(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(
         "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text"
     )
-    starts = repeat_starts(rows, window, anchor, group_size, unit)
-    out = rows.join(starts, "doc", "left")
-    out = out.select("doc_id", "rid", "text", "starts")
-    return out.mapInArrow(_kept(window), "doc_id long, text string, n_words long, n_removed long")
+    starts = repeat_starts(rows, window, anchor, group_bytes, unit)
+    out = rows.join(starts, "rid", "left")
+    out = out.select("doc_id", "rid", "doc", "text", "starts")
+    schema = "doc_id long, text string, n_words long, n_removed long, repeats array<struct<start: long, words: long>>"
+    return out.mapInArrow(_kept(window), schema)
 
 
 def removed_by_force(docs: dict[int, str], window: int = 13) -> dict[int, list[str]]:

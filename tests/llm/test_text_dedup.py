@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ def corpus(seed, n=120):
     return docs | {n: None, n + 1: "", n + 2: "  ", n + 3: "ha " * 500, n + 4: "ha " * 300 + "x", n + 5: docs[0]}
 
 
-@pytest.mark.parametrize(("unit", "groups"), [(12 << 20, 128), (2000, 5)])
-def test_repeats_match_a_dictionary_of_windows(spark, monkeypatch, unit, groups):
+@pytest.mark.parametrize(("unit", "groups", "common"), [(12 << 20, 128, 1 << 14), (2000, 5, 1 << 14), (3000, 7, 2)])
+def test_repeats_match_a_dictionary_of_windows(spark, monkeypatch, unit, groups, common):
+    """Also with many small groups, and with most anchors so common that their windows are dealt by all their words."""
     monkeypatch.setattr(sd, "_LEAST_GROUPS", groups)
+    monkeypatch.setattr(sd, "_COMMON", common)
     docs = corpus(unit)
     df = spark.createDataFrame(list(docs.items()), SCHEMA).repartition(4).withColumn("rid", F.lit("x")).withColumn("doc", F.lit(1))
     out = {r.doc_id: r for r in sd.substring_dedup(df, unit=unit).collect()}
@@ -34,6 +37,11 @@ def test_repeats_match_a_dictionary_of_windows(spark, monkeypatch, unit, groups)
     assert {i: r.text.split(" ") if r.text else [] for i, r in out.items()} == want
     assert all(r.n_words - r.n_removed == len(want[i]) for i, r in out.items())
     assert sum(r.n_removed for r in out.values()) > 100
+    for i, r in out.items():
+        words = (docs[i] or "").split()
+        gone = {k for x in r.repeats for k in range(x.start, x.start + x.words)}
+        assert [w for k, w in enumerate(words) if k not in gone] == want[i]
+        assert all(x.words >= 13 for x in r.repeats)
 
 
 def test_repeats_in_rows_without_or_with_repeated_ids(spark):
@@ -44,13 +52,44 @@ def test_repeats_in_rows_without_or_with_repeated_ids(spark):
     assert sd.substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_routes_hold_at_most_a_group_but_for_the_last_depth():
-    import numpy as np
-
-    counts = np.array([[50, 3, 4], [20, 2, 40], [1, 1, 1], [9, 90, 9]])
-    routes, n = sd._routes(counts, 10)
-    assert (routes[0] >= 0).tolist() == [False, True, True] and routes.max() == n - 1
-    assert (routes[-1] >= 0).all()
+def thue_morse(letters):
+    word = letters[0]
+    while len(word) < 1024:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_different_words_are_never_the_same_repeat(spark):
+    """Words that collide under any polynomial hash modulo a power of two."""
+    rows = [(1, " ".join([thue_morse("ab")] * 13)), (2, " ".join([thue_morse("ba")] * 13)), (3, " ".join([thue_morse("ab")] * 13))]
+    out = {r.doc_id: r.n_removed for r in sd.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: 0, 2: 0, 3: 13}
+
+
+def test_suffixes_are_sorted_by_their_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("a b cc é".split()) for _ in range(rng.randint(4, 7))) for _ in range(40)]
+    tree = sd.SuffixTree([t.encode() for t in texts], 4)
+    words = [w.encode() for t in texts for w in t.split()]
+    suffix = lambda p: words[p : tree.ends[tree.segment[p]]]
+    order = [suffix(p) for p in tree.suffixes]
+    assert [x[:4] for x in order] == sorted(x[:4] for x in order) and len(order) == sum(len(t.split()) - 3 for t in texts)
+    shared = [0]
+    for a, b in zip(order, order[1:]):
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        shared.append(k)
+    assert tree.common().tolist() == shared
+
+
+def test_groups_have_no_ceiling():
+    """1e13 suffixes in groups of the size that is given for a few thousand."""
+    segments = int(1e13) // 5
+    groups = segments * sd._SEGMENT_BYTES // sd.GROUP_BYTES + 1
+    assert segments / groups < 1 << 16 and groups < 1 << 31
+    keys = np.random.default_rng(1).integers(0, 2**64, 1 << 20, dtype=np.uint64)
+    assert len(np.unique(sd._dealt(keys, groups))) > 0.98 * (1 << 20)
 
 
 def brute_exact(rows):
