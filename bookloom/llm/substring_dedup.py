@@ -43,7 +43,7 @@ from bookloom.llm.textkit import BLANK_BYTES, Words, grams, mix, packed, pieces,
 #: Bytes of text that are combined before anything is sent.
 UNIT = 12 << 20
 #: Bytes of text of the windows in one group.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Groups at least, so that small inputs are spread as well.
 _LEAST_GROUPS = 128
 #: An anchor of more segments than this, and than 1/_SHARE of all, is a common one; so there are fewer than _SHARE.
@@ -310,14 +310,14 @@ class SuffixTree:
         split = pc.split_pattern(pa.array(texts, pa.string()), " ")
         words = split.flatten().dictionary_encode()
         order = pc.array_sort_indices(words.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
         sizes = split.value_lengths().to_numpy().astype(np.int64)
         self.window = window
         self.ends = np.cumsum(sizes)
-        self.segment = np.repeat(np.arange(len(sizes)), sizes)
+        self.segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         n = len(self.segment)
-        self.left = self.ends[self.segment] - np.arange(n)
+        self.left = (self.ends[self.segment] - np.arange(n)).astype(np.int32)
         # names[k]: the rank of each suffix's first k words among all; a suffix that ends before comes first.
         self.names = {1: rank[words.indices.to_numpy()]}
         k = 1
@@ -326,9 +326,9 @@ class SuffixTree:
             after = np.zeros(n, np.int64)
             after[: n - k] = name[k:]
             after[self.left <= k] = 0
-            _, back = np.unique(name * (int(name.max(initial=0)) + 1) + after, return_inverse=True)
+            _, back = np.unique(name * (int(name.max(initial=0)) + np.int64(1)) + after, return_inverse=True)
             k *= 2
-            self.names[k] = back + 1
+            self.names[k] = (back + 1).astype(np.int32)
         starts = np.flatnonzero(self.left >= window)
         self.suffixes = starts[np.argsort(self.names[k][starts], kind="stable")]
 
