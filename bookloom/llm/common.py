@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``. Only on one machine (a local
+    master, as in tests) a temporary folder takes its place where that is unset.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bookloom-")
-        context.setCheckpointDir(folder)
-    # A file for each partition: a few for each core are enough, however many the shuffle made.
-    return df.coalesce(4 * context.defaultParallelism).checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bookloom-"))
+    return df.checkpoint(eager=True)
+
+
+def fresh(name: str, *taken: Iterable[str]) -> str:
+    """A column name like ``name`` that none of the given columns has, in any case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def column(name: str) -> Column:
+    """A top-level column by name, also where the name holds dots or back quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000, how: str = "left") -> DataFrame:
@@ -39,7 +54,8 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int
     ``weight`` counts the rows behind a key. Keys that hold more than 1/``share`` of the
     total weight are fewer than ``share`` by arithmetic, so they are broadcast whatever
     the input's size; rows of those keys then leave the shuffled join under keys of
-    their own. The remaining keys are too small to skew a partition. Columns of both
+    their own. The remaining keys are too small to skew a partition. ``facts`` should
+    hold every heavy key of ``rows``, also those with nothing to tell. Columns of both
     sides must differ except for ``key``; null keys match nothing.
     """
     total = facts.agg(F.sum(weight)).first()[0] or 0
