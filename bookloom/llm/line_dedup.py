@@ -5,6 +5,7 @@ and with A-Z in lower case. Keys of at least ``min_chars`` code points that stan
 least ``min_docs`` documents lose their lines in all documents but the one with the
 smallest doc_id, which keeps all of its own. The other lines stay in place.
 
+Texts are exploded and hashed once; the digests are settled, then counted and looked up.
 A hot key costs one row for each task that holds it: counting combines on the map
 side, and the verdict of the few hottest keys is broadcast (their number is bounded).
 
@@ -20,14 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookloom.llm.common import BLANKS, LAST_ID, LOWER, UPPER, attach, settle, text_or_empty
+from bookloom.llm.common import BLANKS, LAST_ID, LOWER, UPPER, attach, column, fresh, settle, text_or_empty
 
 
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc, own (a hash of the row's text), at (position), line (digest of the key) of each line that counts."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
         F.xxhash64(text_or_empty(docs)).alias("own"),
@@ -37,9 +39,8 @@ def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc", "own", "at", F.unhex(F.md5("key")).alias("line"))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Keys over the threshold: line (digest), first_doc, uses."""
-    lines = _keyed_lines(docs, min_chars)
+def repeated_lines(lines: DataFrame, min_docs: int = 2) -> DataFrame:
+    """Of ``keyed_lines``, the keys over the threshold: line (digest), first_doc, uses."""
     if min_docs <= 2:
         counted = lines.groupBy("line").agg(
             F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("uses")
@@ -71,18 +72,27 @@ def _without(text: pd.Series, dropped: pd.Series) -> pd.DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped``.
 
-    Columns of the input that are called n_lines or n_dropped are replaced.
+    Columns of the input that are called n_lines or n_dropped are replaced; any others
+    stay, whatever their names.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*kept)
-    facts = settle(repeated_lines(docs, min_chars, min_docs))
-    hits = attach(_keyed_lines(docs, min_chars), facts, "line", "uses", how="inner").filter("doc > first_doc")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    docs = docs.select(*map(column, kept))
+    lines = settle(keyed_lines(docs, min_chars))
+    facts = settle(repeated_lines(lines, min_docs))
+    hits = attach(lines, facts, "line", "uses", how="inner").filter("doc > first_doc")
+    doc, own, gone, new = (fresh(c, kept) for c in ("doc", "own", "gone", "new"))
     # Equal rows have equal positions, so a set is never longer than a text.
-    dropped = hits.groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set("at").alias("_dropped"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == dropped["_doc"]) & (F.xxhash64(text_or_empty(docs)) == dropped["_own"])
-    out = docs.join(dropped, same, "left")
-    out = out.withColumn("_new", _without(text_or_empty(docs), F.col("_dropped")))
-    changed = F.when(F.col("_new.n_dropped") > 0, F.col("_new.text")).otherwise(F.col("text"))
+    dropped = hits.groupBy(F.col("doc").alias(doc), F.col("own").alias(own)).agg(F.collect_set("at").alias(gone))
+    rows = docs.select(
+        *map(column, kept),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias(doc),
+        F.xxhash64(text_or_empty(docs)).alias(own),
+    )
+    out = rows.join(dropped, [doc, own], "left")
+    out = out.select(*map(column, kept), _without(text_or_empty(docs), F.col(gone)).alias(new))
+    changed = F.when(F.col(f"{new}.n_dropped") > 0, F.col(f"{new}.text")).otherwise(F.col("text"))
     return out.select(
-        *[changed.alias(c) if c == "text" else F.col(c) for c in kept], F.col("_new.n_lines"), F.col("_new.n_dropped")
+        *[changed.alias(c) if c.lower() == "text" else column(c) for c in kept],
+        F.col(f"{new}.n_lines").alias("n_lines"),
+        F.col(f"{new}.n_dropped").alias("n_dropped"),
     )

@@ -152,3 +152,15 @@ def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
     want = [(1, "a shared line\nfirst of one", 2, 0), (None, "clean line one", 2, 1), (None, "clean line two", 2, 1), (None, "only this one", 1, 0), (None, None, 1, 0)]
     want += [(5, "clean line five", 2, 1), (5, "clean line six\nmore of six", 3, 1), (5, "clean line five", 2, 1)]
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "one shared line\nown of one"), (2, "one shared line\nown of two")]
+    names = ["_dropped", "_doc", "_own", "_new", "doc", "own", "GONE", "new", "a.b", "at", "line", "uses", "first_doc", "N_lines"]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df = df.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    out = line_dedup(df)
+    assert out.columns == [*df.columns[:-1], "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert r.text == ("one shared line\nown of one" if r.doc_id == 1 else "own of two") and r.n_dropped == r.doc_id - 1
+        assert all(r[n] == f"{n} {r.doc_id}" for n in names[:-1])
