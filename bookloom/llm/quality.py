@@ -9,10 +9,10 @@ blanks) one counts. Counting features by class is a grouped aggregation; the ``f
 telling ones of each head are kept, and the fit uses only these.
 
 Evidence of the site: the documents' mean probabilities by host and by path within the
-host, over all documents. A path's rate shrinks toward its host's and a host's toward
-the global one by a Beta prior whose strength comes from the spread between hosts, so
-sparse sites say little. The path's posterior odds against the global ones multiply
-the document's odds.
+host, over all documents but the one at hand. A host's rate shrinks toward the global one
+by a Beta prior whose strength comes from the spread between hosts, a path's toward its
+host's by another one from the spread between paths within hosts, so sparse sites say
+little. The path's posterior odds against the global ones multiply the document's odds.
 
 A host is the part of ``source`` before the first slash, a path the rest together with
 ``lang``. A document is kept when both final probabilities are below one half.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import BLANKS, settle, text_or_empty
+from bookloom.llm.common import BLANKS, attach, fresh, settle, text_or_empty
 from bookloom.llm.textkit import PUNCT_BYTES, Words, lanes, low_bytes, mix, pieces
 
 HEADS = ("low", "toxic")
@@ -42,8 +42,8 @@ SHAPE, WORDS = 1, 0
 _SEES = {"low": SHAPE, "toxic": WORDS}
 _FAMILY = ~np.uint64(1)
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Sites that are broadcast at most.
-BROADCAST_SITES = 200_000
+#: Documents that a site needs to tell of the spread between sites, and bounds of a prior's strength in documents.
+LEAST_SPREAD, STRENGTH = 20, (10.0, 10_000.0)
 _MOST_COUNTED = 3
 #: Standard errors by which a word must be commoner in toxic documents.
 LEAST_Z = 3.0
@@ -180,7 +180,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    texts = settle(texts.join(F.broadcast(chosen), "doc_id"))
+    # One text for each id, so that an id that many rows share adds one.
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = settle(texts)
     words = F.array_remove(F.split(F.lower("text"), f"[{BLANKS}]+"), "")
     copies = texts.select("doc_id", "quality", "toxic", F.md5(F.array_join(words, " ")).alias("copy"))
     first = copies.groupBy("copy", "quality", "toxic").agg(F.min("doc_id").alias("doc_id"))
@@ -284,48 +286,78 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path and the log odds of each head's posterior rate against the global rate.
+@dataclass
+class Prior:
+    """Of one head: the global rate, and how many documents a host's and a path's prior weigh."""
+
+    rate: float
+    hosts: float
+    paths: float
+
+
+def _strength(variance: float, between: float) -> float:
+    """Of a Beta prior by moments: m (1 - m) / v - 1 for the variance m (1 - m) of one document and v between sites."""
+    return min(max(variance / max(between, 1e-9) - 1, STRENGTH[0]), STRENGTH[1])
 
-    A method-of-moments Beta prior: with rate m and variance v between hosts, its strength
-    is m (1 - m) / v - 1 documents, within 10 and 10,000; the same holds for paths in hosts.
+
+def site_facts(scored: DataFrame) -> tuple[DataFrame, dict[str, Prior]]:
+    """path, n, sums and its host's host_n and sums, settled; and each head's prior.
+
+    ``scored`` has host, path (which names its host too) and the heads' log odds.
     """
     sums = [F.sum(_probability(F.col(h))).alias(f"sum_{h}") for h in HEADS]
     paths = settle(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *sums))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *(F.sum(f"sum_{h}").alias(f"host_{h}") for h in HEADS))
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("host_n"), F.count(F.lit(1)).alias("_paths"), *(F.sum(f"sum_{h}").alias(f"host_{h}") for h in HEADS)
+    )
     hosts = settle(hosts)
+    facts = settle(attach(paths, hosts, "host", "_paths").drop("_paths"))
     total = hosts.agg(F.sum("host_n"), *(F.sum(f"host_{h}") for h in HEADS)).first()
     n = float(total[0] or 1)
-    out = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
+    priors = {}
     for h, whole in zip(HEADS, total[1:]):
         rate = min(max(float(whole or 0) / n, 1e-6), 1 - 1e-6)
-        spread = hosts.filter("host_n >= 20").agg(F.sum(F.col("host_n") * (F.col(f"host_{h}") / F.col("host_n") - rate) ** 2) / F.sum("host_n")).first()[0]
-        strength = min(max(rate * (1 - rate) / max(float(spread or 0), 1e-9) - 1, 10.0), 10_000.0)
-        host_rate = (F.col(f"host_{h}") + strength * rate) / (F.col("host_n") + strength)
-        path_rate = (F.col(f"sum_{h}") + strength * host_rate) / (F.col("n") + strength)
-        out = out.withColumn(f"shift_{h}", _logit(path_rate) - _logit(F.lit(rate)))
-    return out.select("host", "path", "n", *(f"shift_{h}" for h in HEADS))
+        host_rate, path_rate = F.col(f"host_{h}") / F.col("host_n"), F.col(f"sum_{h}") / F.col("n")
+        large = hosts.filter(F.col("host_n") >= LEAST_SPREAD)
+        between = large.agg(F.sum(F.col("host_n") * (host_rate - rate) ** 2) / F.sum("host_n")).first()[0]
+        large = facts.filter((F.col("n") >= LEAST_SPREAD) & (F.col("n") < F.col("host_n")))
+        within = large.agg(
+            F.sum(F.col("n") * host_rate * (1 - host_rate)) / F.sum("n"), F.sum(F.col("n") * (path_rate - host_rate) ** 2) / F.sum("n")
+        ).first()
+        # Where no host has several paths of size, paths say as little as their spread could.
+        own = _strength(float(within[0]), float(within[1])) if within[0] is not None else STRENGTH[1]
+        priors[h] = Prior(rate, _strength(rate * (1 - rate), float(between or 0)), own)
+    return facts, priors
+
+
+def site_shift(head: str, prior: Prior) -> Column:
+    """The site's log odds against the global ones, from the documents of the site but this one; over ``site_facts`` columns."""
+    own = _probability(F.col(head))
+    host = (F.col(f"host_{head}") - own + prior.hosts * prior.rate) / (F.col("host_n") - 1 + prior.hosts)
+    path = (F.col(f"sum_{head}") - own + prior.paths * host) / (F.col("n") - 1 + prior.paths)
+    return _logit(path) - _logit(F.lit(prior.rate))
 
 
 def with_site(docs: DataFrame) -> DataFrame:
-    names = set(docs.columns)
+    """``docs`` with host and path; a path names its host, so that paths of two hosts differ; nulls are no empty names."""
+    names = {c.lower() for c in docs.columns}
     source = F.col("source").cast("string") if "source" in names else F.lit(None).cast("string")
     lang = F.col("lang").cast("string") if "lang" in names else F.lit(None).cast("string")
-    rest = F.regexp_extract(F.coalesce(source, F.lit("")), "^[^/]*/?(.*)$", 1)
-    return docs.withColumn("host", F.substring_index(source, "/", 1)).withColumn("path", F.concat_ws("|", rest, lang))
+    known = lambda c: F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c))
+    host = known(F.substring_index(source, "/", 1))
+    return docs.withColumn("host", host).withColumn("path", F.concat_ws("\0", known(source), known(lang)))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, max_labels: int, features: int) -> DataFrame:
     """doc_id, own (a hash of the text), p_low, p_toxic, keep."""
     heads = train(docs, labels, max_labels, features)
-    sited = with_site(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]))
+    sited = with_site(docs.select(*[c for c in docs.columns if c.lower() in ("doc_id", "text", "lang", "source")]))
     sited = sited.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("own", F.xxhash64(text_or_empty(docs)))
     scored = settle(evidence(sited, heads, ["doc_id", "own", "host", "path"]))
-    sites = settle(site_posteriors(scored)).drop("n")
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    both = scored["host"].eqNullSafe(sites["host"]) & (scored["path"] == sites["path"])
-    p = {h: _probability(F.col(h) + F.col(f"shift_{h}")) for h in HEADS}
-    return scored.join(sites, both).select(
+    facts, priors = site_facts(scored)
+    rows = attach(scored.drop("host"), facts.drop("host"), "path", "n")
+    p = {h: _probability(F.col(h) + site_shift(h, priors[h])) for h in HEADS}
+    return rows.select(
         "doc_id",
         "own",
         p["low"].alias("p_low"),
@@ -341,7 +373,8 @@ def score(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, features
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, features: int = 4000) -> DataFrame:
     """The rows of ``docs`` whose document is kept, unchanged."""
+    rid, own = fresh("gone", docs.columns), fresh("own", docs.columns)
     gone = _scored(docs, labels, max_labels, features).filter(~F.col("keep"))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("own").alias("_own")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(text_or_empty(docs)) == gone["_own"])
+    gone = gone.select(F.col("doc_id").alias(rid), F.col("own").alias(own)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone[rid]) & (F.xxhash64(text_or_empty(docs)) == gone[own])
     return docs.join(gone, same, "left_anti")

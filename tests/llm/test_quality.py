@@ -1,4 +1,6 @@
+import math
 import random
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -24,14 +26,6 @@ def corpus(n=500):
     return rows, labels
 
 
-def test_sites_by_shuffle_or_broadcast(spark, monkeypatch):
-    rows, labels = corpus(120)
-    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    want = sorted(map(tuple, q.score(docs, known).collect()))
-    monkeypatch.setattr(q, "BROADCAST_SITES", 0)
-    assert [x[0] for x in sorted(map(tuple, q.score(docs, known).collect()))] == [x[0] for x in want]
-
-
 def test_held_out_accuracy_and_filter(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -50,11 +44,63 @@ def test_held_out_accuracy_and_filter(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.keep}
 
 
-def test_sparse_sites_shrink_toward_the_global_rate(spark):
-    rows = [("big", "a", -4.0)] * 900 + [("bad", "a", 4.0)] * 300 + [("tiny", "b", 4.0)]
-    df = spark.createDataFrame([(h, p, s, -9.0) for h, p, s in rows], "host string, path string, low double, toxic double")
-    shift = {r.host: r.shift_low for r in q.site_posteriors(df).collect()}
-    assert shift["big"] < 0 < shift["tiny"] < shift["bad"]
+def posterior_by_force(rows):
+    """Final log odds of the head ``low`` for rows (host, path, log odds), in plain Python."""
+    p = [1 / (1 + math.exp(-z)) for _, _, z in rows]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (host, path, _), x in zip(rows, p):
+        hosts[host].append(x)
+        paths[host, path].append(x)
+    mean = lambda xs: sum(xs) / len(xs)
+    rate = mean(p)
+    clip = lambda x: min(max(x, 10.0), 10_000.0)
+    large = [xs for xs in hosts.values() if len(xs) >= 20]
+    between = sum(len(xs) * (mean(xs) - rate) ** 2 for xs in large) / sum(map(len, large))
+    of_hosts = clip(rate * (1 - rate) / between - 1)
+    large = [(xs, mean(hosts[h])) for (h, _), xs in paths.items() if 20 <= len(xs) < len(hosts[h])]
+    weight = sum(len(xs) for xs, _ in large)
+    variance = sum(len(xs) * m * (1 - m) for xs, m in large) / weight
+    within = sum(len(xs) * (mean(xs) - m) ** 2 for xs, m in large) / weight
+    of_paths = clip(variance / within - 1)
+    logit = lambda x: math.log(x / (1 - x))
+    out = []
+    for (host, path, z), x in zip(rows, p):
+        h = (sum(hosts[host]) - x + of_hosts * rate) / (len(hosts[host]) - 1 + of_hosts)
+        q = (sum(paths[host, path]) - x + of_paths * h) / (len(paths[host, path]) - 1 + of_paths)
+        out.append(z + logit(q) - logit(rate))
+    return out
+
+
+def test_posteriors_match_plain_python(spark):
+    """Also with one site that holds most documents, which goes by broadcast, and with sites of one document."""
+    rng = random.Random(2)
+    rows = [("big", "big/a", rng.gauss(-1.2, 1)) for _ in range(900)] + [("big", "big/b", rng.gauss(-0.8, 1)) for _ in range(60)]
+    rows += [(f"h{i % 9}", f"h{i % 9}/{i % 4}", rng.gauss((i % 9) / 5 - 1.5 + (i % 4) / 5, 1)) for i in range(700)] + [("tiny", "tiny/x", 4.0)]
+    df = spark.createDataFrame([(i, *r, -9.0) for i, r in enumerate(rows)], "id int, host string, path string, low double, toxic double")
+    facts, priors = q.site_facts(df.repartition(5))
+    assert priors["low"].paths != priors["low"].hosts
+    out = q.attach(df.drop("host"), facts.drop("host"), "path", "n")
+    got = [r[0] for r in out.orderBy("id").select(F.col("low") + q.site_shift("low", priors["low"])).collect()]
+    assert np.allclose(got, posterior_by_force(rows), rtol=1e-9)
+    assert abs(got[-1] - 4.0) < 1.0  # a lone document's own score says nothing of its site
+
+
+def test_sites_of_odd_names_differ(spark):
+    rows = [(None, None), ("", None), ("", ""), ("a", "b"), ("a/b", None), ("a", None), ("a/", ""), ("a|b", "c"), ("a", "b|c")]
+    out = q.with_site(spark.createDataFrame(rows, "source string, lang string")).collect()
+    assert len({r.path for r in out}) == len(rows)
+    hosts: dict = {}
+    for r in out:
+        assert hosts.setdefault(r.path, r.host) == r.host
+    assert len({r.host for r in out}) == 4
+
+
+def test_one_id_of_many_rows_is_one_labelled_text(spark):
+    rows = [(1, f"text number {i}", "en", "a/b") for i in range(300)] + [(2, "another", "en", "a/b")]
+    known = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert q._sample(docs, known, 1000).count() == 2
+    assert q.score(docs, known).count() == 301
 
 
 def test_odd_tables(spark):
