@@ -6,12 +6,14 @@ tier (a power of two) that holds it. Each tier opens a window for each of its pi
 and fills the window's gap from the next shorter tiers, cutting the last filler to
 size. The shortest tier runs its pieces together. Windows are therefore full, and
 what a task has left at its end is cut into powers of two, so nothing is padded.
-Windows of a tier join step groups of equal token counts.
+
+Step groups balance training steps: each holds windows of one size and ``group_tokens``
+tokens, over all tasks; only the last group of a size is smaller.
 
 Every task packs its own input partition in one pass with a bounded buffer and no
-shuffle, so hot sources or long texts change nothing. Sequence ids hold the task's
-number, so the input should have a fixed order (files or a settled table): then a
-task that is run again gives the same rows.
+shuffle of texts, so hot sources or long texts change nothing. Sequence ids hold the
+task's number; the rows are settled, so they are the same for all who read them. Then
+each task's windows of a size are numbered after those of the tasks before it.
 
 Cases: a null or empty text is its end id alone; null and repeated ids are carried
 along; other columns are not looked at; an empty table gives an empty one.
@@ -27,14 +29,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookloom.llm.chunk_tokens import ChunkTokenizer
-from bookloom.llm.common import text_or_empty
+from bookloom.llm.common import settle, text_or_empty
 from bookloom.llm.textkit import pieces
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
-    " tier int, step_group long"
+    " tier int, task long, nth long"
 )
 _FIELDS = [f.split()[0] for f in SCHEMA.split(",")]
 
@@ -42,14 +45,13 @@ _FIELDS = [f.split()[0] for f in SCHEMA.split(",")]
 class Packer:
     """Packs a stream of documents; rows come out of ``add`` and ``end``."""
 
-    def __init__(self, longest: int, shortest: int, group_tokens: int, first_id: int, hold: int = 1 << 20):
+    def __init__(self, longest: int, shortest: int, task: int, hold: int = 1 << 20):
         self.tiers = []
         while longest >= shortest:
             self.tiers.append(longest)
             longest //= 2
         self.queues: dict[int, deque] = {t: deque() for t in self.tiers}
-        self.next_id, self.group_tokens, self.hold = first_id, group_tokens, hold
-        self.first_id = first_id
+        self.task, self.next_id, self.hold = task, task << 40, hold
         self.filled: dict[int, int] = {}
         self.held = 0
         self.rows: list[tuple] = []
@@ -60,12 +62,12 @@ class Packer:
 
     def _window(self, pieces: list[tuple], size: int) -> None:
         """Write one sequence. A piece: doc_id, its bytes, start, length, tokens."""
-        group = self.first_id + size * (1 << 20) + self.filled.get(size, 0) // self.group_tokens
-        self.filled[size] = self.filled.get(size, 0) + size
+        nth = self.filled.get(size, 0)
+        self.filled[size] = nth + 1
         offset = 0
         for doc_id, ids, start, length, tokens in pieces:
             crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-            self.rows.append((doc_id, start, length, crc, tokens, self.next_id, offset, size, group))
+            self.rows.append((doc_id, start, length, crc, tokens, self.next_id, offset, size, self.task, nth))
             offset += length
         self.next_id += 1
 
@@ -189,8 +191,19 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        packer = Packer(longest, shortest, group_tokens, task << 40)
+        packer = Packer(longest, shortest, task)
         yield from pack_stream(batches, packer, _tokenizer(tokenizer_path), end_id)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return _grouped(settle(rows.mapInArrow(run, SCHEMA)), group_tokens)
+
+
+def _grouped(rows: DataFrame, group_tokens: int) -> DataFrame:
+    """``rows`` with step_group instead of task and nth: windows of one size in equal groups over all tasks."""
+    counts = rows.groupBy("tier", "task").agg((F.max("nth") + 1).alias("_n"))
+    # One row for each task and size.
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("tier", "task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.floor((F.col("_before") + F.col("nth")) * F.col("tier") / group_tokens)
+    group = F.col("tier") * F.lit(1 << 40) + place
+    return rows.join(counts, ["tier", "task"]).select(*_FIELDS[:-3], "tier", group.cast("long").alias("step_group"))

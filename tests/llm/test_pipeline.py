@@ -77,7 +77,7 @@ def test_stages_in_order(spark, corpus, tmp_path):
             found = {i for i, t in texts.items() if any(len(shingles(x, 5) & shingles(t or "", 5)) >= 0.8 * len(shingles(x, 5)) for x in items)}
             assert {r["doc_id"] for r in rows} == set(texts) - found and found
         else:
-            verify(rows, {i: t or "" for i, t in texts.items()}, ChunkTokenizer(PATH).encode)
+            verify(rows, {i: t or "" for i, t in texts.items()}, ChunkTokenizer(PATH).encode, 1 << 16)
         docs, texts = out, {r["doc_id"]: r.get("text") for r in rows}
 
 

@@ -80,7 +80,7 @@ def test_chunked_ids_are_the_tokenizers():
             assert [[int.from_bytes(g[i : i + 4], "little") for i in range(0, len(g), 4)] for g in got] == want
 
 
-def verify(rows, docs, encode):
+def verify(rows, docs, encode, group_tokens):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -100,10 +100,15 @@ def verify(rows, docs, encode):
             assert p["offset"] == at
             at += p["length"]
         assert at & (at - 1) == 0 and 0 < at <= 2048
-    groups = Counter()
+    groups, sizes = Counter(), {}
     for parts in by_seq.values():
-        groups[parts[0]["step_group"]] += sum(p["length"] for p in parts)
-    assert max(groups.values()) <= 1 << 16
+        group, size = parts[0]["step_group"], sum(p["length"] for p in parts)
+        groups[group] += size
+        assert sizes.setdefault(group, size) == size and all(p["tier"] == size for p in parts)
+    for size in set(sizes.values()):
+        # All groups of a size are full but the last.
+        assert [n for g, n in sorted(groups.items()) if sizes[g] == size][:-1] == [group_tokens] * (Counter(sizes.values())[size] - 1)
+    return groups
 
 
 def test_packing_covers_each_token_once_without_padding(spark):
@@ -113,12 +118,15 @@ def test_packing_covers_each_token_once_without_padding(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     rows = [r.asDict() for r in pack(df.withColumn("tier", df.text), PATH).collect()]
     tokenizer = ChunkTokenizer(PATH)
-    verify(rows, {k: v or "" for k, v in docs.items()}, tokenizer.encode)
+    texts = {k: v or "" for k, v in docs.items()}
+    verify(rows, texts, tokenizer.encode, 1 << 16)
+    small = pack(df.repartition(9), PATH, group_tokens=1 << 12).collect()
+    assert len(verify([r.asDict() for r in small], texts, tokenizer.encode, 1 << 12)) > 50
     assert pack(df.limit(0), PATH).collect() == []
 
 
 def test_packer_with_few_short_pieces():
-    packer = Packer(2048, 128, 1 << 16, 0, hold=4096)
+    packer = Packer(2048, 128, 0, hold=4096)
     docs = {}
     for i in range(9):
         docs[i] = bytes(4 * 1500)
