@@ -24,8 +24,11 @@ def build(name: str = "bookloom", master: str | None = None, **conf: str) -> Spa
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
+    """``df`` written once to the shared checkpoint folder and read from there; on one machine, to a temporary one if unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bookloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bookloom-"))
     return df.checkpoint(eager=True)
