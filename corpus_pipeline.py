@@ -11,6 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from bookloom.llm.common import settle
 from bookloom.llm.decontaminate import decontaminate
 from bookloom.llm.jaccard_join import drop_near_copies
 from bookloom.llm.line_dedup import line_dedup
@@ -56,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one returns is settled before the next one reads it, since stages read their input several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else settle(docs), sf_dir)
     return docs
