@@ -14,9 +14,14 @@ Words are runs of letters, digits and non-ASCII characters, in lower case, so ot
 or punctuation at the edges hides nothing. An item of fewer than ``n`` words is one
 shingle of all its words; an item without words is never found.
 
-Items are read in blocks of bounded size, each broadcast in its turn. Documents stay
-where they are: no shuffle. Cases: null texts have no words; null and repeated ids are
-carried along; an empty table on either side gives no finds.
+Items of up to ``block_bytes`` of text are broadcast, and documents stay where they are: no
+shuffle. More items are never broadcast: their sketches become a table, of which only a bit
+map of bounded size travels; documents send the shingles that it lets pass, which meet the
+sketches by a join, and what shares a value is verified by words where the document is.
+Hot shingles and items are broadcast by their share of the rows (see ``attach``).
+
+Cases: null texts have no words; null and repeated ids are carried along; an empty table
+on either side gives no finds.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import text_or_empty
+from bookloom.llm.common import attach, fresh, settle, text_or_empty
 from bookloom.llm.textkit import PUNCT_BYTES, Words, grams, mix, pieces, whole
 
-#: Bytes of item texts that are broadcast at once.
+#: Bytes of item texts that are broadcast.
 BLOCK_BYTES = 16 << 20
+#: Bits of the map of sketch values, as a power of two: at least and at most (16 MB).
+_MAP_BITS = (16, 27)
 _DROP = {b: " " for b in range(128) if not chr(b).isalnum()}
 
 
@@ -57,6 +64,33 @@ def _hashes(texts: list[str], lengths: Iterable[int]) -> list[dict[int, np.ndarr
     return out
 
 
+def sketch(text: str, length: int, threshold: float) -> tuple[np.ndarray, int]:
+    """The bottom-k MinHash sketch of an item's shingles of ``length`` words, and their number."""
+    values = _hashes([text], [length])[0][length]
+    size = len(values)
+    k = size - math.ceil(threshold * size - 1e-9) + 1
+    return values[np.argsort(mix(values))][:k], size
+
+
+def least_shingles(bits: int, threshold: float) -> int:
+    """What a document needs to hold enough of any item of a size partition."""
+    return math.ceil(threshold * (1 << (bits - 1)) - 1e-9)
+
+
+def held(text: str, items: Iterable[tuple], threshold: float) -> list[tuple]:
+    """item_id, shared and own shingles of the given (item_id, shingles) that the text holds."""
+    out, cut = [], {}
+    words = [w for w in words_of(text) if w]
+    for item_id, own in items:
+        n = len(next(iter(own)))
+        if n not in cut:
+            cut[n] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+        shared = len(own & cut[n])
+        if shared >= threshold * len(own) - 1e-9:
+            out.append((item_id, shared, len(own)))
+    return out
+
+
 class ItemIndex:
     """The sketches of a block of items, by shingle length and size partition."""
 
@@ -71,18 +105,16 @@ class ItemIndex:
             at = len(self.items)
             self.items.append((item_id, grams_of))
             length = len(next(iter(grams_of)))
-            values = _hashes([text], [length])[0][length]
-            size = len(values)
-            k = size - math.ceil(threshold * size - 1e-9) + 1
+            values, size = sketch(text, length, threshold)
             partition = sketches.setdefault((length, size.bit_length()), {})
-            for value in values[np.argsort(mix(values))][:k].tolist():
+            for value in values.tolist():
                 partition.setdefault(value, []).append(at)
         self.partitions = []
         for (length, bits), found in sorted(sketches.items()):
             keys = np.array(sorted(found), np.uint64)
             gate = np.zeros(1 << 16, bool)
             gate[(keys >> np.uint64(48)).astype(np.int64)] = True
-            least = math.ceil(threshold * (1 << (bits - 1)) - 1e-9)
+            least = least_shingles(bits, threshold)
             self.partitions.append((length, least, keys, gate, [found[k] for k in keys.tolist()]))
         self.lengths = sorted({p[0] for p in self.partitions})
 
@@ -113,28 +145,7 @@ class ItemIndex:
 
     def finds(self, text: str, candidates: Iterable[int]) -> list[tuple]:
         """item_id, shared and own shingles of the candidates that the text holds."""
-        out, cut = [], {}
-        words = [w for w in words_of(text) if w]
-        for at in sorted(candidates):
-            item_id, own = self.items[at]
-            n = len(next(iter(own)))
-            if n not in cut:
-                cut[n] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-            shared = len(own & cut[n])
-            if shared >= self.threshold * len(own) - 1e-9:
-                out.append((item_id, shared, len(own)))
-        return out
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """All items, in blocks whose texts have about ``block_bytes`` bytes (one item at least)."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total) // block_bytes + 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = [tuple(r) for r in part.select("item_id", "text").collect()]
-        if rows:
-            yield rows
+        return held(text, [self.items[at] for at in sorted(candidates)], self.threshold)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -147,48 +158,158 @@ def _lowered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield batch, lo, data, offsets
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Finds: doc_id, item_id, shared, shingles (of the item), containment."""
-    schema = "doc_id long, item_id long, shared long, shingles long, containment double"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty(docs)).alias("lowered"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k, items in enumerate(_blocks(_items(benchmark), block_bytes)):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, n, threshold))
-
-        def search(batches, index=index):
-            for batch, lo, data, offsets in _lowered(batches):
-                found = []
-                for r, candidates in index.value.candidates(data, offsets).items():
-                    doc_id, text = batch.column(0)[lo + r].as_py(), batch.column(1)[lo + r].as_py()
-                    found += [(doc_id, *x, x[1] / x[2]) for x in index.value.finds(text, candidates)]
+_FINDS = "doc_id long, item_id long, shared long, shingles long, containment double"
+
+
+def _finds_record(found: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.int64()] * 4 + [pa.float64()])]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "shared", "shingles", "containment"])
+
+
+def _index(items: DataFrame, n: int, threshold: float, block_bytes: int) -> ItemIndex | None:
+    """The items in memory, if their texts have at most ``block_bytes``."""
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return ItemIndex([tuple(r) for r in items.collect()], n, threshold) if total <= block_bytes else None
+
+
+def _sketches(n: int, threshold: float):
+    """item, words of a shingle, least shingles of a document, value: the items' sketches as rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = sum(1 for w in words_of(text) if w)
+                if not words:
+                    continue
+                length = min(n, words)
+                values, size = sketch(text, length, threshold)
+                least = least_shingles(size.bit_length(), threshold)
+                out += [(item, length, least, v) for v in values.view(np.int64).tolist()]
+            columns = zip(*out) if out else [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["item", "words", "least", "value"])
+
+    return run
+
+
+class FarSearch:
+    """Search for items too many to be broadcast; ``items`` and ``rows`` (doc_id, own, lowered) are joined by shingle."""
+
+    def __init__(self, items: DataFrame, n: int, threshold: float):
+        self.n, self.threshold = n, threshold
+        # Numbers by place in the written table, so that repeated items differ.
+        self.items = settle(items).withColumn("item", F.monotonically_increasing_id())
+        self.sketches = settle(self.items.select("item", "text").mapInArrow(_sketches(n, threshold), "item long, words int, least long, value long"))
+        size = max(1, self.sketches.count()) * 16
+        self.bits = min(max(size.bit_length(), _MAP_BITS[0]), _MAP_BITS[1])
+        place = F.shiftrightunsigned("value", 64 - self.bits)
+        words = self.sketches.groupBy(F.shiftright(place, 6).alias("word")).agg(
+            F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(value, {64 - self.bits}) & 63 as int)))").alias("bits")
+        )
+        # At most 2 ** (bits - 6) numbers.
+        table = words.toArrow()
+        self.map = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.map[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        self.lengths = sorted(r[0] for r in self.sketches.select("words").distinct().collect())
+
+    def finds(self, rows: DataFrame) -> DataFrame:
+        """doc_id, own, item_id, shared, shingles, containment for each row and item it holds."""
+        bits, table, lengths = self.bits, rows.sparkSession.sparkContext.broadcast(self.map), self.lengths
+
+        def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offsets in pieces(batch, "lowered"):
+                    words = Words(data, offsets, PUNCT_BYTES)
+                    hashes, row = words.hashes(), words.rows()
+                    for length in lengths:
+                        values = grams(hashes, length)
+                        place = values >> np.uint64(64 - bits)
+                        known = table.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+                        hit = np.flatnonzero(known & whole(words.counts, length))
+                        if not len(hit):
+                            continue
+                        found = np.unique(np.stack([row[hit].astype(np.uint64), values[hit]]), axis=1)
+                        at = found[0].astype(np.int64)
+                        ids = batch.slice(lo, hi - lo).select(["doc_id", "own"]).take(pa.array(at))
+                        shingles_there = words.counts[at] - length + 1
+                        yield pa.RecordBatch.from_arrays(
+                            [*ids.columns, pa.array(np.full(len(at), length, np.int32)), pa.array(shingles_there), pa.array(found[1].view(np.int64))],
+                            names=["doc_id", "own", "words", "there", "value"],
+                        )
+
+        key = F.concat_ws(":", "words", "value").alias("key")
+        hits = rows.mapInArrow(send, "doc_id long, own long, words int, there long, value long")
+        hits = settle(hits.select("doc_id", "own", "there", key).distinct())
+        holders = self.sketches.groupBy(key).agg(F.collect_list(F.struct("item", "least")).alias("holders"))
+        holders = settle(holders.join(hits.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key"))
+        pairs = attach(hits, holders, "key", "docs", how="inner").select("doc_id", "own", "there", F.explode("holders").alias("h"))
+        pairs = pairs.filter("there >= h.least").select("doc_id", "own", F.col("h.item").alias("item"))
+        pairs = settle(pairs.groupBy("doc_id", "own", "item").agg(F.count(F.lit(1)).alias("values")).drop("values"))
+        texts = settle(self.items.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("docs")), "item"))
+        pairs = attach(pairs, texts, "item", "docs", how="inner")
+        pairs = pairs.groupBy(F.col("doc_id").alias("id"), F.col("own").alias("hash")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+        same = rows["doc_id"].eqNullSafe(pairs["id"]) & (rows["own"] == pairs["hash"])
+        met = rows.join(pairs, same).select("doc_id", "own", "lowered", "items")
+        n, threshold = self.n, self.threshold
+
+        def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, own = [], []
+                for doc_id, key, text, items in zip(*(c.to_pylist() for c in batch.columns)):
+                    one = [(doc_id, *x, x[1] / x[2]) for x in held(text, ((i["item_id"], shingles(i["text"], n)) for i in items), threshold)]
+                    found += one
+                    own += [key] * len(one)
                 if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*found), [pa.int64()] * 4 + [pa.float64()])],
-                        names=["doc_id", "item_id", "shared", "shingles", "containment"],
-                    )
+                    out = _finds_record(found)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own, pa.int64())], names=[*out.schema.names, "own"])
+
+        return met.mapInArrow(verify, f"{_FINDS}, own long")
 
-        part = rows.mapInArrow(search, schema)
-        out = part if k == 0 else out.unionByName(part)
-    return out
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Finds: doc_id, item_id, shared, shingles (of the item), containment."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty(docs)).alias("lowered"), F.xxhash64(text_or_empty(docs)).alias("own")
+    )
+    items = _items(benchmark)
+    found = _index(items, n, threshold, block_bytes)
+    if found is None:
+        return FarSearch(items, n, threshold).finds(rows).drop("own")
+    index = docs.sparkSession.sparkContext.broadcast(found)
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, data, offsets in _lowered(batches):
+            found = []
+            for r, candidates in index.value.candidates(data, offsets).items():
+                doc_id, text = batch.column(0)[lo + r].as_py(), batch.column(1)[lo + r].as_py()
+                found += [(doc_id, *x, x[1] / x[2]) for x in index.value.finds(text, candidates)]
+            if found:
+                yield _finds_record(found)
+
+    return rows.drop("own").mapInArrow(search, _FINDS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no item, unchanged."""
-    names = docs.columns
-    mark = "_lowered"
-    while mark in names:
-        mark = "_" + mark
-    for items in _blocks(_items(benchmark), block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, n, threshold))
-
-        def clean(batches, index=index):
-            for batch in batches:
-                stays = np.ones(batch.num_rows, bool)
-                for lo, _, data, offsets in pieces(batch, mark):
-                    for r, candidates in index.value.candidates(data, offsets).items():
-                        if index.value.finds(batch.column(mark)[lo + r].as_py(), candidates):
-                            stays[lo + r] = False
-                yield batch.drop_columns([mark]).filter(pa.array(stays))
-
-        docs = docs.withColumn(mark, F.lower(text_or_empty(docs))).mapInArrow(clean, docs.schema)
-    return docs
+    items = _items(benchmark)
+    found = _index(items, n, threshold, block_bytes)
+    mark = fresh("lowered", docs.columns)
+    if found is None:
+        own = fresh("own", docs.columns)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty(docs)).alias("lowered"), F.xxhash64(text_or_empty(docs)).alias("own"))
+        gone = FarSearch(items, n, threshold).finds(rows).select(F.col("doc_id").alias(mark), F.col("own").alias(own)).distinct()
+        same = docs["doc_id"].cast("long").eqNullSafe(gone[mark]) & (F.xxhash64(text_or_empty(docs)) == gone[own])
+        return docs.join(gone, same, "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(found)
+
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            for lo, _, data, offsets in pieces(batch, mark):
+                for r, candidates in index.value.candidates(data, offsets).items():
+                    if index.value.finds(batch.column(mark)[lo + r].as_py(), candidates):
+                        stays[lo + r] = False
+            yield batch.drop_columns([mark]).filter(pa.array(stays))
+
+    return docs.withColumn(mark, F.lower(text_or_empty(docs))).mapInArrow(clean, docs.schema)
