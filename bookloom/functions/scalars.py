@@ -44,6 +44,13 @@ def aggressor(price: Column, bid: Column, ask: Column) -> Column:
     return F.when(F.coalesce(ask <= bid, F.lit(True)), 0).when(price >= ask, 1).when(price <= bid, -1).otherwise(0).cast("int")
 
 
+def aggressor_of(price: int, bid: int | None, ask: int | None) -> int:
+    """``aggressor`` of plain values, for folds."""
+    if bid is None or ask is None or ask <= bid:
+        return 0
+    return (price >= ask) - (price <= bid)
+
+
 def repaired_price(price: Column, side: Column, bid: Column, ask: Column) -> Column:
     """A print's price: its own, else the best of its side before it; null if there is none."""
     best = F.when(side == 1, ask).otherwise(bid)
@@ -73,6 +80,20 @@ def latency_bin(ns: Column) -> Column:
     return F.when(ns <= 0, 0).otherwise(F.least(power * 8 + fine, F.lit(191))).cast("int")
 
 
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def lerp(low: float, high: float, t: Column) -> Column:
+    """From ``low`` to ``high`` as ``t`` goes from 0 to 1, and no farther."""
+    return low + (high - low) * clamp(t, 0.0, 1.0)
+
+
+def cycles(duration_ns: Column, cycle_ns: int) -> Column:
+    """Whole cycles in a duration, one at least."""
+    return F.greatest(F.floor(duration_ns / F.lit(max(cycle_ns, 1))), F.lit(1)).cast("long")
+
+
 REGIME_SQL = """
 create or replace temporary function regime_score(
     blowout double, imbalance double, vpin double, velocity double, depletion double, drift double,

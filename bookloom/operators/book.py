@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -22,13 +23,13 @@ class Book:
     ``cap=None`` never drops a level.
     """
 
-    __slots__ = ("_best", "cap", "modify", "orders", "sides")
+    __slots__ = ("cap", "modify", "orders", "prices", "sides")
 
     def __init__(self, cap: int | None = MAX_LEVELS, modify: str = "additive"):
         self.cap, self.modify = cap, modify
         self.sides: tuple[dict, dict] = ({}, {})  # price -> [quantity, orders]
         self.orders: dict[int, list] = {}  # id -> [side, price, quantity]
-        self._best: list[int | None] = [None, None]
+        self.prices: tuple[list, list] = ([], [])  # in ascending order
 
     def apply(self, et: int, side: int, price: int, qty: int, order_id: int) -> bool:
         if et == ADD:
@@ -54,9 +55,7 @@ class Book:
             return False
         else:
             levels[price] = [qty, 1]
-            best = self._best[own]
-            if best is None or (price > best if own == 0 else price < best):
-                self._best[own] = price
+            insort(self.prices[own], price)
         if order_id:
             self.orders[order_id] = [own, price, qty]
         return True
@@ -71,8 +70,8 @@ class Book:
             level[1] = max(level[1] - 1, 0)
             if not level[1]:
                 del levels[price]
-                if self._best[own] == price:
-                    self._best[own] = (max if own == 0 else min)(levels, default=None)
+                prices = self.prices[own]
+                del prices[bisect_left(prices, price)]
         return True
 
     def _cancel(self, side: int, price: int, qty: int, order_id: int) -> bool:
@@ -103,23 +102,30 @@ class Book:
 
     @property
     def best_bid(self) -> int | None:
-        return self._best[0]
+        return self.prices[0][-1] if self.prices[0] else None
 
     @property
     def best_ask(self) -> int | None:
-        return self._best[1]
+        return self.prices[1][0] if self.prices[1] else None
 
     def size_at(self, side: int, price: int | None) -> int:
         return self.sides[side][price][0] if price is not None else 0
 
-    def levels(self, side: int) -> list[tuple[int, int, int]]:
+    def best_prices(self, side: int, n: int | None = None) -> list[int]:
+        """The ``n`` best prices of a side (all by default), best first."""
+        prices = self.prices[side]
+        if side:
+            return prices[:n]
+        return prices[::-1] if n is None else prices[: -n - 1 : -1]
+
+    def levels(self, side: int, n: int | None = None) -> list[tuple[int, int, int]]:
         """(price, quantity, orders), best first."""
-        return [(p, q, n) for p, (q, n) in sorted(self.sides[side].items(), reverse=side == 0)]
+        levels = self.sides[side]
+        return [(p, *levels[p]) for p in self.best_prices(side, n)]
 
     def depth(self, side: int, n: int) -> int:
-        if len(self.sides[side]) <= n:
-            return sum(q for q, _ in self.sides[side].values())
-        return sum(q for _, q, _ in self.levels(side)[:n])
+        levels = self.sides[side]
+        return sum([levels[p][0] for p in self.best_prices(side, n)])
 
     def l2_hash(self, tag: bytes = b"L2-v1") -> int:
         """A 64-bit XXH3 of the levels from best to worst, bids then asks; ``tag`` is its name space."""
@@ -159,14 +165,14 @@ class Book:
         for k in range(n_orders):
             order_id, side, price, qty = order.unpack_from(raw, at + k * order.size)
             book.orders[order_id] = [side, price, qty]
-        book._best = [max(book.sides[0], default=None), min(book.sides[1], default=None)]
+        book.prices = tuple(sorted(levels) for levels in book.sides)
         return book
 
     def __getstate__(self):
-        return self.cap, self.modify, self.sides, self.orders, self._best
+        return self.cap, self.modify, self.sides, self.orders, self.prices
 
     def __setstate__(self, state):
-        self.cap, self.modify, self.sides, self.orders, self._best = state
+        self.cap, self.modify, self.sides, self.orders, self.prices = state
 
 
 TOP = (
@@ -209,27 +215,24 @@ LEVELS = (
 
 
 class FinalBook(Fold):
-    """Only state; the end marker (et -1) turns it into its levels and hash."""
+    """The levels and the hash after the last event."""
 
     def __init__(self, **book):
-        self.book = Book(**book)
+        self.book, self.instrument = Book(**book), None
 
     def step(self, event: tuple) -> Iterable[tuple]:
-        _, instrument, et, side, price, qty, order_id, _ = event
-        if et != -1:
-            self.book.apply(et, side, price, qty, order_id)
-            return ()
+        _, self.instrument, et, side, price, qty, order_id, _ = event
+        self.book.apply(et, side, price, qty, order_id)
+        return ()
+
+    def finish(self) -> Iterable[tuple]:
         text = f"{self.book.l2_hash():016x}"
-        return [(instrument, s, p, q, n, text) for s in (0, 1) for p, q, n in self.book.levels(s)]
+        return [(self.instrument, s, p, q, n, text) for s in (0, 1) for p, q, n in self.book.levels(s)]
 
 
 def final_books(events: DataFrame, **book) -> DataFrame:
     """Levels after the last event of each instrument, for any input (modifies, anonymous and re-used ids)."""
-    from pyspark.sql import functions as F
-
-    ends = events.groupBy("instrument_id").agg((F.max("seq") + 1).alias("seq"))
-    columns = [F.lit(-1).cast("int").alias(c) if c == "et" else F.col(c) if c in ("seq", "instrument_id") else F.lit(0).cast(t).alias(c) for c, t in events.dtypes]
-    return run(events.unionByName(ends.select(*columns)), lambda: FinalBook(**book), LEVELS)
+    return run(events, lambda: FinalBook(**book), LEVELS)
 
 
 class OrderTracker:

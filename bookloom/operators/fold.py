@@ -1,7 +1,8 @@
 """Ordered per-key folds: plain Python state machines under thin batch and stream adapters.
 
 A fold is a class with ``step(event) -> iterable of rows`` and ``dump()``/``load(state)``.
-``event`` is a tuple in the order of ``schema.EVENT``. In batch, rows are dealt by
+``event`` is a tuple in the order of ``schema.EVENT``; ``finish()`` gives what is left to
+say when a batch has no more events of the key (a stream never ends). In batch, rows are dealt by
 instrument, sorted by sequence inside each partition and streamed through the fold in
 Arrow batches: a task holds one instrument's state, never its events.
 """
@@ -28,6 +29,9 @@ class Fold:
     def step(self, event: tuple) -> Iterable[tuple]:
         raise NotImplementedError
 
+    def finish(self) -> Iterable[tuple]:
+        return ()
+
     def dump(self) -> bytes:
         return pickle.dumps(self.__dict__)
 
@@ -54,11 +58,15 @@ def run(events: DataFrame, make: Callable[[], Fold], schema: T.StructType, key:
         for batch in batches:
             for event in zip(*(c.to_pylist() for c in batch.columns)):
                 if event[at] != current:
+                    if fold is not None:
+                        out.extend(fold.finish())
                     current, fold = event[at], make()
                 out.extend(fold.step(event))
             if len(out) >= _ROWS:
                 yield _record(out, arrow)
                 out = []
+        if fold is not None:
+            out.extend(fold.finish())
         if out:
             yield _record(out, arrow)
 
@@ -67,5 +75,5 @@ def run(events: DataFrame, make: Callable[[], Fold], schema: T.StructType, key:
 
 
 def replay(events: Iterable[tuple], fold: Fold) -> list[tuple]:
-    """All rows of one fold over events in order; for tests and small inputs."""
+    """All rows of one fold over events in order, but for its last words; for tests and small inputs."""
     return [row for event in events for row in fold.step(event)]
