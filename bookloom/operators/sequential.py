@@ -57,24 +57,32 @@ def vpin(trades: DataFrame, size: int = 10_000, buckets: int = 50) -> DataFrame:
 # ---- Velocity ---------------------------------------------------------------------------------
 
 
+VELOCITY = (
+    T.StructType()
+    .add("instrument_id", T.IntegerType()).add("second", T.LongType()).add("trades", T.LongType())
+    .add("baseline", T.DoubleType()).add("velocity", T.DoubleType())
+)
+
+
+class Velocity(Fold):
+    """Input, a row a second: second, instrument, trades."""
+
+    def __init__(self, keep: float):
+        self.keep, self.base = keep, 0.0
+
+    def step(self, event: tuple) -> Iterable[tuple]:
+        second, instrument, trades = event
+        self.base = self.base * self.keep + trades * (1 - self.keep) if self.base else float(trades)
+        return ((instrument, second, trades, self.base, trades / self.base if self.base > 0 else 0.0),)
+
+
 def velocity(rates: DataFrame, keep: float = 0.875) -> DataFrame:
     """Trades a second against their exponential mean, seeded by the first second with trades.
 
-    ``rates``: instrument_id, second, trades. The fold is an expression over each
-    instrument's seconds in order.
+    ``rates``: instrument_id, second, trades.
     """
-    seconds = rates.groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("second", F.col("trades").cast("long").alias("trades")))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("base"), F.expr("cast(array() as array<struct<second: bigint, trades: bigint, baseline: double, velocity: double>>)").alias("out"))
-
-    def add(acc, x):
-        n = x["trades"].cast("double")
-        base = F.when(acc["base"] == 0, n).otherwise(acc["base"] * keep + n * (1 - keep))
-        ratio = F.when(base > 0, n / base).otherwise(0.0)
-        row = F.struct(x["second"].alias("second"), x["trades"].alias("trades"), base.alias("baseline"), ratio.alias("velocity"))
-        return F.struct(base.alias("base"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    rows = seconds.select("instrument_id", F.explode(F.aggregate("s", zero, add)["out"]).alias("r"))
-    return rows.select("instrument_id", "r.*")
+    rows = rates.select(F.col("second").alias("seq"), "instrument_id", F.col("trades").cast("long").alias("trades"))
+    return run(rows, lambda: Velocity(keep), VELOCITY, columns=["seq", "instrument_id", "trades"])
 
 
 # ---- Episodes ---------------------------------------------------------------------------------
@@ -85,39 +93,49 @@ EPISODE = (
     .add("start_seq", T.LongType()).add("end_seq", T.LongType()).add("start_ts_ns", T.LongType()).add("end_ts_ns", T.LongType())
     .add("seq", T.LongType()).add("severity", T.DoubleType())
 )
-_PAIR = {"FlashCrash", "MomentumIgnition"}
+#: Two kinds that make one episode whoever is behind them.
+_PAIR = frozenset({"FlashCrash", "MomentumIgnition"})
+
+
+@dataclass
+class _Episode:
+    kind: str
+    initiator: int | None
+    end: int
+    end_ts: int
+
+    def admits(self, kind: str, initiator: int | None) -> bool:
+        same = (kind, initiator) == (self.kind, self.initiator) and initiator is not None
+        return same or frozenset({kind, self.kind}) == _PAIR
+
+    def extend(self, end: int, end_ts: int) -> None:
+        self.end, self.end_ts = max(self.end, end), max(self.end_ts, end_ts)
 
 
 class Clusterer(Fold):
     """Tags each flag with its episode and the episode's bounds so far.
 
     Input, by place in start order: place, instrument, start, end, start_ts, end_ts, kind, initiator, severity.
-    A flag joins the current episode if it starts close enough and is of the same kind and
-    initiator, or if the two kinds are a crash and an ignition.
+    A flag joins the current episode if it starts within a gap (of sequence or of time; 0
+    switches one off) of its end, and is of the same kind and known initiator, or if the two
+    kinds are a crash and an ignition.
     """
 
     def __init__(self, gap: int, gap_ns: int = 0):
         self.gap, self.gap_ns = gap, gap_ns
-        self.n, self.now = 0, None  # kind, initiator, end, end_ts
+        self.n = 0
+        self.now: _Episode | None = None
 
     def step(self, event: tuple) -> Iterable[tuple]:
         _, instrument, start, end, start_ts, end_ts, kind, initiator, severity = event
-        if self.now is not None and self._joins(start, start_ts, kind, initiator):
-            first, who, last, last_ts = self.now
-            self.now = (first, who, max(last, end), max(last_ts, end_ts))
+        now = self.now
+        gaps = () if now is None else ((self.gap, start - now.end), (self.gap_ns, start_ts - now.end_ts))
+        if any(most and far <= most for most, far in gaps) and now.admits(kind, initiator):
+            now.extend(end, end_ts)
         else:
             self.n += 1
-            self.now = (kind, initiator, end, end_ts)
-        return ((instrument, self.n, self.now[0], self.now[1], start, self.now[2], start_ts, self.now[3], start, severity),)
-
-    def _joins(self, start, start_ts, kind, initiator) -> bool:
-        first, who, last, last_ts = self.now
-        near = self.gap > 0 and start <= last + self.gap or self.gap_ns > 0 and start_ts <= last_ts + self.gap_ns
-        if not near:
-            return False
-        if kind == first:
-            return who is not None and who == initiator
-        return {kind, first} == _PAIR
+            now = self.now = _Episode(kind, initiator, end, end_ts)
+        return ((instrument, self.n, now.kind, now.initiator, start, now.end, start_ts, now.end_ts, start, severity),)
 
 
 def episodes(flags: DataFrame, gap: int = 64, gap_ns: int = 0) -> DataFrame:
@@ -158,76 +176,84 @@ DECISION = (
 RISK_COLUMNS = ["seq", "desk", "ts_ns", "action", "instrument_id", "side", "qty", "price"]
 
 
+# The reasons that halt a desk.
+RATE, POSITION, LOSS, RATIO, GAP, MANUAL = "RateLimit", "PositionCap", "DailyLossFloor", "OrderToTradeRatio", "FeedGap", "Manual"
+
+
+class TokenBucket:
+    """``rate`` tokens at most, refilled at ``rate`` a second of event time."""
+
+    def __init__(self, rate: int):
+        self.rate, self.left, self.last = float(rate), float(rate), None
+
+    def take(self, ts: int) -> bool:
+        if self.last is not None:
+            self.left = min(self.left + (ts - self.last) / 1e9 * self.rate, self.rate)
+        self.last = ts
+        enough = self.left >= 1
+        self.left -= enough
+        return enough
+
+
 class RiskGate(Fold):
     """A latching pre-trade gate over intents, fills, gaps and controls, on event time.
 
-    The first failed check latches its reason; everything is blocked until a reset.
+    An intent goes through a list of checks; the first one that fails latches its reason, and
+    all intents are blocked until a reset. A check whose limit is None is not in the list.
     """
 
     def __init__(self, limits: Limits | None = None):
-        self.limits = limits or Limits()
+        self.limits = limits = limits or Limits()
+        self.bucket = None if limits.orders_per_sec is None else TokenBucket(limits.orders_per_sec)
         self.reason: str | None = None
+        self.clear()
+
+    def clear(self) -> None:
         self.orders = self.trades = self.cash = 0
         self.positions: dict[int, int] = {}
         self.gaps: deque = deque()
-        self.tokens: float | None = None
-        self.last = 0
+
+    def _passes(self, ts: int, instrument: int, signed: int) -> Iterable[tuple[str, bool]]:
+        """Each check's reason and whether it lets the intent pass; later ones are not made if one does not."""
+        limits = self.limits
+        if self.bucket is not None:
+            yield RATE, self.bucket.take(ts)
+        if limits.position is not None:
+            yield POSITION, abs(self.positions.get(instrument, 0) + signed) <= limits.position
+        if limits.loss is not None:
+            yield LOSS, self.cash >= -limits.loss
+        if limits.order_to_trade is not None:
+            early = self.orders < limits.order_to_trade_warmup
+            yield RATIO, early or self.orders / max(self.trades, 1) <= limits.order_to_trade
 
     def step(self, event: tuple) -> Iterable[tuple]:
         seq, desk, ts, action, instrument, side, qty, price = event
+        signed = -qty if side else qty
         allowed = None
         if action == "intent":
-            allowed = self._intent(ts, instrument, side, qty)
+            if self.reason is None:
+                self.reason = next((reason for reason, passed in self._passes(ts, instrument, signed) if not passed), None)
+                self.orders += self.reason is None
+            allowed = self.reason is None
         elif action == "fill":
-            signed = qty if side == 0 else -qty
             self.trades += 1
-            self.positions[instrument] = self.positions.get(instrument, 0) + signed
             self.cash -= signed * price
-        elif action == "gap":
-            self._gap(ts)
+            self.positions[instrument] = self.positions.get(instrument, 0) + signed
+        elif action == "gap" and self.limits.gaps is not None:
+            self.gaps.append(ts)
+            while self.gaps[0] < ts - self.limits.gap_window_ns:
+                self.gaps.popleft()
+            if len(self.gaps) >= self.limits.gaps:
+                self.reason = self.reason or GAP
         elif action == "manual_halt":
-            self.reason = self.reason or "Manual"
-        elif action in ("reset", "start_of_day"):
+            self.reason = self.reason or MANUAL
+        elif action == "reset":
+            self.reason = None
+        elif action == "start_of_day":
             self.reason = None
-            if action == "start_of_day":
-                self.orders = self.trades = self.cash = 0
-                self.positions.clear()
-                self.gaps.clear()
+            self.clear()
         return ((desk, seq, action, allowed, self.reason, self.orders, self.trades, self.cash, sum(map(abs, self.positions.values()))),)
 
-    def _gap(self, ts: int) -> None:
-        if self.limits.gaps is None:
-            return
-        while self.gaps and self.gaps[0] < ts - self.limits.gap_window_ns:
-            self.gaps.popleft()
-        self.gaps.append(ts)
-        if len(self.gaps) >= self.limits.gaps:
-            self.reason = self.reason or "FeedGap"
-
-    def _intent(self, ts: int, instrument: int, side: int, qty: int) -> bool:
-        if self.reason:
-            return False
-        self.reason = self._failed(ts, instrument, qty if side == 0 else -qty)
-        self.orders += self.reason is None
-        return self.reason is None
-
-    def _failed(self, ts: int, instrument: int, signed: int) -> str | None:
-        limits = self.limits
-        if limits.orders_per_sec is not None:
-            rate = float(limits.orders_per_sec)
-            self.tokens = rate if self.tokens is None else min(self.tokens + (ts - self.last) / 1e9 * rate, rate)
-            self.last = ts
-            if self.tokens < 1:
-                return "RateLimit"
-            self.tokens -= 1
-        if limits.position is not None and abs(self.positions.get(instrument, 0) + signed) > limits.position:
-            return "PositionCap"
-        if limits.loss is not None and self.cash < -limits.loss:
-            return "DailyLossFloor"
-        if limits.order_to_trade is not None and self.orders >= limits.order_to_trade_warmup and self.orders / max(self.trades, 1) > limits.order_to_trade:
-            return "OrderToTradeRatio"
-        return None
-
 
 def risk_decisions(actions: DataFrame, limits: Limits | None = None) -> DataFrame:
     """A row for each action of each desk: allowed (intents only), the latched reason, and the counters."""
@@ -277,3 +303,30 @@ class GapTracker(Fold):
 
     def open_gap(self) -> tuple[int, int] | None:
         return (self.expected, min(self.pending) - 1) if self.pending else None
+
+
+GAP_STATS = T.StructType().add("channel", T.IntegerType())
+for _name in ("delivered", "duplicates", "buffered", "overflow", "gaps_opened", "gaps_closed", "open_from", "open_to"):
+    GAP_STATS = GAP_STATS.add(_name, T.LongType())
+
+
+class GapCounter(Fold):
+    """The tracker's counts and open gap after a channel's last message; input: arrival, channel, sequence."""
+
+    def __init__(self, expected: int, capacity: int):
+        self.tracker, self.channel = GapTracker(expected, capacity), None
+
+    def step(self, event: tuple) -> Iterable[tuple]:
+        self.channel = event[1]
+        self.tracker.step(event)
+        return ()
+
+    def finish(self) -> Iterable[tuple]:
+        counts = self.tracker.stats
+        return ((self.channel, *(counts[f.name] for f in GAP_STATS[1:7]), *(self.tracker.open_gap() or (None, None))),)
+
+
+def gap_stats(messages: DataFrame, expected: int = 1, capacity: int = 16_384) -> DataFrame:
+    """One row for each channel; ``messages``: channel, seq (the message's number), arrival (unique in the channel)."""
+    rows = messages.select(F.col("arrival").alias("seq"), F.col("channel").cast("int").alias("channel"), F.col("seq").alias("number"))
+    return run(rows, lambda: GapCounter(expected, capacity), GAP_STATS, key="channel", columns=["seq", "channel", "number"])

@@ -1,12 +1,17 @@
-"""Detectors and statistics that are plain windows: no Python in the plan."""
+"""Detectors and statistics that are plain windows: no Python in the plan, but for locks that arm anew."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bookloom.functions import scalars
+from bookloom.operators.fold import Fold, run
 
 _KEY = "instrument_id"
 
@@ -92,6 +97,41 @@ def auto_lock(events: DataFrame, trades: int = 5) -> DataFrame:
     return chosen.withColumn("eseq", F.row_number().over(Window.partitionBy(_KEY).orderBy("seq")).cast("long"))
 
 
+class _Locks(Fold):
+    """Input, trades in order: seq, channel, instrument, time. Rows: from which sequence on which instrument is tracked."""
+
+    def __init__(self, trades: int, stale_ns: int):
+        self.trades, self.stale_ns = trades, stale_ns
+        self.locked, self.last, self.counts = None, 0, Counter()
+
+    def step(self, event: tuple) -> Iterable[tuple]:
+        seq, channel, instrument, ts = event
+        if self.locked is not None:
+            if ts - self.last <= self.stale_ns:
+                self.last = ts if instrument == self.locked else self.last
+                return ()
+            self.locked, self.counts = None, Counter()
+        self.counts[instrument] += 1
+        if self.counts[instrument] < self.trades:
+            return ()
+        self.locked, self.last = instrument, ts
+        return ((channel, instrument, seq),)
+
+
+def rearming_locks(events: DataFrame, trades: int = 5, stale_ns: int = 5_000_000_000) -> DataFrame:
+    """instrument_id, from_seq, to_seq: ``auto_lock`` that looks for an instrument anew.
+
+    A lock ends at the first trade of any instrument that comes more than ``stale_ns`` of event
+    time after the locked one's last. Only trades are looked at, in one task, as each lock
+    depends on those before it.
+    """
+    schema = T.StructType().add("channel", T.IntegerType()).add(_KEY, T.IntegerType()).add("from_seq", T.LongType())
+    rows = events.filter("et = 4").select("seq", F.lit(0).cast("int").alias("channel"), _KEY, "ts_ns")
+    locks = run(rows, lambda: _Locks(trades, stale_ns), schema, key="channel", columns=["seq", "channel", _KEY, "ts_ns"])
+    following = F.lead("from_seq").over(Window.partitionBy("channel").orderBy("from_seq"))
+    return locks.select(_KEY, "from_seq", (following - 1).alias("to_seq"))
+
+
 def tick_samples(events: DataFrame, period_ns: int) -> DataFrame:
     """The last event of each instrument in each period of event time, without a sort."""
     rows = events.withColumn("bucket", F.floor(F.col("ts_ns") / period_ns).cast("long"))
