@@ -3,15 +3,18 @@
 A file is a run of messages, bare (``unframed``) or each behind a big-endian two-byte
 length (``binaryfile``). Adds, deletes, partial cancels, executions and non-cross trades
 become events; all other known types carry none (replace only with ``decode_replace``).
-Files are read in parallel; one file is one task, since a message's place depends on
-those before it.
+
+``read_itch`` takes files of any Hadoop file system whole, so they must stay under 2 GiB.
+``format("itch")`` reads files of any size in blocks: a task holds one block. With
+``split_bytes``, framed files are read by many tasks, each from the first place in its
+range where a long run of frames fits; ``numbered`` then gives events their numbers.
 """
 
 from __future__ import annotations
 
+import random
 import struct
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,38 +65,88 @@ def decode(m: bytes | memoryview, replace: bool = False) -> tuple | None:
     return locate, TRADE, 0, struct.unpack_from(">I", m, 32)[0] if kind == _C else 0, shares, ref, ts
 
 
-def messages(raw: bytes, framing: str = "unframed", strict: bool = False) -> Iterator[memoryview]:
-    """Messages of a buffer. Loose reads skip an unknown byte (or a frame of odd length) and end at a cut-off tail."""
-    view, at, n = memoryview(raw), 0, len(raw)
-    if framing == "binaryfile":
-        while at + 2 <= n:
+class Framer:
+    """Cuts blocks of a file into (offset, message).
+
+    Loose reads skip an unknown byte (or a frame of odd length) and end at a cut-off tail.
+    """
+
+    def __init__(self, framing: str = "unframed", strict: bool = False, offset: int = 0):
+        if framing not in ("unframed", "binaryfile"):
+            raise ValueError(f"unknown framing {framing!r}")
+        self.strict, self.offset, self.rest, self.ended = strict, offset, b"", False
+        self.cut = self._frames if framing == "binaryfile" else self._bare
+
+    def feed(self, block: bytes) -> Iterator[tuple[int, memoryview]]:
+        raw = self.rest + bytes(block) if self.rest else block
+        at = yield from self.cut(memoryview(raw))
+        self.rest, self.offset = bytes(raw[at:]), self.offset + at
+
+    def end(self) -> None:
+        if self.strict and self.rest and not self.ended:
+            raise ItchError("the last message is cut off")
+
+    def _frames(self, view: memoryview) -> Iterator[tuple[int, memoryview]]:
+        at, n = 0, len(view)
+        while not self.ended and at + 2 <= n:
             size = view[at] << 8 | view[at + 1]
-            at += 2
-            if not size or at + size > n:
-                if strict and size:
-                    raise ItchError("a frame is cut off")
-                return
-            if _LENGTH[view[at]] == size:
-                yield view[at : at + size]
-            elif strict:
-                raise ItchError("a frame's length is not its type's")
-            at += size
-    elif framing == "unframed":
+            if not size:
+                self.ended = True
+            elif at + 2 + size > n:
+                break
+            else:
+                if _LENGTH[view[at + 2]] == size:
+                    yield self.offset + at, view[at + 2 : at + 2 + size]
+                elif self.strict:
+                    raise ItchError("a frame's length is not its type's")
+                at += 2 + size
+        return n if self.ended else at
+
+    def _bare(self, view: memoryview) -> Iterator[tuple[int, memoryview]]:
+        at, n = 0, len(view)
         while at < n:
             size = _LENGTH[view[at]]
             if not size:
-                if strict:
+                if self.strict:
                     raise ItchError("unknown message type")
                 at += 1
             elif at + size > n:
-                if strict:
-                    raise ItchError("a message is cut off")
-                return
+                break
             else:
-                yield view[at : at + size]
+                yield self.offset + at, view[at : at + size]
                 at += size
-    else:
-        raise ValueError(f"unknown framing {framing!r}")
+        return at
+
+
+def messages(raw: bytes, framing: str = "unframed", strict: bool = False) -> Iterator[memoryview]:
+    """Messages of a whole buffer."""
+    framer = Framer(framing, strict)
+    for _, message in framer.feed(raw):
+        yield message
+    framer.end()
+
+
+#: Frames that must fit one after the other to be believed, and how far apart in time the first two may be.
+_RUN, _NEAR_NS = 64, 3_600_000_000_000
+
+
+def first_frame(block: bytes, whole: bool) -> int | None:
+    """Where the first run of fitting frames begins in a block of a framed file; shorter runs count at the file's end."""
+    view, n = memoryview(block), len(block)
+    for start in range(n - 2):
+        at, run, times = start, 0, []
+        while run < _RUN and at + 2 < n:
+            size = view[at] << 8 | view[at + 1]
+            if not size or _LENGTH[view[at + 2]] != size or at + 2 + size > n:
+                break
+            if run < 2:
+                times.append(int.from_bytes(view[at + 7 : at + 13], "big"))
+            at, run = at + 2 + size, run + 1
+        if len(times) == 2 and abs(times[1] - times[0]) > _NEAR_NS:
+            continue
+        if run == _RUN or (run and whole and at == n):
+            return start
+    return None
 
 
 def events_of(raw: bytes, framing: str = "unframed", start_at_ns: int = 0, strict: bool = False, replace: bool = False) -> Iterator[tuple]:
@@ -175,8 +228,30 @@ def project_fixed(frames: DataFrame) -> DataFrame:
     )
 
 
+def open_store(path: str):
+    """(file system, path) of a local path or of a URL that Arrow's file systems know."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of all files of a folder by name."""
+    from pyarrow import fs
+
+    store, at = open_store(path)
+    prefix = path.split("://")[0] + "://" if "://" in path else ""
+    info = store.get_file_info(at)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at))
+    return [(prefix + f.path, f.size) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File]
+
+
 class ItchSource(DataSource):
-    """``spark.read.format("itch").option("framing", ...).load(path)`` for files on every executor's own disk."""
+    """``spark.read.format("itch").option("framing", ...).load(path)``.
+
+    Options: framing, start_at_ns, block_bytes, and split_bytes for framed files. seq numbers
+    a file's events, or, in split files, is the place of an event's frame in the file plus 1.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -189,23 +264,83 @@ class ItchSource(DataSource):
         return _ItchReader(self.options)
 
 
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int, size: int):
+        self.path, self.start, self.stop, self.size = path, start, stop, size
+
+
 class _ItchReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.framing = options["path"], options.get("framing", "unframed")
-        self.start = int(options.get("start_at_ns", "0"))
+        self.start, self.block = int(options.get("start_at_ns", "0")), int(options.get("block_bytes", 8 << 20))
+        self.split = int(options.get("split_bytes", "0"))
+        if self.split and self.framing != "binaryfile":
+            raise ValueError("only framed files can be split")
 
     def partitions(self):
-        at = Path(self.path)
-        return [InputPartition(str(p)) for p in (sorted(x for x in at.iterdir() if x.is_file()) if at.is_dir() else [at])]
+        out = []
+        for path, size in list_files(self.path):
+            step = self.split or max(size, 1)
+            out += [_Range(path, at, min(at + step, size), size) for at in range(0, max(size, 1), step)]
+        return out
 
     def read(self, partition):
-        raw = Path(partition.value).read_bytes()
-        yield from _tables(events_of(raw, self.framing, self.start), partition.value, ["path", *EVENT_COLUMNS], _TYPES)
+        yield from _tables(self._events(partition), partition.path, ["path", *EVENT_COLUMNS], _TYPES)
+
+    def _events(self, part: _Range) -> Iterator[tuple]:
+        store, path = open_store(part.path)
+        with store.open_input_file(path) as file:
+            at = part.start
+            if at:
+                file.seek(at)
+                found = first_frame(file.read(self.block), at + self.block >= part.size)
+                if found is None:
+                    return
+                at += found
+            file.seek(at)
+            framer, seq = Framer(self.framing, offset=at), 0
+            while not framer.ended and framer.offset < part.stop and (block := file.read(self.block)):
+                for place, message in framer.feed(block):
+                    if place >= part.stop:
+                        return
+                    event = decode(message)
+                    if event is not None:
+                        seq += 1
+                        if event[6] >= self.start:
+                            yield place + 1 if self.split else seq, *event
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """Events of split files with seq 1, 2, ... over all files in order of path and place."""
+    from bookloom.functions.ranking import global_row_number
+
+    return global_row_number(events.withColumnRenamed("seq", "place"), ["path", "place"], "seq").select("path", *EVENT_COLUMNS)
 
 
 # ---- Encoding, for captures of our own --------------------------------------------------------
 
 
+def random_capture(n: int, seed: int, instrument: int = 1, mid: int = 10_000) -> bytes:
+    """``n`` messages: three adds to a deletion and a print, roughly.
+
+    Prints carry the reference that the next add will use, so a book that has not seen it yet
+    passes over them.
+    """
+    rng, out, live, next_id = random.Random(seed), [], [], 1
+    for k in range(n):
+        kind, side = rng.random(), rng.randrange(2)
+        price = mid + (1 if side else -1) * rng.randint(1, 50)
+        if live and kind < 0.25:
+            out.append(encode(CANCEL, instrument, k * 1000, live.pop(rng.randrange(len(live)))))
+        elif kind < 0.40:
+            out.append(encode(TRADE, instrument, k * 1000, next_id, side, price, rng.randint(1, 100)))
+        else:
+            out.append(encode(ADD, instrument, k * 1000, next_id, side, price, rng.randint(1, 1000)))
+            live.append(next_id)
+            next_id += 1
+    return b"".join(out)
+
+
 def encode(et: int, instrument: int, ts: int, order_id: int, side: int = 0, price: int = 0, qty: int = 0, stock: str = "") -> bytes:
     """One message: add (A), full or partial cancel (D, X), execution (E) or print with a price (P)."""
     def head(kind: str) -> bytes:

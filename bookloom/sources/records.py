@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import struct
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
 
 from bookloom.operators.book import Book
 from bookloom.schema import EVENT_COLUMNS
-from bookloom.sources.itch import _DDL, _TYPES, _files, _tables
+from bookloom.sources.itch import _DDL, _TYPES, _files, _Range, _tables, list_files, open_store
 
 # ---- Event log: 40-byte little-endian records, numbered from 1 ---------------------------------
 
@@ -50,14 +54,97 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, unpack_log, _DDL, _TYPES, ["path", *EVENT_COLUMNS])
 
 
-def log_blobs(events: DataFrame) -> DataFrame:
-    """instrument_id, log: each instrument's events as one binary log, in sequence."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in EVENT_COLUMNS)))
-        return pa.table({"instrument_id": pa.array([rows[0][1]], pa.int32()), "log": [b"".join(map(pack_event, rows))]})
-
-    return events.select(*EVENT_COLUMNS).groupBy("instrument_id").applyInArrow(run, "instrument_id int, log binary")
+class EventLogSource(DataSource):
+    """``format("eventlog")``: folders of 40-byte records that batches append to, and logs of any size.
+
+    Reading: every task takes a range of whole records of one file; seq is the record's place
+    in its file, from 1. Writing appends a file for each task, which a reader meets whole or
+    not at all; name and path are in order of the job's time, then of the task.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "eventlog"
+
+    def schema(self) -> str:
+        return _DDL
+
+    def reader(self, schema) -> DataSourceReader:
+        return _LogReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("an event log is only appended to")
+        return _LogWriter(self.options["path"], [f.name for f in schema])
+
+
+class _LogReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.split = options["path"], int(options.get("split_bytes", 64 << 20)) // SIZE * SIZE or SIZE
+
+    def partitions(self):
+        out = []
+        for path, size in list_files(self.path):
+            if size % SIZE:
+                raise CorruptLog(f"{path}: {size} bytes are no whole number of {SIZE}-byte records")
+            out += [_Range(path, at, min(at + self.split, size), size) for at in range(0, size, self.split)]
+        return out
+
+    def read(self, partition):
+        store, path = open_store(partition.path)
+        with store.open_input_file(path) as file:
+            file.seek(partition.start)
+            raw = file.read(partition.stop - partition.start)
+        rows = ((partition.start // SIZE + e[0], *e[1:]) for e in unpack_log(raw))
+        yield from _tables(rows, partition.path, ["path", *EVENT_COLUMNS], _TYPES)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    hidden: str
+    final: str
+
+
+class _LogWriter(DataSourceWriter):
+    def __init__(self, path: str, names: list[str]):
+        self.path, self.at = path, [names.index(c) for c in EVENT_COLUMNS]
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        store, folder = open_store(self.path)
+        store.create_dir(folder, recursive=True)
+        task = TaskContext.get()
+        name = f"log-{self.job}-{task.partitionId():06d}"
+        hidden = f"{folder}/.{name}-{task.taskAttemptId()}"
+        n = 0
+        with store.open_output_stream(hidden) as file:
+            for row in iterator:
+                file.write(pack_event(tuple(row[i] for i in self.at)))
+                n += 1
+        if not n:
+            store.delete_file(hidden)
+        return _Part(hidden if n else "", f"{folder}/{name}.log")
+
+    def commit(self, messages):
+        store, _ = open_store(self.path)
+        for m in messages:
+            if m is not None and m.hidden:
+                store.move(m.hidden, m.final)
+
+    def abort(self, messages):
+        store, _ = open_store(self.path)
+        for m in messages:
+            if m is not None and m.hidden:
+                store.delete_file(m.hidden)
+
+
+def append_event_log(events: DataFrame, path: str) -> None:
+    """Append events in order of sequence; a range of sequences is a file."""
+    events.sparkSession.dataSource.register(EventLogSource)
+    rows = events.select(*EVENT_COLUMNS).repartitionByRange("seq").sortWithinPartitions("seq")
+    rows.write.format("eventlog").mode("append").save(path)
 
 
 # ---- Write-ahead log: segments of [length][crc32][payload], little endian ----------------------

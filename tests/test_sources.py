@@ -73,12 +73,69 @@ def test_readers_agree(spark, tmp_path):
 
 def test_event_log(spark, tmp_path):
     events = scenarios.fuzz(300, 3)
-    blob = records.log_blobs(scenarios.to_frame(spark, events)).first()["log"]
+    blob = b"".join(map(records.pack_event, events))
     assert len(blob) == 300 * 40
     (tmp_path / "log").write_bytes(blob)
     assert sorted(map(tuple, records.read_event_log(spark, str(tmp_path / "log")).drop("path").collect())) == events
     with pytest.raises(records.CorruptLog):
         list(records.unpack_log(bytes(blob)[:-1]))
+    spark.dataSource.register(records.EventLogSource)
+    parts = spark.read.format("eventlog").option("split_bytes", "1000").load(str(tmp_path / "log"))
+    assert parts.rdd.getNumPartitions() == 12 and sorted(map(tuple, parts.drop("path").collect())) == events
+
+
+def test_event_log_is_appended_to(spark, tmp_path):
+    events = scenarios.fuzz(500, 4)
+    folder = str(tmp_path / "logs")
+    for part in (events[:200], events[200:201], events[201:], []):
+        df = scenarios.to_frame(spark, part) if part else scenarios.to_frame(spark, events).limit(0)
+        records.append_event_log(df.repartition(3), folder)
+    rows = spark.read.format("eventlog").load(folder).orderBy("path", "seq").collect()
+    assert [tuple(r)[2:] for r in rows] == [e[1:] for e in events]
+    assert not [f for f in (tmp_path / "logs").iterdir() if f.name.startswith(".")]
+    with pytest.raises(Exception, match="only appended"):
+        scenarios.to_frame(spark, events).write.format("eventlog").mode("overwrite").save(folder)
+    (tmp_path / "logs" / "odd.log").write_bytes(b"x" * 41)
+    with pytest.raises(Exception, match="CorruptLog"):
+        spark.read.format("eventlog").load(folder).count()
+
+
+@pytest.mark.parametrize("split", [0, 3000, 20_011])
+def test_captures_are_read_in_blocks(spark, tmp_path, split):
+    """Blocks far smaller than the file; ranges that begin inside messages."""
+    parts = capture(scenarios.market(2000, 5, instrument=9))
+    other = capture(scenarios.market(700, 6, instrument=3))
+    (tmp_path / "a").write_bytes(itch.framed([itch.encode_directory(9, "ABC"), *parts]))
+    (tmp_path / "b").write_bytes(itch.framed(other))
+    spark.dataSource.register(itch.ItchSource)
+    read = spark.read.format("itch").option("framing", "binaryfile").option("block_bytes", "5000").option("split_bytes", str(split))
+    df = read.load(str(tmp_path))
+    want = [e[1:] for raw in (parts, other) for e in itch.events_of(b"".join(raw))]
+    rows = itch.numbered(df).collect() if split else df.orderBy("path", "seq").collect()
+    if split:
+        assert df.rdd.getNumPartitions() > 2 and [r.seq for r in sorted(rows, key=lambda r: r.seq)] == list(range(1, 2701))
+        rows = sorted(rows, key=lambda r: r.seq)
+    assert [tuple(r)[2:] for r in rows] == want
+
+
+def test_unframed_blocks_and_random_captures(spark, tmp_path):
+    raw = itch.random_capture(3000, 7)
+    (tmp_path / "c").write_bytes(raw)
+    spark.dataSource.register(itch.ItchSource)
+    df = spark.read.format("itch").option("block_bytes", "100").load(str(tmp_path / "c"))
+    events = list(itch.events_of(raw))
+    assert sorted(map(tuple, df.drop("path").collect())) == events and len(events) == 3000
+    prints, seen = 0, set()
+    for _, _, et, _, _, _, order_id, _ in events:
+        seen |= {order_id} if et == ADD else set()
+        prints += et == TRADE
+        assert et != TRADE or order_id not in seen
+    assert prints > 300
+    hashes = {df.transform(lambda x: final_books(x.drop("path").repartition(n))).first()["l2_hash"] for n in (1, 7)}
+    book = Book()
+    for e in events:
+        book.apply(*e[2:7])
+    assert hashes == {f"{book.l2_hash():016x}"}
 
 
 def test_wal_rotates_and_recovers(spark, tmp_path):
