@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookloom.schema import ADD, ASK, BID, CANCEL, EVENT, MODIFY, TRADE
 
@@ -130,18 +131,18 @@ def ignition(seed: int, up: bool = True, mid: int = 10_000, steps: int = 14) ->
     return tape.events
 
 
-def crash(seed: int, down: bool = True, mid: int = 10_000) -> list[tuple]:
+def crash(seed: int, down: bool = True, mid: int = 10_000, levels: int = 10) -> list[tuple]:
     rng, tape = random.Random(seed), Tape()
     side, way = (BID, -1) if down else (ASK, 1)
     # Deep on the side that breaks, thin on the other.
     orders = {}
-    for k in range(1, 11):
+    for k in range(1, levels + 1):
         orders[k] = tape.add(side, mid + way * k, rng.randint(90, 110))
         tape.add(1 - side, mid - way * k, 10)
     far = [tape.add(side, mid + way * (40 + k), 100) for k in range(4)]
     for _ in range(4):
-        tape.put(TRADE, side, mid + way * 10, 5, orders[10])
-    for k in range(1, 11):
+        tape.put(TRADE, side, mid + way * levels, 5, orders[levels])
+    for k in range(1, levels + 1):
         tape.put(CANCEL, side, mid + way * k, 0, orders[k])
     for k, order_id in enumerate(far):
         tape.put(TRADE, side, mid + way * (40 + k), 10, order_id)
@@ -171,16 +172,40 @@ SCENARIOS: dict[str, Callable[[int], list[tuple]]] = {
 }
 
 
-def storm(kind: str, seed: int, events: int) -> Iterator[tuple]:
-    """A scenario run again with seed, seed + 1, ... until ``events`` events stand, numbered through."""
+#: What grows with a scenario's severity: an argument, at severity 0 and at 1.
+SCALES: dict[str, tuple[str, int, int]] = {
+    "QuoteStuff": ("bursts", 2, 12),
+    "Spoof": ("cycles", 4, 60),
+    "PhantomLiquidity": ("cycles", 10, 120),
+    "CancellationStorm": ("storm", 500, 6000),
+    "MomentumIgnition": ("steps", 6, 30),
+    "FlashCrash": ("levels", 6, 20),
+    "LatencyArbitrage": ("cycles", 1, 6),
+}
+
+
+def script(kind: str, seed: int, severity: float | None = None) -> list[tuple]:
+    """One run of a scenario, as it stands or at a severity from 0 to 1."""
+    if severity is None:
+        return SCENARIOS[kind](seed)
+    name, low, high = SCALES[kind]
+    return SCENARIOS[kind](seed, **{name: round(low + (high - low) * min(max(severity, 0.0), 1.0))})
+
+
+def storm(kind: str, seed: int, events: int, severity: float | None = None, step_ns: int | None = None) -> Iterator[tuple]:
+    """A scenario run again with seed, seed + 1, ... until ``events`` events stand, numbered through.
+
+    With ``step_ns``, events are that far apart, whatever their script's times.
+    """
     seq, ts = 0, 0
     restart = 0
     while seq < events:
         base_seq, base_ts = seq, ts
-        for e in SCENARIOS[kind](seed + restart):
+        for e in script(kind, seed + restart, severity):
             if seq >= events:
                 return
-            seq, ts = base_seq + e[0], base_ts + e[7] + 1
+            seq = base_seq + e[0]
+            ts = base_ts + e[7] + 1 if step_ns is None else (seq - 1) * step_ns
             order_id = e[6] and e[6] + (restart << 32)
             yield (seq, *e[1:6], order_id, ts)
         restart += 1
@@ -196,8 +221,8 @@ class Orchestrator:
     def __init__(self, most: int = 32):
         self.most, self.active = most, None
 
-    def start(self, kind: str, seed: int, duration_ns: int, now_ns: int) -> dict:
-        self.active = {"kind": kind, "seed": seed, "started_at_ns": now_ns, "expires_at_ns": now_ns + max(duration_ns, 1), "due_ns": now_ns, "restarts": 0}
+    def start(self, kind: str, seed: int, duration_ns: int, now_ns: int, severity: float | None = None) -> dict:
+        self.active = {"kind": kind, "severity": severity, "seed": seed, "started_at_ns": now_ns, "expires_at_ns": now_ns + max(duration_ns, 1), "due_ns": now_ns, "restarts": 0}
         return self.snapshot()
 
     def stop(self) -> None:
@@ -217,11 +242,11 @@ class Orchestrator:
                 break
             if a["due_ns"] > now_ns:
                 break
-            script = SCENARIOS[a["kind"]](a["seed"] + a["restarts"])
-            for e in script:
+            events = script(a["kind"], a["seed"] + a["restarts"], a["severity"])
+            for e in events:
                 order_id = e[6] and e[6] + (a["restarts"] << 32)
                 out.append((base_seq + len(out), *e[1:6], order_id, a["due_ns"] + e[7]))
-            a["due_ns"] += script[-1][7] + 1
+            a["due_ns"] += events[-1][7] + 1
             a["restarts"] += 1
         return out
 
@@ -277,3 +302,35 @@ def synthetic(spark: SparkSession, n: int, instruments: int = 16, seed: int = 42
         F.when(et == ADD, qty).when(et == TRADE, F.floor(qty / 4) + 1).otherwise(0).cast("long").alias("qty"),
         (cycle + 1).cast("long").alias("order_id"), (F.col("seq") * 1000).alias("ts_ns"),
     )
+
+
+def tick_feed(spark: SparkSession, n: int, instruments: int = 4, seed: int = 42, step_ns: int = 20_000_000) -> DataFrame:
+    """Quotes of a correlated random walk for displays: instrument_id, seq, ts_ns, mid, spread, bids, asks, print_qty.
+
+    Steps of all instruments share a common part. A fifth of the time a storm is on, of five
+    kinds in turn: wide spreads, thin bids, thin asks, large prints, a falling mid.
+    """
+    step = F.col("step")
+    draw = lambda k, m, *more: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), step, *more), F.lit(m))
+    rows = spark.range(n).select(F.col("id").alias("step"))
+    every = F.array(*[F.lit(k).cast("int") for k in range(instruments)])
+    rows = rows.select("step", F.explode(every).alias("instrument_id"))
+    storm = F.when(F.floor(step / 100) % 5 == 4, F.floor(step / 500) % 5).otherwise(-1)
+    own = draw(1, 5) - 2 + draw(2, 3, F.col("instrument_id")) - 1 - F.when(storm == 4, 2).otherwise(0)
+    rows = rows.withColumn("storm", storm.cast("int"))
+    walk = F.sum(own).over(Window.partitionBy("instrument_id").orderBy("step"))
+    rows = rows.withColumn("mid", F.greatest(10_000 + walk, F.lit(100)))
+    spread = 1 + draw(3, 3) + F.when(F.col("storm") == 0, 8).otherwise(0)
+    ladder = lambda way, thin: F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda k: F.struct(
+            (F.col("mid") + way * (F.floor((F.col("spread") + 1) / 2) + k)).alias("price"),
+            F.when(F.col("storm") == thin, 5).otherwise(100 + F.pmod(F.xxhash64(step, "instrument_id", k, F.lit(way)), F.lit(400))).cast("long").alias("qty"),
+        ),
+    )
+    rows = rows.withColumn("spread", spread)
+    size = F.when(draw(4, 4) == 0, draw(5, 200) + F.when(F.col("storm") == 3, 2000).otherwise(0)).otherwise(0)
+    return rows.select(
+        "instrument_id", (step + 1).alias("seq"), (step * step_ns).alias("ts_ns"), "mid", "spread", "storm",
+        ladder(-1, 1).alias("bids"), ladder(1, 2).alias("asks"), size.cast("long").alias("print_qty"),
+    )

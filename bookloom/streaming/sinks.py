@@ -28,8 +28,21 @@ def manifest(flags: DataFrame, events: DataFrame, delta: float = 0.0) -> DataFra
     """One row about a run: its bounds, events, flags by kind and verdict."""
     bounds = events.agg(F.count(F.lit(1)).alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     by_kind = flags.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = by_kind.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("flags"))  # one row each
-    return bounds.crossJoin(kinds).withColumn("verdict", verdict(F.lit(delta)))
+    kinds = by_kind.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("flags"))
+    # One row each.
+    both = bounds.withColumn("run", F.lit(0)).join(kinds.withColumn("run", F.lit(0)), "run").drop("run")
+    return both.withColumn("verdict", verdict(F.lit(delta)))
+
+
+def bounded(rows: DataFrame, capacity: int, period_ns: int) -> DataFrame:
+    """What a channel of ``capacity`` rows for each instrument and period of event time lets pass.
+
+    ``dropped_total`` counts the rows of the instrument that did not pass up to that row.
+    """
+    period = Window.partitionBy("instrument_id", F.floor(F.col("ts_ns") / period_ns)).orderBy("seq")
+    placed = rows.withColumn("_over", (F.row_number().over(period) > capacity).cast("long"))
+    so_far = Window.partitionBy("instrument_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("dropped_total", F.sum("_over").over(so_far)).filter("_over = 0").drop("_over")
 
 
 def write_run(path: str, events: DataFrame, ticks: DataFrame, flags: DataFrame, delta: float = 0.0) -> None:

@@ -5,8 +5,8 @@ from bookloom.operators.book import top_of_book
 from bookloom.operators.detectors import chain
 from bookloom.operators.sequential import Limits, risk_decisions, vpin
 from bookloom.schema import EVENT
-from bookloom.sources import scenarios
-from bookloom.streaming import folds, sinks
+from bookloom.sources import itch, records, scenarios
+from bookloom.streaming import folds, live, sinks
 
 
 @pytest.fixture
@@ -84,3 +84,38 @@ def test_rates_wait_for_the_watermark(spark, stream):
     add(late.events, 2)
     out = run(lambda s: folds.stream_rates(s, "2 seconds"), "rates")
     assert len(out) == 30
+
+
+def test_landed_packets_become_events_in_sequence(spark, tmp_path):
+    """Two receivers, late and repeated packets, a torn record and a malformed one."""
+    folds.prepare(spark)
+    folder, out = tmp_path / "landed", str(tmp_path / "events")
+    folder.mkdir()
+    events = scenarios.market(120, 3)
+    messages = [itch.encode(et, inst, ts, oid, side, price, qty) for _, inst, et, side, price, qty, oid, ts in events]
+    events = [(1 + k, *itch.decode(m)) for k, m in enumerate(messages)]
+    packets = [records.packet("S1", 1 + k, messages[k : k + 7]) for k in range(0, 120, 7)]
+
+    def land(name, chosen, tail=b""):
+        (folder / name).write_bytes(b"".join(map(records.wal_record, chosen)) + tail)
+
+    def run():
+        sinks.stream_to(live.live_events(spark, str(folder)), out, str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(out).collect()))
+
+    land("a", [packets[1], packets[0], packets[0], packets[3][:-1], records.packet("S1", 500, [], 0)])
+    assert run() == events[:14]
+    land("b", packets[3:10], b"torn")
+    assert run() == events[:14]
+    land("c", packets[2:4][::-1])
+    land("d", packets[9:])
+    assert run() == events
+
+
+def test_replay_at_a_pace(spark, tmp_path):
+    folds.prepare(spark)
+    for k in range(4):
+        scenarios.to_frame(spark, scenarios.market(30, k, instrument=k)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = sinks.stream_to(live.replayed(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [30] * 4

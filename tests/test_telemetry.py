@@ -2,12 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookloom import sources
+from bookloom.functions import scalars
 from bookloom.operators import telemetry, windows
 from bookloom.operators.book import Book, TopOfBook, top_of_book
 from bookloom.operators.fold import replay
 from bookloom.operators.telemetry import StateHash
 from bookloom.sources import itch, records, scenarios
-from bookloom.streaming.sinks import first_per_second, frames, latest
+from bookloom.streaming.sinks import bounded, first_per_second, frames, latest
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -50,13 +51,16 @@ def test_ticks_agree_with_the_fold(spark):
 
 
 def test_ladder_frames(spark):
+    """Every period has its frame, the last one too."""
     events = scenarios.market(300, 2)
-    rows = telemetry.ladder_frames(scenarios.to_frame(spark, events), 100_000, 3).collect()
-    book = Book()
-    for e in events[: rows[0].seq]:
-        book.apply(*e[2:7])
-    first = min(rows, key=lambda r: r.seq)
-    assert len(rows) == 2 and [tuple(x) for x in first.bids] == book.levels(0)[:3]
+    rows = sorted(telemetry.ladder_frames(scenarios.to_frame(spark, events), 100_000, 3).collect(), key=lambda r: r.seq)
+    ends = {e[7] // 100_000: e[0] for e in events}
+    assert [(r.bucket, r.seq) for r in rows] == sorted(ends.items()) and len(rows) == 3
+    for r in rows:
+        book = Book()
+        for e in events[: r.seq]:
+            book.apply(*e[2:7])
+        assert [tuple(x) for x in r.bids] == book.levels(0)[:3] and [tuple(x) for x in r.asks] == book.levels(1)[:3]
 
 
 def test_orchestrator_restarts_until_its_time_is_over():
@@ -107,3 +111,42 @@ def test_rolling_spread_by_hand(spark):
 def test_tops_filter_to_trades(spark):
     df = scenarios.to_frame(spark, scenarios.market(200, 1))
     assert top_of_book(df, trades_only=True).count() == df.filter("et = 4").count()
+
+
+def test_severity_and_pace_of_storms():
+    for kind in scenarios.SCENARIOS:
+        mild, wild = (scenarios.script(kind, 3, severity) for severity in (0.0, 1.0))
+        assert len(mild) < len(wild) and scenarios.script(kind, 3, 7.0) == wild, kind
+    paced = list(scenarios.storm("Spoof", 1, 50, 0.5, 1000))
+    assert [e[7] for e in paced] == [1000 * k for k in range(50)]
+    o = scenarios.Orchestrator(most=1)
+    o.start("Spoof", 5, 10**6, 0, severity=0.0)
+    assert len(o.poll(0, 1)) == len(scenarios.script("Spoof", 5, 0.0))
+
+
+def test_bounded_channel(spark):
+    rows = [(1, i, i * 10) for i in range(10)] + [(2, 1, 5)]
+    out = sorted(map(tuple, bounded(spark.createDataFrame(rows, "instrument_id int, seq long, ts_ns long"), 2, 50).collect()))
+    assert out == [(1, 0, 0, 0), (1, 1, 10, 0), (1, 5, 50, 3), (1, 6, 60, 3), (2, 1, 5, 0)]
+
+
+def test_tick_feed(spark):
+    df = scenarios.tick_feed(spark, 600, 2)
+    rows = df.collect()
+    assert len(rows) == 1200 and sorted(map(str, rows)) == sorted(map(str, scenarios.tick_feed(spark, 600, 2).repartition(5).collect()))
+    assert all(len(r.bids) == 10 and r.bids[0].price < r.asks[0].price for r in rows) and {r.storm for r in rows} >= {-1, 0}
+
+
+def test_rearming_locks(spark):
+    rows = [(1, 1, 10), (2, 2, 20), (3, 1, 30), (4, 2, 40), (5, 1, 45), (6, 2, 60), (7, 2, 200), (8, 1, 210), (9, 2, 220)]
+    df = spark.createDataFrame([(s, i, 4, 0, 1, 1, s, t) for s, i, t in rows], scenarios.EVENT)
+    assert sorted(map(tuple, windows.rearming_locks(df, 2, 100).collect())) == [(1, 3, 8), (2, 9, None)]
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(5,), (95,)], "x long")
+    out = df.select(scalars.clamp(F.col("x"), 10.0, 90.0), scalars.lerp(2.0, 4.0, F.col("x") / 100), scalars.cycles(F.col("x"), 10)).collect()
+    assert [tuple(r) for r in out] == [(10.0, 2.1, 1), (90.0, 3.9, 9)]
+    quotes = [(p, b, a) for p in (9, 10, 11, 12, 13) for b, a in ((10, 12), (12, 10), (None, 12), (10, None), (11, 11))]
+    got = spark.createDataFrame(quotes, "p long, b long, a long").select(scalars.aggressor(F.col("p"), F.col("b"), F.col("a"))).collect()
+    assert [r[0] for r in got] == [scalars.aggressor_of(*q) for q in quotes]
