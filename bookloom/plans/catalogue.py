@@ -14,7 +14,7 @@ from bookloom.operators.book import final_books, top_of_book
 from bookloom.operators.detectors import chain
 from bookloom.schema import EVENT_LABELS, KINDS, SIDE_LABELS, label
 from bookloom.sources.itch import encode, project_fixed
-from bookloom.sources.testmarket import P1_SQL, P2_SQL, from_events, from_lineitem
+from bookloom.sources.testmarket import P1_SQL, P2_SQL, P3_SQL, from_events, from_events_modified, from_lineitem
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +67,39 @@ def order_residuals(spark, sf_dir):
     return ladder.order_residuals(from_events(spark, sf_dir))
 
 
+#: Orders first, each by itself; what they do to levels ("add", "cut", or "hit" by an anonymous trade); then each level by itself.
+_LEVEL_FOLD = """
+e as (select instrument_id, order_id, seq, et, side, price, qty,
+    row_number() over (partition by instrument_id, order_id order by seq) as k from p1 where et between 1 and 4 and order_id <> 0),
+o as (select instrument_id, order_id, 0::bigint as k, 0::bigint as seq, false as alive, 0 as os, 0::bigint as op, 0::bigint as oq,
+        0::bigint as cut, false as leaves, false as cuts, 0 as cs, 0::bigint as cp, false as adds, 0 as es, 0::bigint as ep, 0::bigint as eq
+    from e where k = 1
+    union all select e.instrument_id, e.order_id, e.k, e.seq, e.et in (1, 3) or (o.alive and not x.gone),
+        case when e.et in (1, 3) then e.side else o.os end, case when e.et in (1, 3) then e.price else o.op end,
+        case when e.et in (1, 3) then e.qty else o.oq - x.cut end,
+        x.cut, x.gone, o.alive and e.et in (2, 3, 4), o.os, o.op, e.et in (1, 3), e.side, e.price, e.qty
+    from o join e on e.instrument_id = o.instrument_id and e.order_id = o.order_id and e.k = o.k + 1,
+        lateral (select case when e.et <> 4 and e.qty = 0 then o.oq else least(e.qty, o.oq) end as cut,
+            (e.et <> 4 and e.qty = 0) or e.qty >= o.oq as gone) x),
+ops as (select instrument_id, cs as side, cp as price, seq, 1 as part, 'cut' as op, cut as qty, leaves from o where cuts
+    union all select instrument_id, es, ep, seq, 2, 'add', eq, false from o where adds
+    union all select instrument_id, side, price, seq, 1, case et when 4 then 'hit' else 'cut' end, qty, true from p1 where order_id = 0 and et in (2, 3, 4)
+    union all select instrument_id, side, price, seq, 2, 'add', qty, false from p1 where order_id = 0 and et in (1, 3)),
+n as (select *, row_number() over (partition by instrument_id, side, price order by seq, part) as k from ops),
+l as (select instrument_id, side, price, 0::bigint as k, 0::bigint as q, 0::bigint as c from n where k = 1
+    union all select n.instrument_id, n.side, n.price, n.k,
+        case when n.op = 'add' then (case when l.c > 0 then l.q else 0 end) + n.qty else greatest(l.q - n.qty, 0) end,
+        case when n.op = 'add' then l.c + 1 when l.c = 0 then 0 when n.op = 'hit' then l.c - (l.q <= n.qty)::bigint else l.c - n.leaves::bigint end
+    from l join n on n.instrument_id = l.instrument_id and n.side = l.side and n.price = l.price and n.k = l.k + 1)"""
+
+
+@query(f"""with {_LEVEL_FOLD} select instrument_id, side, price, arg_max(q, k)::bigint as total_qty, arg_max(c, k)::bigint as order_count
+    from l group by all having arg_max(c, k) > 0""", P3_SQL)
+def final_book_modified(spark, sf_dir):
+    """Modifies, anonymous orders and ids used again: only the state machine can tell the book."""
+    return final_books(from_events_modified(spark, sf_dir)).drop("l2_hash")
+
+
 _DELTAS = """
 da as (select instrument_id, order_id, seq as add_seq, side, price, qty as added from p1 where et = 1),
 dx as (select e.instrument_id, e.order_id, e.seq, e.et, a.side, a.price, a.added,
@@ -121,34 +154,21 @@ _TOPS = f"""{_DELTAS},
 _ISEQ = "iq as (select *, row_number() over (partition by instrument_id order by seq) as iseq from p1)"
 
 
-@query(f"""with {_ISEQ}, sm as (select instrument_id, seq, seq as at from iq where iseq % 100 = 0), {_TOPS}
-    select instrument_id, seq, bid, ask, coalesce(bid_size, 0) as bid_size, coalesce(ask_size, 0) as ask_size from tp""")
-def top_of_book_sampled(spark, sf_dir):
-    """Of every hundredth event."""
-    tops = top_of_book(from_events(spark, sf_dir), every=100, depth=0)
-    return tops.select("instrument_id", "seq", "bid", "ask", "bid_size", "ask_size")
-
-
-@query(f"""with {_ISEQ}, sm as (select instrument_id, seq, seq as at from iq where iseq % 10 = 0), {_TOPS},
-    s as (select instrument_id, seq, ask - bid as spread from tp where ask > bid),
-    w as (select *, sum(spread) over f as s, count(*) over f as n from s window f as (partition by instrument_id order by seq rows 31 preceding))
-    select instrument_id, seq, spread, s / n as mean_spread, (spread * n) / s as blowout from w""")
-def spread_rolling(spark, sf_dir):
-    """Over samples of every tenth event; ``spread_every_event`` has them all."""
-    tops = top_of_book(from_events(spark, sf_dir), every=10, depth=0)
-    return windows.rolling_spread(tops, 32)
+_EVERY = "sm as (select instrument_id, seq, seq as at from p1)"
 
 
-@query()
+@query(f"""with {_EVERY}, {_TOPS}
+    select instrument_id, seq, bid, ask, coalesce(bid_size, 0) as bid_size, coalesce(ask_size, 0) as ask_size from tp""")
 def top_of_book_every_event(spark, sf_dir):
-    """Of every event; the SQL of ``top_of_book_sampled`` joins all earlier deltas to each row."""
     tops = top_of_book(from_events(spark, sf_dir), depth=0)
     return tops.select("instrument_id", "seq", "bid", "ask", "bid_size", "ask_size")
 
 
-@query()
-def spread_every_event(spark, sf_dir):
-    """As the engine records it: after every event, over the last 256 two-sided ones."""
+@query(f"""with {_EVERY}, {_TOPS}, s as (select instrument_id, seq, ask - bid as spread from tp where ask > bid),
+    w as (select *, sum(spread) over f as s, count(*) over f as n from s window f as (partition by instrument_id order by seq rows 255 preceding))
+    select instrument_id, seq, spread, s / n as mean_spread, (spread * n) / s as blowout from w""")
+def spread_rolling(spark, sf_dir):
+    """After every event, over the last 256 two-sided ones."""
     return windows.rolling_spread(top_of_book(from_events(spark, sf_dir), depth=0), 256)
 
 
@@ -383,6 +403,62 @@ def risk_decisions(spark, sf_dir):
     return sequential.risk_decisions(rows, _LIMITS)
 
 
+_ALL_LIMITS = sequential.Limits(
+    orders_per_sec=2, position=2500, loss=5_000_000, order_to_trade=4.0, order_to_trade_warmup=20, gaps=4, gap_window_ns=20_000_000_000
+)
+_GATE = """
+a as (select instrument_id as desk, seq, ts_ns // 4000 as ts, case when et = 1 then 'intent' when et = 4 then 'fill' when seq % 11 = 0 then 'start_of_day'
+        when seq % 5 = 0 then 'reset' when seq % 7 = 0 then 'manual_halt' else 'gap' end as action, side, qty, price,
+        row_number() over (partition by instrument_id order by seq) as k from p1 where et in (1, 4, 5)),
+dy as (select *, count(*) filter (action = 'start_of_day') over (partition by desk order by k) as day from a),
+g as (select *, count(*) filter (action = 'gap') over (partition by desk, day order by ts range 20000000000 preceding) as n_gaps from dy),
+r as (select desk, 0::bigint as seq, '' as action, 0::bigint as k, null::boolean as allowed, null::varchar as reason, 0::bigint as orders,
+        0::bigint as trades, 0::bigint as cash, 0::bigint as pos, 2.0::double as tokens, null::bigint as last from g where k = 1
+    union all select g.desk, g.seq, g.action, g.k, case when g.action = 'intent' then y.reason is null end, y.reason,
+        case when g.action = 'start_of_day' then 0 else r.orders + (g.action = 'intent' and y.reason is null)::bigint end,
+        case when g.action = 'start_of_day' then 0 else r.trades + (g.action = 'fill')::bigint end,
+        case g.action when 'start_of_day' then 0 when 'fill' then r.cash - w.signed * g.price else r.cash end,
+        case g.action when 'start_of_day' then 0 when 'fill' then r.pos + w.signed else r.pos end,
+        case when v.checked then v.tokens - (v.tokens >= 1)::int else r.tokens end, case when v.checked then g.ts else r.last end
+    from r join g on g.desk = r.desk and g.k = r.k + 1,
+        lateral (select case when g.side = 0 then g.qty else -g.qty end as signed) w,
+        lateral (select g.action = 'intent' and r.reason is null as checked,
+            case when r.last is null then r.tokens else least(r.tokens + (g.ts - r.last) / 1e9 * 2.0, 2.0) end as tokens) v,
+        lateral (select case when g.action in ('start_of_day', 'reset') then null when r.reason is not null then r.reason
+            when g.action = 'manual_halt' then 'Manual' when g.action = 'gap' then case when g.n_gaps >= 4 then 'FeedGap' end
+            when g.action = 'fill' then null when v.tokens < 1 then 'RateLimit' when abs(r.pos + w.signed) > 2500 then 'PositionCap'
+            when r.cash < -5000000 then 'DailyLossFloor' when r.orders >= 20 and r.orders / greatest(r.trades, 1) > 4.0 then 'OrderToTradeRatio' end as reason) y)"""
+
+
+def _actions(spark, sf_dir):
+    seq = F.col("seq")
+    control = F.when(seq % 11 == 0, "start_of_day").when(seq % 5 == 0, "reset").when(seq % 7 == 0, "manual_halt").otherwise("gap")
+    action = F.when(F.col("et") == 1, "intent").when(F.col("et") == 4, "fill").otherwise(control)
+    rows = from_events(spark, sf_dir).filter("et in (1, 4, 5)").withColumn("ts_ns", F.floor(F.col("ts_ns") / 4000).cast("long"))
+    return rows.select("seq", F.col("instrument_id").alias("desk"), "ts_ns", action.alias("action"), "instrument_id", "side", "qty", "price")
+
+
+@query(f"with {_GATE} select desk, seq, action, allowed, reason, orders, trades, cash, abs(pos)::bigint as exposure from r where k > 0")
+def risk_gate_all_checks(spark, sf_dir):
+    """Every check and every action; event time runs 4000 times as fast as the stream's."""
+    return sequential.risk_decisions(_actions(spark, sf_dir), _ALL_LIMITS)
+
+
+@query(f"""with {_GATE}, f as (select r.*, ts // 60000000000 as bucket from r join a on a.desk = r.desk and a.k = r.k)
+    select desk, bucket, max(seq) as seq, arg_max(struct_pack(r := reason), seq).r as reason, arg_max(orders, seq) as orders, arg_max(trades, seq) as trades,
+        arg_max(cash, seq) as cash, arg_max(abs(pos)::bigint, seq) as exposure, (arg_max(orders, seq) / greatest(arg_max(trades, seq), 1))::double as order_to_trade,
+        count(*) filter (not allowed) as blocked from f group by desk, bucket""")
+def risk_frames(spark, sf_dir):
+    actions = _actions(spark, sf_dir)
+    return telemetry.risk_frames(sequential.risk_decisions(actions, _ALL_LIMITS), actions, 60_000_000_000)
+
+
+@query()
+def gap_statistics(spark, sf_dir):
+    """Of messages that arrive out of order and twice; no buffer of its size fits in SQL."""
+    return sequential.gap_stats(_packets(spark, sf_dir).withColumnRenamed("instrument_id", "channel"), capacity=2)
+
+
 @query("""with l as (select instrument_id, case et when 1 then 'add' when 2 then 'cancel' when 3 then 'modify' when 4 then 'trade' when 5 then 'snapshot' end as event,
         case side when 0 then 'bid' when 1 then 'ask' end as side_name, qty from p1)
     select instrument_id, event, side_name, count(*) as n, sum(qty)::bigint as qty from l group by all""")
@@ -425,20 +501,75 @@ SCALED = {
     "CancellationStorm": {"span": 128, "least": 32, "warmup": 128, "floor": 0.01, "sigmas": 1.5, "row": 3, "cooldown": 64},
     "MomentumIgnition": {"span": 256, "least_bps": 1, "trades": 2, "run_length": 3, "cooldown": 32},
     "FlashCrash": {"gap_bps": 1, "within": 8, "band": 20, "drop": 0.05, "trades": 1, "cooldown": 32},
-    "LatencyReaction": {},
     "LatencyArbitrage": {"span": 64, "band": 60, "large": 20, "burst": 2, "cooldown": 16},
 }
 
 
-def _flags(kind: str):
-    def flags(spark, sf_dir):
-        return chain(from_events(spark, sf_dir), SCALED, (kind,))
+def _flags(spark, sf_dir, kind: str):
+    return chain(from_events(spark, sf_dir), SCALED, (kind,))
+
+
+#: Ledgers of (side, price), each by itself: adds, the first cancel of each order, and trades there.
+@query(f"""with {_ISEQ},
+    ad as (select instrument_id, order_id, side, price, iseq from iq where et = 1),
+    cn as (select c.instrument_id, a.side, a.price, c.iseq, c.seq, c.ts_ns, c.et, c.qty, row_number() over (partition by c.instrument_id, c.order_id order by c.seq) as nth
+        from iq c join ad a on a.instrument_id = c.instrument_id and a.order_id = c.order_id and a.iseq < c.iseq where c.et = 2),
+    ev as (select instrument_id, side, price, iseq, seq, ts_ns, et, qty from iq where et in (1, 4) union all
+        select instrument_id, side, price, iseq, seq, ts_ns, et, qty from cn where nth = 1),
+    n as (select *, row_number() over (partition by instrument_id, side, price order by iseq) as k from ev),
+    r as (select instrument_id, side, price, 0::bigint as k, 0::bigint as iseq, 0::bigint as seq, 0::bigint as ts, false as closes, 0::bigint as start, 0::bigint as start_ts,
+            0::bigint as added, 0::bigint as gone, 0::bigint as adds, 0::bigint as cancels, false as here from n where k = 1
+        union all select n.instrument_id, n.side, n.price, n.k, n.iseq, n.seq, n.ts_ns, x.closes, x.start, x.start_ts, x.added, x.gone, x.adds, x.cancels,
+            case n.et when 1 then true when 4 then false else r.here and not x.closes end
+        from r join n on n.instrument_id = r.instrument_id and n.side = r.side and n.price = r.price and n.k = r.k + 1,
+            lateral (select case when n.qty = 0 then greatest(r.added - r.gone, 1) // greatest(r.adds, 1) else n.qty end as share) s,
+            lateral (select case when r.here then r.start else n.iseq end as start, case when r.here then r.start_ts else n.ts_ns end as start_ts,
+                case when r.here then r.added else 0 end + (n.et = 1)::bigint * n.qty as added, case when r.here then r.gone else 0 end + (n.et = 2)::bigint * s.share as gone,
+                case when r.here then r.adds else 0 end + (n.et = 1)::bigint as adds, case when r.here then r.cancels else 0 end + (n.et = 2)::bigint as cancels,
+                n.et = 2 and r.here and r.gone + s.share >= r.added and r.cancels + 1 >= r.adds as closes) x)
+    select instrument_id, seq as emit_seq, 2 as detector_ord, 'PhantomLiquidity' as kind, start as start_seq, iseq as end_seq, start_ts as start_ts_ns, ts as end_ts_ns,
+        (1 - (iseq - start) / 64.0)::double as severity, null::bigint as initiator, adds + cancels as event_count, ts - start_ts as duration_ns,
+        null::double as cancel_trade_ratio, 0::bigint as price_displacement, gone as depth_removed from r where closes and added >= 10 and iseq - start <= 64""")
+def phantom_flags(spark, sf_dir):
+    return _flags(spark, sf_dir, "PhantomLiquidity")
+
+
+@query(f"""with {_ISEQ}, cr as (select * from iq where et in (1, 2, 4)),
+    w as (select instrument_id, iseq, seq, ts_ns, count(*) over f as n, count(*) filter (et = 2) over f as c
+        from cr window f as (partition by instrument_id order by iseq range 128 preceding)),
+    x as (select *, (c / n)::double as rate, row_number() over (partition by instrument_id order by iseq) as k from w where n >= 32),
+    r as (select instrument_id, 0::bigint as k, 0::bigint as seen, 0::double as mean, 0::double as m2, 0 as above, 0::bigint as quiet, 0::bigint as start, 0::bigint as start_ts,
+            false as fires, 0::double as z, 0::bigint as iseq, 0::bigint as seq, 0::bigint as ts, 0::bigint as n, 0::double as rate from x where k = 1
+        union all select x.instrument_id, x.k, r.seen + y.learns::int, case when y.learns then u.mean else r.mean end,
+            case when y.learns then r.m2 + (x.rate - r.mean) * (x.rate - u.mean) else r.m2 end,
+            case when not y.high or y.fires then 0 else r.above + 1 end, case when y.fires then x.iseq + 64 else r.quiet end,
+            case when y.high and r.above = 0 then x.iseq else r.start end, case when y.high and r.above = 0 then x.ts_ns else r.start_ts end,
+            y.fires, greatest((x.rate - r.mean) / d.sigma, 0), x.iseq, x.seq, x.ts_ns, x.n, x.rate
+        from r join x on x.instrument_id = r.instrument_id and x.k = r.k + 1,
+            lateral (select greatest(case when r.seen > 1 then sqrt(r.m2 / (r.seen - 1)) else 0 end, 0.01)::double as sigma) d,
+            lateral (select r.mean + (x.rate - r.mean) / (r.seen + 1) as mean, r.seen >= 128 and x.rate > r.mean + 1.5::double * d.sigma as high) u,
+            lateral (select u.high, r.seen < 128 or (not u.high and x.iseq >= r.quiet) as learns, u.high and r.above + 1 >= 3 and x.iseq >= r.quiet as fires) y)
+    select instrument_id, seq as emit_seq, 3 as detector_ord, 'CancellationStorm' as kind, start as start_seq, iseq as end_seq, start_ts as start_ts_ns, ts as end_ts_ns,
+        round(z / (z + 3), 9)::double as severity, null::bigint as initiator, n as event_count, ts - start_ts as duration_ns,
+        round(rate / greatest(1 - rate, 2.220446049250313e-16), 9)::double as cancel_trade_ratio, 0::bigint as price_displacement, 0::bigint as depth_removed from r where fires""")
+def cancel_storm_flags(spark, sf_dir):
+    out = _flags(spark, sf_dir, "CancellationStorm")
+    return out.withColumn("severity", F.round("severity", 9)).withColumn("cancel_trade_ratio", F.round("cancel_trade_ratio", 9))
+
+
+@query()
+def ignition_flags(spark, sf_dir):
+    return _flags(spark, sf_dir, "MomentumIgnition")
 
-    return flags
 
+@query()
+def flash_crash_flags(spark, sf_dir):
+    return _flags(spark, sf_dir, "FlashCrash")
 
-for _name, _kind in zip(("phantom_flags", "cancel_storm_flags", "ignition_flags", "flash_crash_flags", "latency_reaction_flags"), KINDS[2:]):
-    QUERIES[_name] = _flags(_kind)
+
+@query()
+def latency_reaction_flags(spark, sf_dir):
+    return _flags(spark, sf_dir, "LatencyArbitrage")
 
 
 @query()
@@ -496,16 +627,40 @@ def itch_round_trip(spark, sf_dir):
     return project_fixed(rows.mapInArrow(write, "message binary"))
 
 
-@query()
+_PERIOD = "ts_ns // 3600000000000"
+_SIGNED_BY_BOOK = """pt as (select p1.*, tp.bid, tp.ask, tp.bid_size, tp.ask_size, lag(tp.bid) over w as pre_bid, lag(tp.ask) over w as pre_ask
+        from p1 join tp using (instrument_id, seq) window w as (partition by instrument_id order by seq)),
+    ts as (select instrument_id, seq, qty, case when coalesce(pre_ask <= pre_bid, true) then 0 when price >= pre_ask then 1 when price <= pre_bid then -1 else 0 end as sign
+        from pt where et = 4 and qty > 0)"""
+
+
+@query(f"""with {_EVERY}, {_TOPS}, {_SIGNED_BY_BOOK}, {_VPIN[len(_SIGNED) + 2:]},
+    vp as (select instrument_id, seq, sum(abs(b - s)) over f / (count(*) over f * 1000) as vpin from vb where closed
+        window f as (partition by instrument_id order by k rows 49 preceding)),
+    q as (select *, ask - bid as spread, sum(ask - bid) over f as s, count(*) over f as n from pt where bid < ask
+        window f as (partition by instrument_id order by seq rows 31 preceding)),
+    fr as (select instrument_id, {_PERIOD} as bucket, arg_max(q, seq) as q, max(seq) as seq from q group by all),
+    lr as (select lv.*, row_number() over (partition by lv.instrument_id, lv.seq, side order by case side when 0 then -price else price end) as lvl
+        from lv join fr on fr.instrument_id = lv.instrument_id and fr.seq = lv.seq),
+    dp as (select instrument_id, seq, sum(q) filter (side = 0)::bigint as bid_depth, sum(q) filter (side = 1)::bigint as ask_depth from lr where lvl <= 10 group by all)
+    select fr.instrument_id, bucket, fr.seq, fr.q.ts_ns, (fr.q.bid + fr.q.ask) // 2 as mid, fr.q.spread, fr.q.spread / ((fr.q.bid + fr.q.ask) // 2) * 10000 as spread_bps,
+        ((fr.q.bid::hugeint * fr.q.ask_size + fr.q.ask::hugeint * fr.q.bid_size) // (fr.q.bid_size + fr.q.ask_size))::bigint as microprice, bid_depth, ask_depth,
+        (bid_depth - ask_depth) / (bid_depth + ask_depth) as imbalance, coalesce(vpin, 0) as vpin, (fr.q.spread * fr.q.n) / fr.q.s as blowout
+    from fr join dp on dp.instrument_id = fr.instrument_id and dp.seq = fr.seq
+        asof left join vp on vp.instrument_id = fr.instrument_id and vp.seq <= fr.seq""")
 def tick_frames(spark, sf_dir):
     return telemetry.ticks(from_events(spark, sf_dir), 3_600_000_000_000, 1000, 50, 32)
 
 
-@query()
+@query(f"""with {_DELTAS}, sm as (select instrument_id, {_PERIOD} as bucket, max(seq) as seq from p1 group by all),
+    lv as (select s.instrument_id, s.bucket, s.seq, d.side, d.price, sum(d.d_qty)::bigint as qty, sum(d.d_count)::bigint as orders
+        from sm s join dl d on d.instrument_id = s.instrument_id and d.seq <= s.seq group by all having sum(d.d_qty) > 0),
+    k as (select *, row_number() over (partition by instrument_id, bucket, side order by case side when 0 then -price else price end)::int as lvl from lv)
+    select instrument_id, bucket, seq, side, lvl, price, qty, orders from k where lvl <= 10""")
 def ladder_frames(spark, sf_dir):
-    return telemetry.ladder_frames(from_events(spark, sf_dir), 3_600_000_000_000)
+    return telemetry.ladder_rows(telemetry.ladder_frames(from_events(spark, sf_dir), 3_600_000_000_000))
 
 
 @query()
 def state_hashes(spark, sf_dir):
-    return telemetry.state_hashes(from_events(spark, sf_dir), 100)
+    return telemetry.state_hashes(from_events(spark, sf_dir))

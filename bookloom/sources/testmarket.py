@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bookloom.functions.ranking import global_row_number
-from bookloom.schema import ADD, CANCEL, EVENT_COLUMNS, SNAPSHOT, TRADE
+from bookloom.schema import ADD, CANCEL, EVENT_COLUMNS, MODIFY, SNAPSHOT, TRADE
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -71,7 +71,21 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(rows.withColumn("ts_ns", F.col("seq") * 1000))
 
 
-#: The same streams for an ANSI engine; they define CTEs p1 and p2.
+def from_events_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3: sixty ids of each instrument, used again and again, of which 0 is anonymous; signups modify."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    et = F.when(kind == "view", ADD).when(kind == "signup", MODIFY).when(kind == "click", CANCEL).when(kind == "purchase", TRADE).otherwise(SNAPSHOT)
+    rows = raw.select(
+        (F.col("event_id") + 1).alias("seq"), (F.col("user_id") % 8).alias("instrument_id"), et.alias("et"), (k % 2).alias("side"),
+        F.when(k % 2 == 0, 9999 - k % 20).otherwise(10001 + k % 20).alias("price"),
+        F.when((kind == "click") & (k % 3 == 0), 0).otherwise(F.floor("value") + 1).alias("qty"),
+        ((F.col("event_id") * 7 + k) % 60).alias("order_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
+    )
+    return _typed(rows)
+
+
+#: The same streams for an ANSI engine; each defines a CTE p1.
 P1_SQL = """
 b as (select event_id + 1 as seq, cast(user_id % 8 as int) as instrument_id,
     case event_type when 'view' then 1 when 'signup' then 1 when 'click' then 2 when 'purchase' then 4 else 5 end as et,
@@ -93,3 +107,10 @@ e as (select oid, instrument_id, side, price, q as qty, 1 as et, d, 1 as ph from
     select oid, instrument_id, side, price, case when rf = 'R' then 0 else cast(floor(q / 2) as bigint) end,
         case when rf = 'R' then 2 else 4 end, d + interval 3 day, 2 from o where rf in ('R', 'A')),
 p1 as (select row_number() over (order by d, oid, ph) as seq, instrument_id, et, side, price, qty, oid as order_id from e)"""
+P3_SQL = """
+p1 as (select event_id + 1 as seq, cast(user_id % 8 as int) as instrument_id,
+    case event_type when 'view' then 1 when 'signup' then 3 when 'click' then 2 when 'purchase' then 4 else 5 end as et,
+    cast(k % 2 as int) as side, case when k % 2 = 0 then 9999 - k % 20 else 10001 + k % 20 end as price,
+    case when event_type = 'click' and k % 3 = 0 then 0 else cast(floor(value) as bigint) + 1 end as qty,
+    (event_id * 7 + k) % 60 as order_id, epoch_us(ts) * 1000 as ts_ns
+    from (select *, cast(json_extract(props, '$.k') as bigint) as k from events))"""
