@@ -48,7 +48,9 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000, how: str = "left") -> DataFrame:
+def attach(
+    rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000, how: str = "left", twice: bool = False
+) -> DataFrame:
     """Join ``facts`` (one row per ``key``, settled) to ``rows`` although some keys are hot.
 
     ``weight`` counts the rows behind a key. Keys that hold more than 1/``share`` of the
@@ -56,22 +58,30 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int
     the input's size; rows of those keys then leave the shuffled join under keys of
     their own. The remaining keys are too small to skew a partition. ``facts`` should
     hold every heavy key of ``rows``, also those with nothing to tell. Columns of both
-    sides must differ except for ``key``; null keys match nothing.
+    sides must differ except for ``key``; null keys match nothing. Where ``rows`` are
+    wide but cheap to read ``twice``, rows of hot keys are not shuffled at all.
     """
     total = facts.agg(F.sum(weight)).first()[0] or 0
     bound = max(int(total) // share, 1)
     names = [c for c in facts.columns if c != key]
     facts = facts.filter(F.col(key).isNotNull())
-    hot = facts.filter(F.col(weight) > bound).select(
-        F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot")
-    )
-    cold = facts.filter(F.col(weight) <= bound).select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_at"), F.struct(*names).alias("_cold")
-    )
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    hot = facts.filter(F.col(weight) > bound).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    # Always 0, but not as a constant: the optimizer would take that out of the join's keys.
+    zero = F.least(F.col(weight), F.lit(0)).cast("long")
+    cold = facts.filter(F.col(weight) <= bound).select(F.col(key).alias("_cold_key"), zero.alias("_cold_at"), F.struct(*names).alias("_cold"))
     # Rows that need no cold fact are spread by content; they can match nothing since _cold_at is 0.
+    spread = 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40))
+    known = F.col(key) == F.col("_hot_key")
+    if twice:
+        near = rows.join(F.broadcast(hot), known).select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in names))
+        far = rows.join(F.broadcast(hot.select("_hot_key")), known, "left_anti")
+        far = far.withColumn("_at", F.when(F.col(key).isNull(), spread).otherwise(0))
+        same = (F.col(key) == F.col("_cold_key")) & (F.col("_at") == F.col("_cold_at"))
+        far = far.join(cold, same, how).select(*rows.columns, *(F.col(f"_cold.{c}").alias(c) for c in names))
+        return near.unionByName(far)
+    out = rows.join(F.broadcast(hot), known, "left")
     settled_already = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_at", F.when(settled_already, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40))).otherwise(0))
+    out = out.withColumn("_at", F.when(settled_already, spread).otherwise(0))
     out = out.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_at") == F.col("_cold_at")), "left")
     picked = [F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names]
     if how == "inner":

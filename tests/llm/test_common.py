@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bookloom.llm.common import attach, settle
 from bookloom.llm.textkit import BLANK_BYTES, PUNCT_BYTES, Words, grams, packed, pieces, whole
@@ -8,18 +9,31 @@ from bookloom.llm.textkit import BLANK_BYTES, PUNCT_BYTES, Words, grams, packed,
 
 @pytest.mark.parametrize("share", [1, 3, 1000])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach_equals_a_plain_join(spark, share, how):
+@pytest.mark.parametrize("twice", [False, True])
+def test_attach_equals_a_plain_join(spark, share, how, twice):
     rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(900, None), (901, "nowhere")]
     left = spark.createDataFrame(rows, "id long, key string").repartition(3)
     counts = {}
     for _, k in rows[:-1]:
         counts[k] = counts.get(k, 0) + 1
     facts = settle(spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items() if k] + [(None, 1, "null")], "key string, n long, v string"))
-    out = sorted((r.id, r.key or "", r.v) for r in attach(left, facts, "key", "n", share, how).collect())
+    out = sorted((r.id, r.key or "", r.v) for r in attach(left, facts, "key", "n", share, how, twice).collect())
     want = sorted((i, k or "", f"v{k}" if k in counts and k else None) for i, k in rows if how == "left" or (k in counts and k))
     assert out == want
 
 
+def test_attach_spreads_hot_keys(spark):
+    """The place of a row is a key of the shuffled join, so a hot key's rows are not dealt to one task."""
+    left = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"))
+    facts = settle(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = attach(left, facts, "key", "n", 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(key" in plan and "_at#" in next(x for x in plan.splitlines() if "hashpartitioning(key" in x)
+
+
 def sliced(texts, start, stop):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]).slice(start, stop - start)
     return [(lo, hi, Words(data, offsets, BLANK_BYTES)) for lo, hi, data, offsets in pieces(batch, "t", 7)]
