@@ -7,8 +7,9 @@ salts. One group of copies may hold any share of the rows: it leaves a task as o
 row, so it reaches the last step as at most ``salts`` rows.
 
 Cases: a null text counts as empty; a null ``doc_id`` ranks after every other and is
-returned as null; rows that repeat a ``doc_id`` with equal text share one verdict; an
-empty table gives an empty table. Other columns of the input are not looked at.
+returned as null; of rows that repeat the ``doc_id`` that stays (null as well), one with
+the longest original text stays and the others go; an empty table gives an empty table.
+Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import BLANKS, attach, settle, text_or_empty
+from bookloom.llm.common import BLANKS, attach, column, fresh, settle, text_or_empty
 
 #: Room for one id below the length in a combined rank.
 _ID_ROOM = Decimal(1 << 65)
@@ -70,10 +71,12 @@ def exact_dedup(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Col
             F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("variants")
         )
     )
-    body = normalised(text_or_empty(docs))
+    text = text_or_empty(docs)
+    body = normalised(text)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2(body, 256).alias("text_sha256"),
+        F.char_length(text).alias("length"),
         digest(body).alias("digest"),
     )
     out = attach(rows, facts, "digest", "group_size").filter("variants = 1").drop("variants")
@@ -82,23 +85,51 @@ def exact_dedup(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Col
         bodies = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.sha2(body, 256).alias("text_sha256"),
+            F.char_length(text).alias("length"),
             digest(body).alias("digest"),
             body.alias("body"),
         ).join(clashes, "digest", "left_semi")
         split = bodies.join(groups.join(clashes, "digest", "left_semi"), ["digest", "body"])
         out = out.unionByName(split.select(*out.columns))
-    return out.select(
-        "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+    return _one_of_twins(
+        out.select(
+            "doc_id",
+            "keep_id",
+            F.col("group_size").cast("long").alias("group_size"),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            "text_sha256",
+            "length",
+        )
     )
 
 
+def _one_of_twins(out: DataFrame) -> DataFrame:
+    """Verdicts in which one row of each group is kept, also where several have the id that stays."""
+    out = settle(out)
+    names = [c for c in out.columns if c != "length"]
+    twins = out.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("twins"), F.max("group_size").alias("weight"))
+    twins = settle(twins.filter("twins > 1"))
+    if twins.isEmpty():
+        return out.select(*names)
+    # Places in the written table tell rows apart.
+    out = out.withColumn("place", F.monotonically_increasing_id())
+    first = out.filter("kept").groupBy("text_sha256").agg(F.max(F.struct("length", (-F.col("place")).alias("back"))).alias("first"))
+    twins = settle(twins.join(first, "text_sha256").select("text_sha256", "weight", (-F.col("first.back")).alias("keeper")))
+    out = attach(out, twins, "text_sha256", "weight")
+    kept = F.col("kept") & (F.col("keeper").isNull() | (F.col("keeper") == F.col("place")))
+    return out.withColumn("kept", kept).select(*names)
+
+
 def drop_exact_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, salts).filter(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
-    same_text = F.sha2(normalised(text_or_empty(docs)), 256) == gone["_gone_text"]
-    return docs.join(gone, same_text & docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    verdicts = exact_dedup(docs, salts).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = settle(verdicts.filter("not kept or n > 1"))
+    key, digest = fresh("id", docs.columns), fresh("digest", docs.columns)
+    text = text_or_empty(docs)
+    names = verdicts.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest), "kept")
+    same = (F.sha2(normalised(text), 256) == names[digest]) & docs["doc_id"].cast("long").eqNullSafe(names[key])
+    out = docs.join(names, same, "left_anti")
+    # Of rows with one id and text, one is left by itself.
+    columns = [column(c) for c in docs.columns]
+    many = docs.join(names.filter("kept").drop("kept"), same).select(F.struct(*columns).alias("row"), F.char_length(text).alias("length"), key, digest)
+    return out.unionByName(many.groupBy(key, digest).agg(F.max_by("row", "length").alias("row")).select("row.*"))
