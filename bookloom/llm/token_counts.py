@@ -53,50 +53,53 @@ class CountViterbi:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - _UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.by_word = not any(MARK in p.lstrip(MARK) or "\n" in p for p, _ in pieces)
         self.most = most
         self.marked: dict[str, int] = {}
         self.plain: dict[str, int] = {"": 0}
 
     def count(self, text: str) -> int:
-        """Pieces on the best path over a text in which spaces are markers already."""
+        """Pieces on the best path over a text in which spaces are markers already.
+
+        Positions farther back than the longest piece are overwritten, so a run of any length
+        without spaces takes bounded memory.
+        """
         n = len(text)
-        scores, counts = [0.0] * (n + 1), [0] * (n + 1)
+        room = min(n, self.longest) + 1
+        scores, counts = [0.0] * room, [0] * room
         done = 0  # positions whose best path is known
 
-        def unknown_to(end: int) -> None:
-            scores[end] = scores[end - 1] + self.unknown
-            counts[end] = counts[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
+        def weigh_unknown(end: int, alone: bool) -> None:
+            """A character as no piece: the only way to ``end``, or one beside the longer pieces that end there."""
+            candidate = scores[(end - 1) % room] + self.unknown
+            if alone or candidate > scores[end % room]:
+                scores[end % room] = candidate
+                counts[end % room] = counts[(end - 1) % room] + len(text[end - 1].encode("utf-8", "surrogatepass"))
 
         single = True
         for last, (length, score) in self.automaton.iter(text):
             end = last + 1
+            at, start = end % room, (end - length) % room
             if end != done:
                 if not single:
-                    self._weigh_unknown(text, done, scores, counts)
+                    weigh_unknown(done, False)
                 while done < end - 1:
                     done += 1
-                    unknown_to(done)
+                    weigh_unknown(done, True)
                 done, single = end, False
-                scores[end] = score + scores[end - length]
-                counts[end] = counts[end - length] + 1
-            elif score + scores[end - length] > scores[end]:
-                scores[end] = score + scores[end - length]
-                counts[end] = counts[end - length] + 1
+                total, before = score + scores[start], counts[start]
+                scores[at], counts[at] = total, before + 1
+            elif score + scores[start] > scores[at]:
+                scores[at] = score + scores[start]
+                counts[at] = counts[start] + 1
             single = single or length == 1
         if not single:
-            self._weigh_unknown(text, done, scores, counts)
+            weigh_unknown(done, False)
         while done < n:
             done += 1
-            unknown_to(done)
-        return counts[n]
-
-    def _weigh_unknown(self, text: str, end: int, scores: list, counts: list) -> None:
-        """A character that is no piece competes with the longer pieces that end with it."""
-        candidate = scores[end - 1] + self.unknown
-        if candidate > scores[end]:
-            scores[end] = candidate
-            counts[end] = counts[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
+            weigh_unknown(done, True)
+        return counts[n % room]
 
     def _whole(self, text: str) -> int:
         return self.count(MARK + text.replace(" ", MARK)) if text else 0

@@ -47,3 +47,12 @@ def test_odd_rows(spark):
     out = token_counts(df, PATH).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in out)[:4] == [(-1, 2), (1, 0), (2, 0), (2, 2)]
     assert token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_long_runs_without_spaces():
+    """More characters than a piece has, so that places are used again."""
+    pieces = read_pieces(PATH)
+    counter, model = CountViterbi(pieces), library(pieces)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aethinos漢é") for _ in range(n)) for n in (counter.longest, counter.longest + 1, 500, 5000)]
+    assert counter.counts(texts) == [by_library(model, t) for t in texts]
