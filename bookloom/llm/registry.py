@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,13 @@ from bookloom.llm.substring_dedup import substring_dedup
 from bookloom.llm.token_counts import token_counts
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers are; only the two queries that need them ask for their package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", F.col("n_words"), F.col("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
@@ -33,7 +39,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +59,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+#: Words as the operators on shingles see them, and the shingles of five of them (or all, if fewer).
+_WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +116,26 @@ ORACLE_SQL: dict[str, str] = {
         g as (select doc_id, body, first_value(doc_id) over (partition by body order by n desc, doc_id) as keep_id,
                 count(*) over (partition by body)::bigint as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(body) as text_sha256 from g""",
+    "op5_decontamination": f"""
+        with b as (select item_id, {_WORDS_SQL} as words from benchmark),
+        bn as (select item_id, words, least(len(words), 5) as n from b where len(words) > 0),
+        bs as (select distinct item_id, n, words[i:i + n - 1] as s from (select *, unnest(range(1, len(words) - n + 2)) as i from bn)),
+        bc as (select item_id, count(*) as shingles from bs group by item_id),
+        d as (select doc_id, {_WORDS_SQL} as words from documents),
+        dn as (select doc_id, words, n from d join (select distinct n from bn) on len(words) >= n),
+        ds as (select distinct doc_id, n, words[i:i + n - 1] as s from (select *, unnest(range(1, len(words) - n + 2)) as i from dn)),
+        m as (select doc_id, item_id, count(*) as shared from ds join bs using (n, s) group by all)
+        select doc_id, item_id, shared, shingles, shared / shingles as containment from m join bc using (item_id) where shared >= 0.8 * shingles - 1e-9""",
+    "op9_jaccard_join": f"""
+        with recursive d as (select doc_id, {_WORDS_SQL} as words from documents),
+        c as (select words, min(doc_id) as id, least(len(words), 5) as n from d group by words),
+        s as (select distinct id, words[i:i + n - 1] as s from (select *, unnest(range(1, len(words) - n + 2)) as i from c where n > 0)),
+        k as (select id, count(*) as size from s group by id),
+        p as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.s = b.s and a.id <> b.id group by all),
+        l as (select a, b from p join k x on x.id = a join k y on y.id = b where shared >= 0.8 * (x.size + y.size - shared) - 1e-9),
+        r as (select id, id as low from c union select l.b, r.low from r join l on l.a = r.id),
+        g as (select id, min(low) as low from r group by id),
+        n as (select a as id, count(*) as links from l group by a)
+        select d.doc_id, g.low as class_id, c.id as rep_id, coalesce(links, 0)::bigint as n_links
+        from d join c on c.words = d.words join g on g.id = c.id left join n on n.id = c.id""",
 }
