@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bookloom.llm.common import settle
@@ -17,6 +16,7 @@ from bookloom.llm.jaccard_join import drop_near_copies
 from bookloom.llm.line_dedup import line_dedup
 from bookloom.llm.packing import pack
 from bookloom.llm.quality import keep_good
+from bookloom.llm.registry import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
