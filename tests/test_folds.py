@@ -142,7 +142,7 @@ def test_plain_adds_raise_no_flag():
 
 def phantom(parameters, *events):
     d = PhantomLiquidity(*parameters)
-    return [f for f in (d.step(*e) for e in events) if f]
+    return [f for f in (d.look(*e) for e in events) if f]
 
 
 def test_phantom_rules():
