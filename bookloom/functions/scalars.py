@@ -51,6 +51,12 @@ def aggressor_of(price: int, bid: int | None, ask: int | None) -> int:
     return (price >= ask) - (price <= bid)
 
 
+def trade_sign(price: int, side: int, bid: int | None, ask: int | None) -> int:
+    """The sign of a trade's volume: of its price or its side's best one, else of its raw side (a bid buys)."""
+    price = price or (ask if side == 1 else bid) or 0
+    return aggressor_of(price, bid, ask) if price else 1 - 2 * (side != 0)
+
+
 def repaired_price(price: Column, side: Column, bid: Column, ask: Column) -> Column:
     """A print's price: its own, else the best of its side before it; null if there is none."""
     best = F.when(side == 1, ask).otherwise(bid)
@@ -100,8 +106,8 @@ create or replace temporary function regime_score(
     events_per_sec bigint, crossed boolean)
 returns double return
     ((case when crossed then 0 else greatest(blowout - 1, 0) + 3 * abs(imbalance) end)
-     + 5 * vpin + 0.6 * abs(velocity - 1) + 0.3 * drift + 3 * depletion)
-    * case when events_per_sec = 0 then 1 else least(events_per_sec / 30.0, 1) end
+     + 5 * vpin + 0.6D * abs(velocity - 1) + 0.3D * drift + 3 * depletion)
+    * case when events_per_sec = 0 then 1 else least(events_per_sec / 30D, 1D) end
 """
 
 

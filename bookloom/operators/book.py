@@ -44,6 +44,18 @@ class Book:
             return self._add(side, price, qty, order_id)
         return False
 
+    def apply_lanes(self, events: Iterable[tuple]) -> None:
+        """All adds, then all trades, then all cancels of (type, side, price, quantity, order id).
+
+        The end is that of the events in order where ids are unique, no order is cut before its
+        add and none is modified (see ``ladder.lane_licence``).
+        """
+        events = list(events)
+        for lane in (ADD, TRADE, CANCEL):
+            for event in events:
+                if event[0] == lane:
+                    self.apply(*event)
+
     def _add(self, side: int, price: int, qty: int, order_id: int) -> bool:
         own = int(side != 0)
         levels = self.sides[own]

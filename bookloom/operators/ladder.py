@@ -37,6 +37,30 @@ def order_residuals(events: DataFrame) -> DataFrame:
     )
 
 
+def order_meta(events: DataFrame) -> DataFrame:
+    """instrument_id, order_id, side, price, qty of every order still alive."""
+    return order_residuals(events).filter("rest > 0").select("instrument_id", "order_id", "side", "price", F.col("rest").alias("qty"))
+
+
+def lane_licence(events: DataFrame) -> DataFrame:
+    """Whether an instrument's adds, trades and cancels may be applied as three lanes, and so by the closed form.
+
+    instrument_id, unique_ids (no id is added twice), in_order (no order is cut before its
+    add), plain (no modifies and no anonymous orders), licensed (all of them).
+    """
+    known = events.filter("et in (1, 2, 3, 4)")
+    by_order = known.groupBy("instrument_id", "order_id").agg(
+        F.count(F.when(F.col("et") == 1, 1)).alias("adds"), F.min(F.when(F.col("et") == 1, F.col("seq"))).alias("added"),
+        F.min(F.when(F.col("et") != 1, F.col("seq"))).alias("cut"), F.count(F.when((F.col("et") == 3) | (F.col("order_id") == 0), 1)).alias("odd"),
+    )
+    out = by_order.groupBy("instrument_id").agg(
+        F.max(F.when(F.col("order_id") != 0, F.col("adds"))).alias("most"),
+        F.coalesce(F.max((F.col("cut") < F.col("added")) & (F.col("order_id") != 0)), F.lit(False)).alias("early"), F.sum("odd").alias("odd"),
+    )
+    unique, ordered, plain = F.coalesce(F.col("most"), F.lit(0)) <= 1, ~F.col("early"), F.col("odd") == 0
+    return out.select("instrument_id", unique.alias("unique_ids"), ordered.alias("in_order"), plain.alias("plain"), (unique & ordered & plain).alias("licensed"))
+
+
 def final_ladder(events: DataFrame) -> DataFrame:
     """instrument_id, side, price, total_qty, order_count of the book after the last event."""
     live = order_residuals(events).filter("rest > 0")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from bookloom.functions import scalars
 from bookloom.operators.fold import Fold, run
 
 # ---- VPIN -------------------------------------------------------------------------------------
@@ -54,6 +55,18 @@ def vpin(trades: DataFrame, size: int = 10_000, buckets: int = 50) -> DataFrame:
     return closed.withColumn("vpin", skew / (F.count(F.lit(1)).over(frame) * size))
 
 
+def signed_trades(tops: DataFrame) -> DataFrame:
+    """seq, instrument_id, qty, sign of trades with the quotes before them (``pre_bid``, ``pre_ask``).
+
+    A print's price, or the best of its side if it has none, tells the aggressor. Where neither
+    is known no print is shown, and the raw side stands for the sign: a bid buys.
+    """
+    price = scalars.repaired_price(F.col("price"), F.col("side"), F.col("pre_bid"), F.col("pre_ask"))
+    raw = F.when(F.col("side") == 0, 1).otherwise(-1)
+    sign = F.when(price.isNull(), raw).otherwise(scalars.aggressor(price, F.col("pre_bid"), F.col("pre_ask")))
+    return tops.filter("et = 4").select("seq", "instrument_id", "qty", sign.cast("int").alias("sign"))
+
+
 # ---- Velocity ---------------------------------------------------------------------------------
 
 

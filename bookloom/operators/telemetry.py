@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bookloom.functions import scalars
-from bookloom.functions.scalars import aggressor_of
+from bookloom.functions.scalars import trade_sign
 from bookloom.operators.book import Book
 from bookloom.operators.fold import Fold, run
 from bookloom.operators.sequential import VpinBuckets
@@ -104,7 +104,7 @@ class TickFrames(Fold):
             out, self.bucket = self.finish(), bucket
         book = self.book
         if et == TRADE:
-            self._traded(seq, instrument, qty, aggressor_of(price, book.best_bid, book.best_ask))
+            self._traded(seq, instrument, qty, trade_sign(price, side, book.best_bid, book.best_ask))
         book.apply(et, side, price, qty, order_id)
         bid, ask = book.best_bid, book.best_ask
         if bid is not None and ask is not None and bid < ask:

@@ -88,6 +88,12 @@ def carried(rows: DataFrame, value: str, order: str = "seq") -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def tracked(events: DataFrame, instrument: int) -> DataFrame:
+    """One instrument's events, numbered from 1 as ``eseq``."""
+    own = Window.partitionBy(_KEY).orderBy("seq")
+    return events.filter(F.col(_KEY) == instrument).withColumn("eseq", F.row_number().over(own).cast("long"))
+
+
 def auto_lock(events: DataFrame, trades: int = 5) -> DataFrame:
     """Events of the first instrument to reach ``trades`` trades, from that trade on, with ``eseq`` from 1."""
     nth = F.row_number().over(Window.partitionBy(_KEY).orderBy("seq"))

@@ -1,10 +1,7 @@
-"""Queries by name over the test tables, and the SQL that gives the same rows where SQL can."""
+"""Queries on books, flow, detectors and risk over the test markets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,28 +9,10 @@ from bookloom.functions import scalars
 from bookloom.operators import ladder, sequential, telemetry, windows
 from bookloom.operators.book import final_books, top_of_book
 from bookloom.operators.detectors import chain
-from bookloom.schema import EVENT_LABELS, KINDS, SIDE_LABELS, label
+from bookloom.plans.registry import query
+from bookloom.schema import EVENT_LABELS, SIDE_LABELS, label
 from bookloom.sources.itch import encode, project_fixed
-from bookloom.sources.testmarket import P1_SQL, P2_SQL, P3_SQL, from_events, from_events_modified, from_lineitem
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, base: str = P1_SQL):
-    """Register a query under its function's name; ``sql`` may use the streams' CTEs."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            text = sql.strip()
-            if "p1" in text:
-                text = f"with recursive {base}, {text[5:]}" if text.lower().startswith("with ") else f"with {base} {text}"
-            ORACLE_SQL[f.__name__] = text
-        return f
-
-    return add
-
+from bookloom.sources.testmarket import P2_SQL, P3_SQL, from_events, from_events_modified, from_lineitem
 
 _RESIDUALS = """
 rd as (select a.instrument_id, a.order_id, a.seq, a.side, a.price, a.qty as added,

@@ -12,6 +12,18 @@ def frames(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.lit(kind).alias("frame_type"), F.col("seq"), F.to_json(F.struct(*rows.columns)).alias("payload"))
 
 
+#: Of the frames on the wire.
+WIRE_VERSION = 2
+
+
+def on_the_wire(frames: DataFrame) -> DataFrame:
+    """``frames`` with ``frame``: their length (of what follows it) and version in 4 and 2 little-endian bytes, and the payload."""
+    body = F.encode("payload", "UTF-8")
+    little = lambda n, width: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(width)]))
+    size = (F.octet_length("payload") + 2).cast("long")
+    return frames.withColumn("frame", F.concat(little(size, 4), little(F.lit(WIRE_VERSION), 2), body))
+
+
 def first_per_second(rows: DataFrame) -> DataFrame:
     """At most one row for each instrument and second of event time: the first."""
     second = F.floor(F.col("ts_ns") / 1_000_000_000)

@@ -62,6 +62,13 @@ def test_best_prices_are_kept(seed):
         assert b.best_bid == max(b.sides[0], default=None) and b.best_ask == min(b.sides[1], default=None)
 
 
+def test_lanes_end_where_the_order_does():
+    events = [e[2:7] for e in scenarios.market(1500, 8)]
+    serial, lanes = feed(Book(), *events), Book()
+    lanes.apply_lanes(events)
+    assert lanes.state() == serial.state() and len(serial.orders) > 50
+
+
 class PlainBook:
     """Levels recomputed from all orders alive; for streams with unique ids and no modifies."""
 

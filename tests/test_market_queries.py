@@ -9,7 +9,8 @@ from pyspark.sql import Row
 
 from bookloom.operators.detectors import Chain
 from bookloom.operators.fold import replay
-from bookloom.plans.catalogue import ORACLE_SQL, QUERIES, SCALED
+from bookloom.plans import ORACLE_SQL, QUERIES
+from bookloom.plans.catalogue import SCALED
 from bookloom.schema import EVENT_COLUMNS, KINDS
 from bookloom.sources import scenarios
 from bookloom.sources.testmarket import from_events, from_lineitem
