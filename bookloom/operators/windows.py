@@ -16,45 +16,74 @@ from bookloom.operators.fold import Fold, run
 _KEY = "instrument_id"
 
 
-def with_iseq(events: DataFrame) -> DataFrame:
-    """``iseq``: the event's place among its instrument's events."""
-    return events.withColumn("iseq", F.row_number().over(Window.partitionBy(_KEY).orderBy("seq")).cast("long"))
+def with_iseq(events: DataFrame, segment: int | None = None) -> DataFrame:
+    """``iseq``: the event's place among its instrument's events.
 
+    A task holds an instrument; with ``segment``, only that many sequence numbers of it.
+    """
+    return _placed(events, "seq", "iseq", segment)
+
+
+def _placed(rows: DataFrame, order: str, name: str, segment: int | None) -> DataFrame:
+    if segment is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(_KEY).orderBy(order)).cast("long"))
+    part = F.floor(F.col(order) / segment).cast("long")
+    # One row for each instrument and segment; places go on from the segments before.
+    before = Window.partitionBy(_KEY).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(_KEY, part.alias("_segment")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(_KEY, "_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    there = F.row_number().over(Window.partitionBy(_KEY, "_segment").orderBy(order))
+    out = rows.withColumn("_segment", part).withColumn("_there", there).join(counts, [_KEY, "_segment"])
+    return out.select(*rows.columns, (F.col("_before") + F.col("_there")).cast("long").alias(name))
 
-def trailing(rows: DataFrame, sums: dict[str, Column], width: int, order: str = "seq") -> DataFrame:
-    """``rows`` with sums over the last ``width`` rows of the instrument, and their number ``n_rows``.
+
+def trailing(rows: DataFrame, sums: dict[str, Column], width: int, order: str = "seq", segment: int | None = None) -> DataFrame:
+    """``rows`` with sums over the last ``width`` rows of the instrument, their number ``n_rows`` and the first one's ``start``.
 
     Each is a running sum less the one ``width`` rows back, so a row costs the same for any
     width; a sliding frame would add up its rows anew for each of them. The values must be
-    whole numbers.
+    whole numbers. With ``segment``, an instrument is cut into runs of that many rows (``width``
+    at least), each of which also sees the last rows of the run before it.
     """
-    w = Window.partitionBy(_KEY).orderBy(order)
+    names, keys = rows.columns, [_KEY]
+    rows = rows.withColumns({f"_{name}": value for name, value in sums.items()})
+    if segment is None:
+        rows = rows.withColumn("_own", F.lit(True))
+    else:
+        size = max(segment, width)
+        rows = _placed(rows, order, "_place", segment)
+        run, tail = F.floor((F.col("_place") - 1) / size), F.pmod(F.col("_place") - 1, F.lit(size)) > size - width
+        rows = rows.withColumn("_runs", F.when(tail, F.array(run, run + 1)).otherwise(F.array(run))).withColumn("_first", run)
+        rows = rows.withColumn("_run", F.explode("_runs")).withColumn("_own", F.col("_run") == F.col("_first"))
+        keys = [_KEY, "_run"]
+    w = Window.partitionBy(*keys).orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    less = lambda c: F.col(c) - F.coalesce(F.lag(c, width).over(w), F.lit(0))
     rows = rows.withColumn("n_rows", F.least(F.row_number().over(w), F.lit(width)).cast("long"))
-    rows = rows.withColumns({f"_{name}": F.sum(value).over(running) for name, value in sums.items()})
-    rows = rows.withColumns({name: F.col(f"_{name}") - F.coalesce(F.lag(f"_{name}", width).over(w), F.lit(0)) for name in sums})
-    return rows.drop(*[f"_{name}" for name in sums])
+    rows = rows.withColumn("start", F.coalesce(F.lag(order, width - 1).over(w), F.first(order).over(w)))
+    rows = rows.withColumns({f"_{name}": F.sum(f"_{name}").over(running) for name in sums})
+    rows = rows.withColumns({name: less(f"_{name}") for name in sums})
+    return rows.filter("_own").select(*names, "n_rows", "start", *sums)
 
 
-def quote_stuff(events: DataFrame, size: int = 48, ratio: float = 8.0) -> DataFrame:
+def quote_stuff(events: DataFrame, size: int = 48, ratio: float = 8.0, segment: int | None = None) -> DataFrame:
     """instrument_id, seq, start_seq, n_events, cancels, trades, severity of each flagged event."""
-    w = Window.partitionBy(_KEY).orderBy("seq")
-    start = F.coalesce(F.lag("seq", size - 1).over(w), F.first("seq").over(w))
-    rows = events.filter("et in (1, 2, 4)").select(_KEY, "seq", "et", start.alias("start_seq"))
+    rows = events.filter("et in (1, 2, 4)").select(_KEY, "seq", "et")
     of = lambda et: (F.col("et") == et).cast("long")
-    rows = trailing(rows, {"cancels": of(2), "trades": of(4)}, size).withColumnRenamed("n_rows", "n_events").drop("et")
+    rows = trailing(rows, {"cancels": of(2), "trades": of(4)}, size, segment=segment)
+    rows = rows.select(_KEY, "seq", F.col("start").alias("start_seq"), F.col("n_rows").alias("n_events"), "cancels", "trades")
     r = F.col("cancels") / F.greatest("trades", F.lit(1))
     rows = rows.withColumn("r", r).filter((F.col("r") >= ratio) & (F.col("n_events") >= size // 2))
     return rows.withColumn("severity", F.least(F.col("r") / ratio / 2.0, F.lit(1.0))).drop("r")
 
 
-def spoof(events: DataFrame, large: int = 1000, within: int = 64) -> DataFrame:
+def spoof(events: DataFrame, large: int = 1000, within: int = 64, segment: int | None = None) -> DataFrame:
     """instrument_id, order_id, start_seq, end_seq, qty, severity: large adds first cancelled within a span.
 
     Spans are in per-instrument sequence. One aggregation by order replaces a join of adds
     and cancels; order ids are not re-used.
     """
-    own = with_iseq(events).filter("et in (1, 2) and order_id <> 0")
+    own = with_iseq(events, segment).filter("et in (1, 2) and order_id <> 0")
     of = lambda et: F.min(F.when(F.col("et") == et, F.struct("iseq", "seq", "qty")))
     pairs = own.groupBy(_KEY, "order_id").agg(of(1).alias("a"), of(2).alias("c"))
     pairs = pairs.filter((F.col("a.qty") >= large) & (F.col("c.iseq") > F.col("a.iseq")) & (F.col("c.iseq") - F.col("a.iseq") <= within))
@@ -64,20 +93,20 @@ def spoof(events: DataFrame, large: int = 1000, within: int = 64) -> DataFrame:
     )
 
 
-def cancel_rate(events: DataFrame, span: int = 2048, least: int = 128) -> DataFrame:
+def cancel_rate(events: DataFrame, span: int = 2048, least: int = 128, segment: int | None = None) -> DataFrame:
     """instrument_id, iseq, n_events, cancels: the window a storm detector looks at, where it is full enough."""
     counted = F.col("et").isin(1, 2, 4)
-    own = with_iseq(events).select(_KEY, "iseq", "et")
+    own = with_iseq(events, segment).select(_KEY, "iseq", "et")
     # Places are gapless, so a span of places is a number of rows.
     sums = {"n_events": counted.cast("long"), "cancels": (F.col("et") == 2).cast("long")}
-    out = trailing(own, sums, span + 1, "iseq").filter(counted & (F.col("n_events") >= least))
+    out = trailing(own, sums, span + 1, "iseq", segment).filter(counted & (F.col("n_events") >= least))
     return out.select(_KEY, "iseq", "n_events", "cancels")
 
 
-def rolling_spread(tops: DataFrame, width: int = 256) -> DataFrame:
+def rolling_spread(tops: DataFrame, width: int = 256, segment: int | None = None) -> DataFrame:
     """instrument_id, seq, spread, mean_spread, blowout over two-sided samples; ``tops`` has seq, bid, ask."""
     rows = tops.withColumn("spread", scalars.spread(F.col("bid"), F.col("ask"))).filter("spread is not null")
-    rows = trailing(rows.select(_KEY, "seq", "spread"), {"s": F.col("spread")}, width).withColumnRenamed("n_rows", "n")
+    rows = trailing(rows.select(_KEY, "seq", "spread"), {"s": F.col("spread")}, width, segment=segment).withColumnRenamed("n_rows", "n")
     mean = F.col("s") / F.col("n")
     blowout = F.when(F.col("s") == 0, 1.0).otherwise(F.col("spread") * F.col("n") / F.col("s"))
     return rows.select(_KEY, "seq", "spread", mean.alias("mean_spread"), blowout.alias("blowout"))

@@ -150,3 +150,17 @@ def test_scalars(spark):
     quotes = [(p, b, a) for p in (9, 10, 11, 12, 13) for b, a in ((10, 12), (12, 10), (None, 12), (10, None), (11, 11))]
     got = spark.createDataFrame(quotes, "p long, b long, a long").select(scalars.aggressor(F.col("p"), F.col("b"), F.col("a"))).collect()
     assert [r[0] for r in got] == [scalars.aggressor_of(*q) for q in quotes]
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64, 10_000])
+def test_segments_of_an_instrument_change_nothing(spark, segment):
+    """One hot instrument and small ones, with gaps in the sequence; widths below and above a segment."""
+    events = [e for e in scenarios.market(700, 1, "bursty") if e[0] % 11] + [e for k in (2, 3) for e in scenarios.market(40, k, instrument=k)]
+    df = scenarios.to_frame(spark, events).repartition(3)
+    tops = top_of_book(df, depth=0)
+    for f in (
+        lambda x: windows.with_iseq(df, x), lambda x: windows.quote_stuff(df, 20, 0.5, x), lambda x: windows.spoof(df, 100, 64, x),
+        lambda x: windows.cancel_rate(df, 50, 10, x), lambda x: windows.rolling_spread(tops, 16, x),
+    ):
+        want = sorted(map(repr, f(None).collect()))
+        assert sorted(map(repr, f(segment).collect())) == want and len(want) > 10
