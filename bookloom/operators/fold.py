@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,10 +70,15 @@ def run(events: DataFrame, make: Callable[[], Fold], schema: T.StructType, key:
         if out:
             yield _record(out, arrow)
 
-    dealt = events.select(*columns).repartition(key).sortWithinPartitions(key, "seq")
+    dealt = events.select(*columns).repartition(_parts(events.sparkSession), key).sortWithinPartitions(key, "seq")
     return dealt.mapInArrow(stream, schema)
 
 
+def _parts(spark: SparkSession) -> int:
+    """Several partitions a core, so that keys that fall together by hash leave few cores idle."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def replay(events: Iterable[tuple], fold: Fold) -> list[tuple]:
     """All rows of one fold over events in order, but for its last words; for tests and small inputs."""
     return [row for event in events for row in fold.step(event)]
