@@ -87,6 +87,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Least largest shard by dynamic programming over ordered groups, for one shard after the other, and the greedy cuts it gives.
+_CAPACITIES_SQL = ",".join(
+    f"""
+        f{k} as (select e.j, min(greatest(f.cap, e.total - p.total)) as cap from e join e p on p.j <= e.j join f{k - 1} f on f.j = p.j group by e.j)"""
+    for k in range(2, 9)
+)
+_CUTS_SQL = ",".join(
+    f"""
+        c{k} as (select max(e.j) as j from e join (select p.total + cap as most from e p join c{k - 1} c on c.j = p.j join best on true) on e.total <= most)"""
+    for k in range(1, 8)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
@@ -138,4 +150,20 @@ ORACLE_SQL: dict[str, str] = {
         n as (select a as id, count(*) as links from l group by a)
         select d.doc_id, g.low as class_id, c.id as rep_id, coalesce(links, 0)::bigint as n_links
         from d join c on c.words = d.words join g on g.id = c.id left join n on n.id = c.id""",
+    "op6_sharding": f"""
+        with tb as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        d as (select doc_id, hex(encode(coalesce(text, ''))) as h, sha256(coalesce(text, '')) as digest from documents),
+        r as (select doc_id, digest, length(h) // 2 + 1 as size, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint) as b from d),
+        g as (select digest, sum(size)::bigint as bytes from r group by digest),
+        s as (select digest, row_number() over (order by digest) as j, sum(bytes) over (order by digest)::bigint as total from g),
+        e as (select 0::bigint as j, 0::bigint as total union all select j, total from s),
+        f1 as (select j, total as cap from e),{_CAPACITIES_SQL},
+        best as (select arg_max(cap, j) as cap from f8),
+        c0 as (select 0::bigint as j),{_CUTS_SQL},
+        ends as ({" union all ".join(f"select j from c{k}" for k in range(1, 8))}),
+        w as (select digest, count(*) filter (ends.j < s.j)::int as shard from s join ends on true group by digest)
+        select doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::bigint as text_crc32,
+            'bytes' as law, shard, row_number() over (partition by shard order by digest[1:2], doc_id % 256, digest, doc_id) - 1 as slot, null::int as grown_shard
+        from r join w using (digest) join tb on true""",
 }

@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = 8, salts: int = 256) -> DataFrame:
         place = place + (F.col("digest") >= F.lit(cut)).cast("int")
     rows = rows.withColumn("shard", place.cast("int"))
     rows = rows.withColumn("bucket", F.substring("digest", 1, _BUCKET))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.coalesce(F.pmod("doc_id", F.lit(salts)), F.lit(0)).cast("int"))
     # A slot is the rows before its bucket and salt, plus the place there; the counts number at most
     # (16 ** _BUCKET + shards) * salts, so they may be broadcast whatever the input.
     key = ["shard", "bucket", "salt"]
