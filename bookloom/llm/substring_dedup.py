@@ -399,59 +399,80 @@ def repeat_starts(
     return starts.groupBy("rid").agg(F.collect_list("keys").alias("starts"))
 
 
-def _equal_windows(raw: bytes, words: list[bytes], begin: np.ndarray, window: int) -> np.ndarray:
-    """All windows of a text with the same words as one of those that begin at ``begin``."""
-    keys = grams(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BLANK_BYTES).hashes(), window)
+def _starts(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (from 0) and word positions at which windows begin that are known to repeat."""
+    lists = [b"".join(x) if x else b"" for x in batch.column("starts")[lo:hi].to_pylist()]
+    row = np.repeat(np.arange(hi - lo), [len(x) // 8 for x in lists])
+    places = np.frombuffer(b"".join(lists), np.uint64)
+    own = (places & _LOW16) == _check(batch.column("doc").to_numpy()[lo:hi])[row]
+    row, places = row[own], places[own]
+    at = (places >> _POSITION).astype(np.int64)
+    bits = places >> _WINDOWS & _LOW16
+    found = [np.flatnonzero(bits >> np.uint64(k) & np.uint64(1)) for k in range(_MOST_WINDOWS)]
+    return np.concatenate([row[f] for f in found]), np.concatenate([at[f] + k for k, f in enumerate(found)])
+
+
+def _equal_windows(words: Words, text: np.ndarray, cuts: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
+    """All windows that have the same words as one of those at ``begin`` in their row."""
+    row = words.rows()
+    keys = grams(words.hashes(), window)
+    keys ^= mix(row[: len(keys)].astype(np.uint64))
     begin = begin[np.argsort(keys[begin], kind="stable")]
-    found = np.flatnonzero(np.isin(keys, keys[begin]))
+    found = np.flatnonzero(whole(words.counts, window) & _within(keys, keys[begin]))
     like = begin[np.searchsorted(keys[begin], keys[found])]
-    known: dict[bytes, int] = {}
-    names = np.array([known.setdefault(w, len(known)) for w in words])
-    same = np.ones(len(found), bool)
+    # Names of words: two are the same if the words are.
+    names = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(text)]).dictionary_encode().indices.to_numpy()
+    same = row[found] == row[like]
     for j in range(window):
         same &= names[found + j] == names[like + j]
     return np.union1d(found[same], begin)
 
 
-def _without_repeats(text: str, rid: int, doc: int, starts: list[bytes] | None, window: int) -> tuple[str, int, int, list[dict]]:
-    """The words that stay, how many there were, how many went, and the runs of those that went."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
-    spans: list[dict] = []
-    if starts:
-        places = np.frombuffer(b"".join(starts), np.uint64)
-        places = places[(places & _LOW16) == _check(np.array([doc], np.int64))[0]]
-        at = (places >> _POSITION).astype(np.int64)
-        bits = places >> _WINDOWS & _LOW16
-        begin = [at[(bits >> np.uint64(k)) & np.uint64(1) > 0] + k for k in range(_MOST_WINDOWS)]
-        begin = np.unique(np.concatenate(begin))
-        begin = begin[begin + window <= n]
-        if len(begin):
-            begin = _equal_windows(raw, words, begin, window)
-            depth = np.zeros(n + 1, np.int64)
-            depth[begin] += 1
-            np.subtract.at(depth, begin + window, 1)
-            stays = np.cumsum(depth[:-1]) == 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).astype(np.int8)))
-            spans = [{"start": a, "words": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            words = [x for x, s in zip(words, stays.tolist()) if s]
-    return b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words), spans
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
+def _without_repeats(batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, window: int) -> list[pa.Array]:
+    """Of some rows: the words that stay, how many there were, how many went, and the runs of those that went."""
+    words = Words(data, offsets, BLANK_BYTES)
+    text, cuts = words.joined()
+    row, position = _starts(batch, lo, hi)
+    whole_there = position + window <= words.counts[row]
+    begin = np.unique((words.first[row] + position)[whole_there])
+    n = len(words.starts)
+    gone = np.zeros(n, bool)
+    if len(begin):
+        begin = _equal_windows(words, text, cuts, begin, window)
+        depth = np.zeros(n + 1, np.int64)
+        depth[begin] += 1
+        depth[begin + window] -= 1
+        gone = np.cumsum(depth[:-1]) > 0
+    lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+    # Kept words, each with a blank behind it but the last one of its row.
+    sizes = np.where(gone, 0, np.diff(cuts))
+    ends = np.concatenate([[0], np.cumsum(sizes)])[words.first]
+    text = text[np.repeat(~gone, np.diff(cuts))]
+    some = np.diff(ends) > 0
+    inside = np.ones(len(text), bool)
+    inside[ends[1:][some] - 1] = False
+    ends -= np.concatenate([[0], np.cumsum(some)])
+    kept = pa.Array.from_buffers(pa.large_string(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(text[inside])])
+    # Runs of words that went, within a row.
+    opens, closes = gone.copy(), gone.copy()
+    opens[1:] &= ~gone[:-1]
+    closes[:-1] &= ~gone[1:]
+    edge = words.first[1:-1][(words.first[1:-1] > 0) & (words.first[1:-1] < n)]
+    opens[edge] |= gone[edge]
+    closes[edge - 1] |= gone[edge - 1]
+    opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+    own = words.rows()[opens]
+    spans = pa.StructArray.from_arrays([pa.array(opens - words.first[own]), pa.array(closes + 1 - opens)], names=["start", "words"])
+    runs = np.searchsorted(own, np.arange(hi - lo + 1)).astype(np.int32)
+    return [kept.cast(pa.string()), pa.array(words.counts.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.ListArray.from_arrays(pa.array(runs), spans)]
 
 
 def _kept(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = zip(*(part.column(c).to_pylist() for c in ("text", "rid", "doc", "starts")))
-                text, n, gone, spans = zip(*(_without_repeats(*r, window) for r in rows))
-                columns = [part.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], names=["doc_id", "text", "n_words", "n_removed", "repeats"])
-            trim()
+            for lo, hi, data, offsets in pieces(batch, "text"):
+                columns = _without_repeats(batch, lo, hi, data, offsets, window)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *columns], names=["doc_id", "text", "n_words", "n_removed", "repeats"])
 
     return run
 
