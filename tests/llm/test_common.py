@@ -1,9 +1,11 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import attach, settle
+from bookloom.llm.common import attach, column, fresh, settle
 from bookloom.llm.textkit import BLANK_BYTES, PUNCT_BYTES, Words, grams, packed, pieces, whole
 
 
@@ -34,6 +36,18 @@ def test_attach_spreads_hot_keys(spark):
     assert "hashpartitioning(key" in plan and "_at#" in next(x for x in plan.splitlines() if "hashpartitioning(key" in x)
 
 
+def test_clusters_must_name_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=dict, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        settle(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
+
+
+def test_fresh_names_and_odd_columns(spark):
+    assert fresh("a", ["A", "_a"], ["b"]) == "__a" and fresh("x", ["a"]) == "x"
+    df = spark.createDataFrame([(1, 2)], "`a.b` int, `c``d` int")
+    assert df.select(*map(column, df.columns)).columns == df.columns
+
+
 def sliced(texts, start, stop):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]).slice(start, stop - start)
     return [(lo, hi, Words(data, offsets, BLANK_BYTES)) for lo, hi, data, offsets in pieces(batch, "t", 7)]
