@@ -121,7 +121,7 @@ def test_packing_covers_each_token_once_without_padding(spark):
     texts = {k: v or "" for k, v in docs.items()}
     verify(rows, texts, tokenizer.encode, 1 << 16)
     small = pack(df.repartition(9), PATH, group_tokens=1 << 12).collect()
-    assert len(verify([r.asDict() for r in small], texts, tokenizer.encode, 1 << 12)) > 50
+    assert len(verify([r.asDict() for r in small], texts, tokenizer.encode, 1 << 12)) > 20
     assert pack(df.limit(0), PATH).collect() == []
 
 
