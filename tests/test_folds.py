@@ -162,6 +162,14 @@ def test_phantom_rules():
     assert phantom((5, 10_000_000, 64, 100), add, (500, CANCEL, 0, 10_000, 500, 42, 1_000_000))
 
 
+def test_phantom_orders_are_forgotten_on_request():
+    for forget, left in ((None, 500), (20, 21)):
+        d = PhantomLiquidity(forget=forget)
+        for k in range(1, 501):
+            d.look(k, ADD, 0, 100 + k, 5, k, k)
+        assert len(d.priced) == left
+
+
 def decide(limits, *actions):
     gate = RiskGate(limits)
     return [r for i, a in enumerate(actions) for r in gate.step((i, 1, *a))]
