@@ -195,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, features
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             quality, toxic = (batch.column(c).to_numpy() for c in (1, 2))
-            for lo, hi, data, offsets in pieces(batch, "text"):
+            # All features of a slice are held at once, so slices are short.
+            for lo, hi, data, offsets in pieces(batch, "text", 1 << 18):
                 rows, found, _ = _counted(*document_features(data, offsets))
                 keys, at = np.unique(found, return_inverse=True)
                 sums = [np.bincount(at, of[lo:hi][rows] == v, minlength=len(keys)) for of, v in ((quality, 0), (toxic, 1))]
