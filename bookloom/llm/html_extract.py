@@ -6,7 +6,10 @@ often have the same occurrence vector and form an equivalence class. Vectors are
 gathered: a token's vector is known by an order-free fingerprint of its (page, count)
 pairs, so a host may hold any share of the pages. Pages whose slots hold the same texts
 are copies and count as one; pages without tokens do not count. A class is valid if it
-stands in ``least_pages`` pages at least and in half of the host's.
+stands in ``least_pages`` pages at least and in half of the host's, and is ordered and nested: on
+each page its tokens follow one another in the same turns, and all in one gap between the tokens that
+stand once in every page. Tokens that do not are taken out of their class and are no template
+(gaps are not judged on hosts where those once-a-page tokens change places themselves).
 
 The valid classes of a host nest into its template: a text token belongs to it
 
@@ -141,6 +144,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[Node, str]] = []
+        self.order: list[tuple[Node, str | None]] = []  # elements and blocks as they begin
         self.paths: Counter = Counter()
         self._node: Node | None = Node("", None, "")
         self._open: list[Node] = [self._node]
@@ -183,6 +187,7 @@ class Page:
                 break
         node = Node(tag, self._open[-1], attributes)
         self.paths[node.path] += 1
+        self.order.append((node, None))
         if tag in VOID or attributes.endswith("/"):
             return False
         self._open.append(node)
@@ -209,6 +214,7 @@ class Page:
                     break
                 node = node.parent
             self.blocks.append((node, text))
+            self.order.append((node, text))
 
     def slots(self) -> list[tuple[Node, str]]:
         return [b for b in self.blocks if not b[0].dropped and not b[0].doubtful]
@@ -226,6 +232,38 @@ def tokens(page: Page) -> Counter:
     return out
 
 
+def places(page: Page, classes: dict[int, int], sizes: Counter, anchors: set[int]) -> dict[int, tuple[int, int, int, int]]:
+    """Of the page's tokens in classes: least and greatest turn among its class's, least and greatest number of anchors before it.
+
+    Pages that hold a class in part or unevenly (copies that differ outside their slots) tell nothing of it.
+    """
+    sequence = [n.path if t is None else text_token(n, t) for n, t in page.order if t is None or not n.dropped and not n.doubtful]
+    times = Counter(t for t in sequence if t in classes)
+    here: dict[int, list[int]] = {}
+    for token, n in times.items():
+        here.setdefault(classes[token], []).append(n)
+    even = {c for c, n in here.items() if len(n) == sizes[c] and min(n) == max(n)}
+    whole = all(times[a] == 1 for a in anchors)
+    turns, before, out = Counter(), 0, {}
+    for token in sequence:
+        own = classes.get(token)
+        if own is None:
+            continue
+        turn = turns[own] % sizes[own] if own in even else None
+        turns[own] += 1
+        gap = before if whole and token not in anchors else None
+        before += token in anchors
+        out[token] = _wider(out.get(token), (turn, turn, gap, gap))
+    return out
+
+
+def _wider(a: tuple | None, b: tuple) -> tuple:
+    """The least and greatest of both; None tells nothing."""
+    if a is None:
+        return b
+    return tuple(y if x is None else x if y is None else (min, max)[k % 2](x, y) for k, (x, y) in enumerate(zip(a, b)))
+
+
 def data_slots(page: Page, template: set[int], root: set[int]) -> list[tuple[Node, str]]:
     """The page's slots that are not text of its host's template."""
     slots = page.slots()
@@ -322,6 +360,40 @@ def _valid(pages: DataFrame, sizes: DataFrame, least_pages: int) -> DataFrame:
     return rows.filter(F.col("class_pages") * 2 >= F.col("pages"))
 
 
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: tuple = (None, {}, Counter(), set())
+    for batch in batches:
+        out: dict[tuple, tuple] = {}
+        for r, (host, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if host != known[0]:
+                candidates = batch.column(2)[r].as_py() or ()
+                classes = {c["token"]: c["id"] for c in candidates}
+                known = host, classes, Counter(classes.values()), {c["token"] for c in candidates if c["anchor"]}
+            for token, found in places(Page(source), *known[1:]).items():
+                out[host, token] = _wider(out.get((host, token)), found)
+        rows = [(*key, *found) for key, found in out.items()]
+        columns = list(zip(*rows)) or [()] * 6
+        types = [pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "token", *_RANGE])
+
+
+_RANGE = ("first_turn", "last_turn", "first_gap", "last_gap")
+
+
+def _ordered_nested(pages: DataFrame, sizes: DataFrame, valid: DataFrame) -> DataFrame:
+    """The tokens of ``valid`` (settled) without those that break their class's order or its nesting."""
+    whole = F.col("class_pages") == F.col("pages")
+    fact = F.struct("token", F.xxhash64("class", "class_pages", "uses").alias("id"), (whole & (F.col("uses") == F.col("pages"))).alias("anchor"))
+    candidates = settle(sizes.join(valid.groupBy("host").agg(F.collect_list(fact).alias("candidates")), "host", "left"))
+    rows = attach(_hosted(pages), candidates, "host", "rows", twice=True).select("host", "html", "candidates")
+    found = rows.mapInArrow(_places, f"host string, token long, {', '.join(f'{c} long' for c in _RANGE)}")
+    found = found.groupBy("host", "token").agg(*((F.min if c.startswith("first") else F.max)(c).alias(c) for c in _RANGE))
+    found = settle(valid.join(found, ["host", "token"], "left").withColumn("moves", F.expr("coalesce(first_turn < last_turn, false)")))
+    loose = found.groupBy("host").agg(F.bool_or(F.col("moves") & whole & (F.col("uses") == F.col("pages"))).alias("loose"))
+    found = found.join(loose, "host")
+    return found.filter("not moves and (loose or coalesce(first_gap = last_gap, true))").select(*valid.columns)
+
+
 def _sizes(pages: DataFrame) -> DataFrame:
     """host, rows: how many rows of pages each host has."""
     return pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
@@ -338,7 +410,7 @@ def extract(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     sizes = settle(_sizes(pages))
     of_root = F.when(F.col("class_pages") == F.col("pages"), F.col("token"))
     # A token of half of a host's pages: not many more of them than a page has tokens.
-    valid = _valid(pages, sizes, least_pages).groupBy("host").agg(
+    valid = _ordered_nested(pages, sizes, settle(_valid(pages, sizes, least_pages))).groupBy("host").agg(
         F.collect_list("token").alias("template"), F.collect_list(of_root).alias("root")
     )
     templates = settle(sizes.join(valid, "host", "left").select(F.col("host").alias("_host"), "rows", "template", "root"))

@@ -174,3 +174,17 @@ def test_classes_equal_whole_occurrence_vectors(spark):
                 classes[frozenset(vector.items())].add(token)
         want[host] = {(len(v), sum(n for _, n in v), frozenset(c)) for v, c in classes.items()}
     assert got == want and any(len(c) > 1 for v in want.values() for _, _, c in v)
+
+
+def test_tokens_out_of_order_or_of_their_gap_are_no_template(spark):
+    """Two texts that change places in every page; one text before and behind a fixed one."""
+    rows = []
+    for i in range(6):
+        a, b = ("<p>Lines of one</p>", "<p>Lines of two</p>")[:: 1 if i % 2 else -1]
+        rows.append((i, "http://o/", f"<article><p>Own {i}</p>{a}{b}</article>"))
+        c, d = ("<h3>Fixed words</h3>", "<h4>Some words</h4>")[:: 1 if i % 2 else -1]
+        rows.append((10 + i, "http://n/", f"<article><h2>Top</h2><p>Own {i}</p>{c if i < 4 else '<h3>Fixed words</h3>'}{d if i < 4 else ''}<h5>End</h5></article>"))
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert out[i].split("\n") == [f"Own {i}", *("Lines of one", "Lines of two")[:: 1 if i % 2 else -1]]
+        assert out[10 + i] == f"Own {i}" + ("\nSome words" if i < 4 else "")
